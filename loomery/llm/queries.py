@@ -27,6 +27,12 @@ def op2_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), 16)
 
 
+def op3_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import fingerprints
+
+    return fingerprints.compare_successors(table(spark, sf_dir, "documents"))
+
+
 def op4_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import secrets
 
@@ -45,4 +51,25 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), _path("byte_bpe_50k.tiktoken"), _pattern(), 1024, 0)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_hash_tree, op4_blob_ledger, op5_byte_bpe, op6_packing)}
+def op8_licence_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import licences
+
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import chat
+
+    return chat.read_back(chat.examples(chat.probe(table(spark, sf_dir, "conversations"))))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (op2_hash_tree, op3_spot_signatures, op4_blob_ledger, op5_byte_bpe, op6_packing, op8_licence_digests, op9_quality_rules, op10_prefix_targets)
+}
