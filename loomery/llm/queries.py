@@ -21,6 +21,12 @@ def _pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def op1_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import lm_scoring
+
+    return lm_scoring.pseudo_likelihood(table(spark, sf_dir, "documents"))
+
+
 def op2_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import sharding
 
@@ -51,6 +57,12 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), _path("byte_bpe_50k.tiktoken"), _pattern(), 1024, 0)
 
 
+def op7_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import near_dedup
+
+    return near_dedup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
+
+
 def op8_licence_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import licences
 
@@ -71,5 +83,5 @@ def op10_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_hash_tree, op3_spot_signatures, op4_blob_ledger, op5_byte_bpe, op6_packing, op8_licence_digests, op9_quality_rules, op10_prefix_targets)
+    for f in (op1_pseudo_likelihood, op2_hash_tree, op3_spot_signatures, op4_blob_ledger, op5_byte_bpe, op6_packing, op7_weighted_minhash, op8_licence_digests, op9_quality_rules, op10_prefix_targets)
 }

@@ -133,3 +133,17 @@ def redact(text: Column, found: Column, mark: str = "[SECRET]") -> Column:
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], gap, F.lit(mark))).alias("out"))
 
     return F.aggregate(F.array_sort(found), first, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+
+
+def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = "n_chars", mark: str = "[SECRET]") -> DataFrame:
+    """All rows of ``docs`` with their secrets replaced by ``mark``; ``size_col``, if there, counts the new text's code points."""
+    findings, _ = scan(docs, id_col=id_col, text_col=text_col)
+    found = findings.filter(F.size("spans") > 0).dropDuplicates(["blob"]).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
+    text = F.col(text_col)
+    out = docs.join(found, F.sha2(F.coalesce(text, F.lit("")), 256) == F.col("_blob"), "left")
+    new = F.when(F.col("_spans").isNull(), text).otherwise(redact(text, F.col("_spans"), mark))
+    out = out.withColumn("_new", new)
+    named = {text_col: F.col("_new")}
+    if size_col in docs.columns:
+        named[size_col] = F.when(F.col("_spans").isNull(), F.col(size_col)).otherwise(F.length("_new").cast(docs.schema[size_col].dataType))
+    return out.select(*(named.get(c, F.col(c)).alias(c) for c in docs.columns))
