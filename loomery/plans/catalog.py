@@ -22,13 +22,22 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+def _load() -> None:
+    from . import retrieval  # noqa: F401
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    """Hybrid search: BM25 and vector ranks fused, re-ranked and cut."""
+    from .retrieval import ranked_hybrid
+
+    return ranked_hybrid(spark, sf_dir)
