@@ -156,7 +156,7 @@ def ranked_hybrid(spark, d):
     return search.top(_reranked(spark, d), 10).select("id", "kind", "relpath", F.round("score", 9).alias("score"))
 
 
-@query("A128_hybrid_search", twin(f"WITH {_RRF} SELECT rrf.id, source, kind, relpath, round(score, 9) AS score FROM rrf JOIN chunks c ON c.id = rrf.id ORDER BY rrf.score DESC, rrf.id LIMIT 20", "chunks"))
+@query("A128_hybrid_search", twin(f"WITH {_RRF} SELECT rrf.id, rrf.source, kind, relpath, round(score, 9) AS score FROM rrf JOIN chunks c ON c.id = rrf.id ORDER BY rrf.score DESC, rrf.id LIMIT 20", "chunks"))
 def _(spark, d):
     fused = fusion.rrf_weighted(*_two(spark, d)).withColumnRenamed("source", "found_by")
     rows = fused.join(read(spark, d, "chunks"), "id")
