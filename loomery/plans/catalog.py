@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from . import changes, evaluation, ingestion, propertygraph, retrieval  # noqa: F401
+    from . import changes, evaluation, ingestion, more, propertygraph, retrieval  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
