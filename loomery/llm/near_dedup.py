@@ -6,9 +6,8 @@
    order of bins fixed for all documents.  Two documents agree in a bin with the weighted Jaccard similarity of what it
    holds.  ``rows`` samples make a band; documents that share a band are candidates.
 3. In every shared band the first document is compared with the others by exact weighted Jaccard over stored vectors.
-   Links make components.  A band that then still holds several components is looked at again: documents outside its
-   largest component meet those of other components, unless sizes or the distances to the first document (weighted
-   Jaccard distance is a metric) rule a link out.  Links found there join the others.
+   Links make components.  Bands that then still hold several components are looked at again: the documents they chain
+   together are compared in blocks, each with each, and links between different components join the others.
 Exact copies are one node from the start, so a group of copies costs one vector however large it is.
 
 Weights: (1 + ln tf) * (1 + ln((1 + N) / (1 + df)) / ln(1 + N)), in tenths.  With the defaults a pair of similarity 0.8
@@ -37,6 +36,8 @@ SHINGLE, LEAST, BANDS, ROWS = 5, 0.8, 28, 5
 #: log2 of the cells of the table of document frequencies; a cell counts all shingles that fall into it.
 CELL_BITS, BLOCK_BITS = 20, 12
 _SCALE = 10.0
+#: Documents that are compared with as many others at a time where a band holds several components.
+BLOCK_DOCS = 128
 _U = np.uint64
 
 
@@ -195,7 +196,7 @@ def vectors(doc: np.ndarray, h: np.ndarray, q: np.ndarray, n: int) -> list[bytes
 
 
 def signed(docs: DataFrame, idf: np.ndarray, bands: int, rows: int, id_col: str, text_col: str) -> DataFrame:
-    """Per row: id, _mid, digest of the text; and for the first row of a text in its partition: bands, weight and vector."""
+    """Per row: id, _mid, digest of the text; and for the first row of a text in its partition: bands and vector."""
     kind = docs.schema[id_col].dataType.simpleString()
     held = docs.sparkSession.sparkContext.broadcast(idf)
 
@@ -223,12 +224,11 @@ def signed(docs: DataFrame, idf: np.ndarray, bands: int, rows: int, id_col: str,
                 pa.array(digests, pa.binary()),
                 # a text without words meets no other
                 pa.array([None if j < 0 else keys[j] if mass[j] else [] for j in at], pa.list_(pa.int64())),
-                pa.array([None if j < 0 else int(mass[j]) for j in at], pa.int64()),
                 pa.array([None if j < 0 else vec[j] for j in at], pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays(cols, [id_col, "_mid", "digest", "bands", "mass", "vector"])
+            yield pa.RecordBatch.from_arrays(cols, [id_col, "_mid", "digest", "bands", "vector"])
 
-    return arrow(docs.select(id_col, F.monotonically_increasing_id().alias("_mid"), text_col), kernel, f"`{id_col}` {kind}, _mid long, digest binary, bands array<long>, mass long, vector binary")
+    return arrow(docs.select(id_col, F.monotonically_increasing_id().alias("_mid"), text_col), kernel, f"`{id_col}` {kind}, _mid long, digest binary, bands array<long>, vector binary")
 
 
 def verified(pairs: DataFrame, involved: DataFrame) -> DataFrame:
@@ -243,38 +243,74 @@ def verified(pairs: DataFrame, involved: DataFrame) -> DataFrame:
     return arrow(full.select("a", "b", "va", "vb"), compare, "a long, b long, j double")
 
 
+def block_links(clusters: DataFrame, comp: DataFrame, involved: DataFrame, least: float) -> DataFrame:
+    """(a, b): links that join components within each cluster (node, component: the cluster's name), enough of them to join all that belong together.
+
+    A cluster is dealt to blocks of about BLOCK_DOCS; every pair of its blocks is one small group, compared by matrix, so
+    no pair becomes a row, and a group gives fewer links than it has documents.
+    """
+    sizes = clusters.groupBy("component").agg(F.ceil(F.count("*") / BLOCK_DOCS).cast("int").alias("n"))
+    rows = clusters.withColumnRenamed("component", "cluster").join(sizes.withColumnRenamed("component", "cluster"), "cluster")
+    rows = rows.join(comp, "node", "left").select("cluster", "node", F.coalesce("component", "node").alias("component"), F.pmod(F.xxhash64("node"), "n").cast("int").alias("block"), "n")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    rows = rows.select("cluster", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "component").join(involved, "node")
+
+    def compare(group: pa.Table) -> pa.Table:
+        lo, hi = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
+        block, node, component = (group.column(c).to_numpy() for c in ("block", "node", "component"))
+        parts = [_vector(raw) for raw in group.column("vector").to_pylist()]
+        mass = np.array([w.sum() for _, w in parts])
+        xs, ys = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+        names, at = np.unique(np.concatenate([h for h, _ in parts]), return_inverse=True)
+        cols = np.split(at, np.cumsum([len(h) for h, _ in parts])[:-1])
+        top: dict[int, int] = {int(c): int(c) for c in component}
+
+        def find(c: int) -> int:
+            while top[c] != c:
+                top[c] = top[top[c]]
+                c = top[c]
+            return c
+
+        out: list[tuple[int, int]] = []
+        step = max(1, (32 << 20) // max(1, len(names)))
+        for i in range(0, len(ys), step):
+            some = ys[i : i + step]
+            dense = np.zeros((len(some), len(names)), np.uint8)
+            for k, y in enumerate(some):
+                dense[k, cols[y]] = parts[y][1]
+            for x in xs:
+                both = np.minimum(dense[:, cols[x]], parts[x][1].astype(np.uint8)).sum(1, dtype=np.int64)
+                near = both >= least * (mass[some] + mass[x] - both)
+                for y in some[near & (component[some] != component[x])]:
+                    p, q = find(int(component[x])), find(int(component[y]))
+                    if p != q:
+                        top[max(p, q)] = min(p, q)
+                        out.append((int(node[x]), int(node[y])))
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    return rows.groupBy("cluster", "lo", "hi").applyInArrow(compare, "a long, b long")
+
+
 def classes(docs: DataFrame, least: float = LEAST, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: id, digest, class_id and whether it is the row kept of its class."""
     df, n = document_frequencies(docs, text_col)
     rows_ = cut(signed(docs, idf_table(df, n), bands, rows, id_col, text_col), "signed")
     nodes = cut(rows_.groupBy("digest").agg(F.min("_mid").alias("node"), F.min_by(id_col, "_mid").alias("_id")), "nodes")
     # the first row of a text is also first in its partition, so it has bands and a vector
-    own = rows_.filter(F.col("bands").isNotNull()).select(F.col("_mid").alias("node"), "bands", "mass", "vector")
+    own = rows_.filter(F.col("bands").isNotNull()).select(F.col("_mid").alias("node"), "bands", "vector")
     own = own.join(nodes.select("node"), "node", "left_semi")
-    dealt = cut(own.select("node", "mass", F.explode("bands").alias("key")), "bands")
+    dealt = cut(own.select("node", F.explode("bands").alias("key")), "bands")
     shared = dealt.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("size")).filter("size > 1")
     met = cut(dealt.join(shared, "key"), "met")
     involved = cut(own.select("node", "vector").join(met.select("node").distinct(), "node", "left_semi"), "involved")
     first = cut(verified(met.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), involved), "first")
     links = first.filter(F.col("j") >= least).select("a", "b")
     comp = cut(components(links), "components")
-    # bands of three or more that hold several components: members outside the largest meet those of other components
-    named = met.filter("size > 2").join(comp, "node", "left").select("key", "node", "leader", "mass", F.coalesce("component", "node").alias("component"))
-    sized = named.groupBy("key", "component").agg(F.count("*").alias("c"))
-    several = sized.groupBy("key").agg(F.max_by("component", F.struct("c", F.col("component"))).alias("largest"), F.count("*").alias("kinds")).filter("kinds > 1")
-    left = named.filter("node <> leader").join(several.select("key", "largest"), "key")
-    left = left.join(first.select(F.col("a").alias("leader"), F.col("b").alias("node"), "j"), ["leader", "node"])
-    left = cut(left, "left")
-    x = left.filter("component <> largest").select("key", *(F.col(c).alias(f"x_{c}") for c in ("node", "component", "mass", "j", "largest")))
-    y = left.select("key", *(F.col(c).alias(f"y_{c}") for c in ("node", "component", "mass", "j")))
-    more = x.join(y, "key").filter(
-        (F.col("x_component") != F.col("y_component"))
-        & ((F.col("x_node") < F.col("y_node")) | (F.col("y_component") == F.col("x_largest")))
-        & (F.least("x_mass", "y_mass") >= least * F.greatest("x_mass", "y_mass"))
-        & (F.abs(F.col("x_j") - F.col("y_j")) <= 1 - least + 1e-9)
-    )
-    more = more.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
-    second = cut(verified(more, involved).filter(F.col("j") >= least).select("a", "b"), "second")
+    # bands of three or more that still hold several components: what they chain together is compared in blocks
+    named = met.filter("size > 2").join(comp, "node", "left").select("key", "node", "leader", F.coalesce("component", "node").alias("component"))
+    several = named.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo <> _hi").select("key")
+    left = cut(named.join(several, "key").filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "left")
+    second = cut(block_links(components(left), comp, involved, least), "second")
     if not second.isEmpty():
         comp = cut(components(links.unionByName(second)), "components")
     top = nodes.select(F.col("node").alias("component"), F.col("_id").alias("_class"))
