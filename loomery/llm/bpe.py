@@ -25,9 +25,9 @@ from pyspark.sql import DataFrame
 from .common import arrow, slices
 
 #: Distinct units that a worker remembers; beyond it the memory is emptied.
-UNITS_KEPT = 600_000
+UNITS_KEPT = 250_000
 #: Bytes of text that are encoded together.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def byte_chars() -> list[str]:

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _CUTS: list[tuple[SparkSession, str]] = []
@@ -55,9 +57,24 @@ def _drop_cuts() -> None:
             return
 
 
+def _give_back() -> None:
+    """Return free memory to the system: a worker that is kept for other stages would hold on to it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library
+        return
+
+
 def arrow(df: DataFrame, kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``kernel`` over Arrow batches, one pass over each partition."""
-    return df.mapInArrow(kernel, schema)
+
+    @functools.wraps(kernel)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from kernel(batches)
+        _give_back()
+
+    return df.mapInArrow(run, schema)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
@@ -75,11 +92,6 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most_bytes:
             at += part.num_rows
 
 
-def place(*keys: str | Column) -> list[Column]:
-    """Columns ``_pid`` and ``_mid``: scan partition and row number there.  Cut the frame before using them twice."""
-    return [F.spark_partition_id().alias("_pid"), F.monotonically_increasing_id().alias("_mid")]
-
-
 def gapless(rows: DataFrame, group: str, local: str, out: str) -> DataFrame:
     """Add ``out``: a number from 0 without gaps within each ``group``.
 

@@ -81,7 +81,7 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[np.nd
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = np.zeros(cells, np.int64), 0
-        for b in slices(batches, text_col):
+        for b in slices(batches, text_col, 2 << 20):
             _, h, _ = shingles(b.column(text_col).to_pylist())
             held += np.bincount((h >> _U(64 - CELL_BITS)).astype(np.int64), minlength=cells)
             n += b.num_rows
@@ -203,7 +203,7 @@ def signed(docs: DataFrame, idf: np.ndarray, bands: int, rows: int, id_col: str,
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, k, seen = held.value, bands * rows, set()
         order = fill_order(k)
-        for b in slices(batches, text_col, 2 << 20):
+        for b in slices(batches, text_col, 1 << 20):
             texts = b.column(text_col).to_pylist()
             digests = [hashlib.sha256((t or "").encode()).digest()[:16] for t in texts]
             fresh = []
