@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
+ROWS_A_FILE = 200_000
+
 
 def _print(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).head())
@@ -26,10 +28,12 @@ def components(edges: DataFrame) -> DataFrame:
         least = both.groupBy(F.col("u").alias("n")).agg(F.min("v").alias("m")).select("n", F.least("m", "n").alias("m"))
         # every node hands its larger neighbours on to the least of all
         large = both.join(least, F.col("u") == F.col("n")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large = cut(large, "large")
+        # few rows need few files and tasks
+        parts = 1 + seen[0] // ROWS_A_FILE
+        large = cut(large.coalesce(parts), "large")
         low = large.groupBy(F.col("u").alias("n")).agg(F.min("v").alias("m"))
         small = large.join(low, F.col("u") == F.col("n")).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-        now = cut(small.select("e.u", "e.v").filter("u <> v").distinct(), "small")
+        now = cut(small.select("e.u", "e.v").filter("u <> v").distinct().coalesce(parts), "small")
         after = _print(now)
         if after == seen:
             break
