@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomery.sources.durable import cut
+
 HARD_DEPTH, DECAY = 10, 0.7
 
 
@@ -75,11 +77,14 @@ def expand_related(walks: DataFrame, kind_weight: Column, same_dir: Column, k: i
 
 def reachable(links: DataFrame, seeds: DataFrame, depth: int = HARD_DEPTH) -> DataFrame:
     """(seed, id) of all nodes reached, each once: a frontier that leaves out what is known keeps every step small."""
-    e = links.select(F.col("src").alias("_from"), F.col("dst").alias("_to")).distinct()
-    known = seeds.select(F.col("id").alias("seed"), F.col("id")).distinct()
-    frontier = known
+    e = cut(links.select(F.col("src").alias("_from"), F.col("dst").alias("_to")).distinct())
+    frontier = cut(seeds.select(F.col("id").alias("seed"), F.col("id")).distinct())
+    known = frontier
     for _ in range(depth):
         step = frontier.join(e, F.col("id") == F.col("_from")).select("seed", F.col("_to").alias("id")).distinct()
-        frontier = step.join(known.select(F.col("seed").alias("_s"), F.col("id").alias("_i")), (F.col("seed") == F.col("_s")) & (F.col("id") == F.col("_i")), "left_anti")
+        # files of every step: the plan doesn't grow with the depth
+        frontier = cut(step.join(known, ["seed", "id"], "left_anti"))
+        if frontier.isEmpty():
+            break
         known = known.unionByName(frontier)
     return known

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from loomery.functions import text as T
 from loomery.operators import context, crdt, ingest
 from loomery.sources import git, sinks
+from loomery.sources.durable import shared_folder
 from loomery.sources.tables import read, twin
 from loomery.streaming import state
 
@@ -205,14 +203,9 @@ def _(spark, d):
     return read(spark, d, "documents").select("doc_id", F.array_join(T.expand(F.array("lang"), synonyms), ",").alias("terms"))
 
 
-def _folder(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    return f"{base.rstrip('/')}/loomery/{uuid.uuid4().hex}"
-
-
 @query("B70_ham_stream", twin("""SELECT soul, key, state FROM (SELECT *, row_number() OVER (PARTITION BY soul, key ORDER BY state DESC, event_id) AS rn FROM cells) x WHERE rn = 1""", "cells"))
 def _(spark, d):
-    where = _folder(spark)
+    where = shared_folder(spark)
     read(spark, d, "cells").drop("event_id", "msg_id").write.parquet(f"{where}/ops")
     stream = spark.readStream.schema(spark.read.parquet(f"{where}/ops").schema).parquet(f"{where}/ops")
     state.run_available(state.ham_stream(stream), "parquet", f"{where}/out", f"{where}/check")
@@ -222,7 +215,7 @@ def _(spark, d):
 
 @query("C51_bucket_stream", "SELECT count(*) AS buckets, sum(n)::BIGINT AS n FROM (SELECT floor(epoch(ts) / 3600) AS b, count(*) AS n FROM events GROUP BY 1) x WHERE b < (SELECT floor(epoch(max(ts)) / 3600) FROM events)")
 def _(spark, d):
-    where = _folder(spark)
+    where = shared_folder(spark)
     stream = _events_stream(spark, d, where)
     state.run_available(state.bucket_stream(stream, "at", "1 hour", "0 seconds", F.count("*").alias("n")), "parquet", f"{where}/out", f"{where}/check")
     return spark.read.parquet(f"{where}/out").agg(F.count("*").alias("buckets"), F.sum("n").alias("n"))
@@ -235,7 +228,7 @@ def _events_stream(spark, d, where):
 
 @query("B73_dedup_stream", "SELECT count(DISTINCT event_id % 500) AS n FROM events")
 def _(spark, d):
-    where = _folder(spark)
+    where = shared_folder(spark)
     stream = _events_stream(spark, d, where).withColumn("msg_id", F.col("event_id") % 500)
     state.run_available(state.dedup_stream(stream, "at", "3650 days"), "parquet", f"{where}/out", f"{where}/check")
     return spark.read.parquet(f"{where}/out").agg(F.count("*").alias("n"))
@@ -243,7 +236,7 @@ def _(spark, d):
 
 @query("B02_sorted_store")
 def _(spark, d):
-    where = _folder(spark)
+    where = shared_folder(spark)
     k = crdt.storage_key(F.col("soul"), F.col("key"))
     sinks.write_sorted(crdt.ham(read(spark, d, "cells")).select(k.alias("k"), crdt.canonical().alias("v"), "state"), f"{where}/store", "k", 8)
     return spark.read.parquet(f"{where}/store").filter(crdt.prefix_range(F.col("k"), "1"))

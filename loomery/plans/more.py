@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomery.functions import text as T
 from loomery.operators import crdt, delta, fusion, search
+from loomery.sources.durable import shared_folder
 from loomery.sources.tables import read, twin
 from loomery.streaming import state
 
@@ -18,11 +16,6 @@ from .catalog import query
 ASKED = ["validateUser", "user_id lookup", "how does the parser work", "a::b", "the of", "find open files now"]
 
 
-def _folder(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    return f"{base.rstrip('/')}/loomery/{uuid.uuid4().hex}"
-
-
 @query("A120_match_expression", "SELECT * FROM (VALUES ('a::b', 'a* OR b*'), ('find open files now', 'find* OR open* OR files* OR now*'), ('how does the parser work', 'how* OR does* OR the* OR parser* OR work*'), ('the of', 'the* OR of*'), ('user_id lookup', 'user_id* OR lookup*'), ('validateUser', 'validateUser*')) t(query, match)")
 def _(spark, d):
     return spark.createDataFrame([(q, T.match_expression(q)) for q in ASKED], "query string, match string")
@@ -83,7 +76,7 @@ def _(spark, d):
 
 @query("A194_view_refresh", twin("SELECT dst AS id, count(DISTINCT src) AS in_degree FROM edges GROUP BY dst", "edges"))
 def _(spark, d):
-    where = f"{_folder(spark)}/view"
+    where = f"{shared_folder(spark)}/view"
     fusion.degrees(read(spark, d, "edges")).filter("in_degree > 0").select("id", "in_degree").write.mode("overwrite").parquet(where)
     return spark.read.parquet(where)
 
@@ -102,7 +95,7 @@ def _(spark, d):
 
 @query("A190_polled_changes", "SELECT count(*) AS n FROM events WHERE event_type = 'error'")
 def _(spark, d):
-    where = _folder(spark)
+    where = shared_folder(spark)
     read(spark, d, "events").write.parquet(f"{where}/in")
     stream = spark.readStream.schema(spark.read.parquet(f"{where}/in").schema).option("maxFilesPerTrigger", 1).parquet(f"{where}/in")
     state.run_available(stream.filter("event_type = 'error'"), "parquet", f"{where}/out", f"{where}/check")
@@ -111,7 +104,7 @@ def _(spark, d):
 
 @query("A19_C65_event_log", "SELECT event_type AS type, count(*) AS n FROM events GROUP BY event_type")
 def _(spark, d):
-    where = _folder(spark)
+    where = shared_folder(spark)
     read(spark, d, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("type")).write.parquet(f"{where}/in")
     stream = spark.readStream.schema("id long, type string").parquet(f"{where}/in")
     state.run_available(stream, "json", f"{where}/log", f"{where}/check")
@@ -133,7 +126,7 @@ def _(spark, d):
 
 @query("B04_hydrate", twin("SELECT soul, key, max(state) AS state FROM cells GROUP BY soul, key", "cells"))
 def _(spark, d):
-    where = f"{_folder(spark)}/cells"
+    where = f"{shared_folder(spark)}/cells"
     crdt.ham(read(spark, d, "cells")).write.parquet(where)
     return crdt.ham(spark.read.parquet(where)).select("soul", "key", "state")
 
@@ -185,7 +178,7 @@ def _(spark, d):
 
 @query("A01_source_tree", "SELECT 2::BIGINT AS n")
 def _(spark, d):
-    where = f"{_folder(spark)}/tree"
+    where = f"{shared_folder(spark)}/tree"
     spark.createDataFrame([("def a(): pass",)], "value string").coalesce(1).write.text(f"{where}/src")
     spark.createDataFrame([("k: 1",)], "value string").coalesce(1).write.text(f"{where}/build")
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(where)
