@@ -154,8 +154,9 @@ def dedup_messages(ops: DataFrame, ttl_ms: float = 9000.0) -> DataFrame:
 def evict(access: DataFrame, capacity: int, pinned: DataFrame) -> DataFrame:
     """Souls to drop: if there are more than ``capacity``, a tenth of them, least recently used first, never pinned ones."""
     n = access.agg(F.count("*").alias("n"))
-    free = access.join(pinned, "soul", "left_anti").withColumn("_rn", F.row_number().over(Window.orderBy("last", "soul")))
-    return free.join(F.broadcast(n)).filter((F.col("n") > capacity) & (F.col("_rn") <= F.ceil(F.lit(capacity) / 10))).select("soul")
+    # a bounded sort: the limit follows from the capacity
+    oldest = access.join(pinned, "soul", "left_anti").orderBy("last", "soul").limit(-(-capacity // 10))
+    return oldest.join(F.broadcast(n)).filter(F.col("n") > capacity).select("soul")
 
 
 def route(ops: DataFrame, subscriptions: DataFrame) -> DataFrame:

@@ -161,7 +161,8 @@ def docstring_text(doc: Column) -> Column:
     """A docstring on one line per entry: section titles of the usual styles become `title:`, field marks go."""
     out = F.regexp_replace(doc, r"(?m)^\s*(Args|Arguments|Parameters|Returns|Raises|Yields|Examples?|Attributes|Notes?)\s*:?\s*\n(?:\s*-{3,}\s*\n)?", "$1: ")
     out = F.regexp_replace(out, r"(?m)^\s*:(?:param|arg|type|raises?|returns?|rtype)\s*([^:]*):\s*", "$1 ")
-    return F.trim(F.regexp_replace(F.regexp_replace(out, r"[ \t]+", " "), r"\s*\n\s*", "\n"))
+    out = F.regexp_replace(F.regexp_replace(out, r"[ \t]+", " "), r"\s*\n\s*", "\n")
+    return F.regexp_replace(out, r"^\s+|\s+$", "")
 
 
 def enclosing(calls: DataFrame, defs: DataFrame, bin_size: int = 64) -> DataFrame:

@@ -69,7 +69,10 @@ def _(spark, d):
     return delta.detect_moves(_changes(spark, d))
 
 
-@query("A187_change_algebra")
+_FOLD = """CASE WHEN a = 'none' THEN x WHEN a = 'new' AND x = 'deleted' THEN 'none' WHEN a = 'new' THEN 'new' WHEN a = 'modified' AND x = 'deleted' THEN 'deleted' WHEN a = 'modified' THEN 'modified' WHEN a = 'deleted' AND x = 'new' THEN 'modified' ELSE 'deleted' END"""
+
+
+@query("A187_change_algebra", f"SELECT CAST(user_id AS VARCHAR) AS path, nullif(list_reduce(list_prepend('none', list(CASE event_id % 3 WHEN 0 THEN 'new' WHEN 1 THEN 'modified' ELSE 'deleted' END ORDER BY event_id)), lambda a, x: {_FOLD}), 'none') AS change FROM events GROUP BY user_id")
 def _(spark, d):
     e = read(spark, d, "events").select(F.col("user_id").cast("string").alias("path"), F.col("event_id").alias("seq"), F.element_at(F.array(F.lit("new"), F.lit("modified"), F.lit("deleted")), (F.col("event_id") % 3 + 1).cast("int")).alias("change"))
     return delta.merge_changes(e)

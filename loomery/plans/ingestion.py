@@ -35,7 +35,7 @@ def _(spark, d):
     return ingest.markdown_sections(_marked(spark, d), "doc_id")
 
 
-@query("A05_markdown_code_blocks")
+@query("A05_markdown_code_blocks", "SELECT doc_id, 'py' AS language, 2::INTEGER AS start, CAST(len(string_split(text, chr(10))) + 3 AS INTEGER) AS \"end\" FROM documents")
 def _(spark, d):
     fenced = read(spark, d, "documents").select("doc_id", F.concat(F.lit("a\n```py\n"), "text", F.lit("\n```\nb")).alias("text"))
     return ingest.markdown_code(fenced, "doc_id")
@@ -53,13 +53,15 @@ def _(spark, d):
     return ingest.keys(y, "doc_id", ingest.YAML_KEY, "yaml_key")
 
 
-@query("A04_A08_code_chunks")
+@query("A04_A08_code_chunks", """SELECT doc_id, kind, replace(symbol_name, '?', CAST(doc_id AS VARCHAR)) AS symbol_name, start_line, end_line, replace(signature, '?', CAST(doc_id AS VARCHAR)) AS signature, docstring, metadata FROM documents CROSS JOIN
+    (VALUES ('imports', NULL, 1, 1, 'import os', NULL, 'os'), ('class', 'C?', 3, 7, 'class C?', 'Doc.', NULL), ('method', 'run', 6, 7, 'def run(self, x)', NULL, NULL), ('async_func', 'go', 10, 11, 'async def go()', NULL, NULL))
+    t(kind, symbol_name, start_line, end_line, signature, docstring, metadata)""")
 def _(spark, d):
     code = F.concat(F.lit("import os\n\nclass C"), F.col("doc_id").cast("string"), F.lit(":\n    \"\"\"Doc.\"\"\"\n\n    def run(self, x):\n        return x\n\n\nasync def go():\n    pass\n"))
     return ingest.chunks(read(spark, d, "documents").select("doc_id", code.alias("text"), F.lit("py").alias("language")), "doc_id")
 
 
-@query("A09_docstrings")
+@query("A09_docstrings", "SELECT doc_id, concat('Does ', source, '.', chr(10), 'Args: x: a number', chr(10), 'Returns: another') AS doc FROM documents")
 def _(spark, d):
     doc = F.concat(F.lit("Does "), "source", F.lit(".\n\nArgs:\n    x: a number\nReturns:\n    another\n"))
     return read(spark, d, "documents").select("doc_id", ingest.docstring_text(doc).alias("doc"))
@@ -71,7 +73,7 @@ def _(spark, d):
     return read(spark, d, "documents").select("doc_id", T.first_lines(F.col("text")).alias("preview"), T.search_document(F.col("source"), F.col("lang"), none, none, none).alias("ts_doc"))
 
 
-@query("A11_blob_sha")
+@query("A11_blob_sha", "SELECT doc_id, sha256('blob ' || CAST(strlen(text) AS VARCHAR) || chr(0) || text) AS blob_sha FROM documents")
 def _(spark, d):
     return read(spark, d, "documents").select("doc_id", T.blob_sha(F.col("text")).alias("blob_sha"))
 
@@ -111,7 +113,7 @@ def _(spark, d):
     return ingest.import_edges(c.filter("symbol_name IS NOT NULL").select("id", F.concat_ws(",", F.replace("symbol_name", F.lit(","), F.lit("")), "language").alias("metadata")), c)
 
 
-@query("A18_json_sink")
+@query("A18_json_sink", "SELECT CAST(to_json(n) AS VARCHAR) AS value FROM nation n")
 def _(spark, d):
     return sinks.as_json(read(spark, d, "nation"))
 
