@@ -125,23 +125,26 @@ def nodes(cells: DataFrame) -> DataFrame:
 
 
 def documents(cells: DataFrame, roots: DataFrame, depth: int = 3) -> DataFrame:
-    """(soul, document): linked nodes as nested JSON up to ``depth``; what lies deeper or closes a circle stays ``{"#":soul}``."""
-    live = cells.filter("vtype <> 'null'")
-    plain = live.select("soul", "key", "v_link", canonical().alias("value"))
-
-    def made(rows: DataFrame) -> DataFrame:
-        parts = F.array_sort(F.collect_list(F.concat(F.lit('"'), "key", F.lit('":'), "value")))
-        return rows.groupBy("soul").agg(F.concat(F.lit("{"), F.array_join(parts, ","), F.lit("}")).alias("document"), F.array_distinct(F.flatten(F.collect_list("inside"))).alias("inside"))
+    """(soul, document): linked nodes as nested JSON up to ``depth``; what lies deeper or closes a circle stays ``{"#":soul}``.
 
-    empty = F.array().cast("array<string>")
-    level = made(plain.withColumn("inside", empty)).withColumn("inside", F.array_distinct(F.concat("inside", F.array("soul"))))
+    Nodes open from the roots down, each with the souls and keys on its way; documents then close from the deepest up.
+    """
+    plain = cells.filter("vtype <> 'null'").select("soul", "key", "v_link", canonical().alias("value"))
+    there = plain.select(F.col("soul").alias("_t")).distinct()
+    edges = plain.filter("v_link IS NOT NULL").join(there, F.col("v_link") == F.col("_t")).select(F.col("soul").alias("_s"), F.col("key").alias("_k"), F.col("v_link").alias("_to"))
+    levels = [roots.select("soul").distinct().join(there, F.col("soul") == F.col("_t")).select(F.array("soul").alias("way"), F.array("soul").alias("souls"), "soul")]
     for _ in range(depth - 1):
-        below = level.select(F.col("soul").alias("_t"), F.col("document").alias("_d"), F.col("inside").alias("_in"))
-        opened = plain.join(below, (F.col("v_link") == F.col("_t")), "left")
-        fits = F.col("_d").isNotNull() & ~F.array_contains(F.coalesce("_in", empty), F.col("soul"))
-        rows = opened.select("soul", "key", F.when(fits, F.col("_d")).otherwise(F.col("value")).alias("value"), F.when(fits, F.col("_in")).otherwise(empty).alias("inside"))
-        level = made(rows).withColumn("inside", F.array_distinct(F.concat("inside", F.array("soul"))))
-    return level.join(roots.select("soul"), "soul", "left_semi").select("soul", "document")
+        step = levels[-1].join(edges, F.col("soul") == F.col("_s")).filter(~F.array_contains("souls", F.col("_to")))
+        levels.append(step.select(F.concat("way", F.array("_k", "_to")).alias("way"), F.concat("souls", F.array("_to")).alias("souls"), F.col("_to").alias("soul")))
+    below = None
+    for level in reversed(levels):
+        rows = level.select("way", "soul").join(plain, "soul")
+        if below is not None:
+            rows = rows.withColumn("_w", F.concat("way", F.array("key", "v_link"))).join(below, F.col("_w") == F.col("_way"), "left")
+            rows = rows.withColumn("value", F.coalesce("_doc", "value"))
+        parts = F.array_sort(F.collect_list(F.concat(F.lit('"'), "key", F.lit('":'), "value")))
+        below = rows.groupBy(F.col("way").alias("_way")).agg(F.concat(F.lit("{"), F.array_join(parts, ","), F.lit("}")).alias("_doc"))
+    return below.select(F.element_at("_way", 1).alias("soul"), F.col("_doc").alias("document"))
 
 
 def dedup_messages(ops: DataFrame, ttl_ms: float = 9000.0) -> DataFrame:
