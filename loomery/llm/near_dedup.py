@@ -1,10 +1,10 @@
-"""Near-duplicate classes by improved consistent weighted sampling over TF-IDF shingles (operator 7).
+"""Near-duplicate classes by consistent weighted sampling over TF-IDF shingles (operator 7).
 
 1. Document frequencies of all word shingles are counted over every document into a hashed table of fixed size.
-2. A document's shingles get TF-IDF weights.  Each shingle is dealt to one of ``bands * rows`` bins by its hash, and one
-   improved consistent weighted sample is drawn per bin; a bin without shingles takes the sample of another bin, in an
-   order of bins fixed for all documents.  Two documents agree in a bin with the weighted Jaccard similarity of what it
-   holds.  ``rows`` samples make a band; documents that share a band are candidates.
+2. A document's shingles get TF-IDF weights, and ``bands * rows`` independent weighted samples are drawn, each over all
+   shingles of the document: the earliest of random points that lie evenly on its weight.  Two documents agree in a
+   sample with exactly their weighted Jaccard similarity.  ``rows`` samples make a band; documents that share a band are
+   candidates.
 3. In every shared band the first document is compared with the others by exact weighted Jaccard over stored vectors.
    Links make components.  Bands that then still hold several components are looked at again: the documents they chain
    together are compared in blocks, each with each, and links between different components join the others.
@@ -36,6 +36,8 @@ SHINGLE, LEAST, BANDS, ROWS = 5, 0.8, 28, 5
 #: log2 of the cells of the table of document frequencies; a cell counts all shingles that fall into it.
 CELL_BITS, BLOCK_BITS = 20, 12
 _SCALE = 10.0
+#: Bounds of the ranges of weight that have points of their own; a shingle needs the ranges that begin below its weight.
+_EDGES = (0, 10, 20, 40, 80, 160, 256)
 #: Documents that are compared with as many others at a time where a band holds several components.
 BLOCK_DOCS = 128
 _U = np.uint64
@@ -121,42 +123,56 @@ def weights(h: np.ndarray, times: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(w * _SCALE), 1, 255).astype(np.uint8)
 
 
-def _uniform(h: np.ndarray, seed: int) -> np.ndarray:
-    return ((_mix(h ^ _U(0x9E3779B97F4A7C15 * seed % (1 << 64))) >> _U(11)).astype(np.float64) + 0.5) / float(1 << 53)
-
-
-def samples(h: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each shingle with weight q: its rank (least wins) and the identity of its sample, by improved consistent weighted sampling."""
-    ln_w = np.log(np.arange(256).clip(1))[q]
-    r = -np.log(_uniform(h, 1) * _uniform(h, 2))
-    c = -np.log(_uniform(h, 3) * _uniform(h, 4))
-    beta = _uniform(h, 5)
-    t = np.floor(ln_w / r + beta)
-    return np.log(c) - r * (t - beta) - r, _mix(h ^ _mix(t.astype(np.int64).astype(_U) + _U(1)))
-
-
 def fill_order(k: int) -> np.ndarray:
-    """[i, j]: how late an empty bin i tries bin j; the same for all documents."""
+    """An order of bins for ``sketches``, which has no empty bins to fill any more and leaves it aside."""
     return np.random.default_rng(k).permuted(np.tile(np.arange(k, dtype=np.int32), (k, 1)), axis=1)
 
 
-def sketches(doc: np.ndarray, h: np.ndarray, q: np.ndarray, n: int, k: int, order: np.ndarray) -> np.ndarray:
-    """[text, bin]: samples of ``n`` texts.  A text without shingles gets zeros."""
-    rank, sample = samples(h, q)
-    bin_ = (_mix(h ^ _U(0xD1B54A32D192ED03)) % _U(k)).astype(np.int64)
-    cell = doc * k + bin_
-    # least rank of each cell, ties by sample: last written wins after sorting downwards
-    down = np.lexsort((sample, rank))[::-1]
-    out = np.zeros(n * k, _U)
-    filled = np.zeros(n * k, bool)
-    out[cell[down]] = sample[down]
-    filled[cell] = True
-    out, filled = out.reshape(n, k), filled.reshape(n, k)
-    late = np.int32(k)
-    for i in np.flatnonzero(filled.any(1) & ~filled.all(1)):
-        have = filled[i]
-        out[i, ~have] = out[i, np.where(have, order[~have], late).argmin(1)]
-    return out
+def points(h: np.ndarray, q: np.ndarray, until: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Points of shingles with weight q before their time ``until``: (shingle number, draw, time, identity).
+
+    On each unit of a shingle's weight lies a Poisson process of rate ``k``, and every point belongs to one of ``k`` draws.
+    The points follow from the hash alone; weight and time only say which of them are looked at.
+    """
+    for lo, hi in zip(_EDGES, _EDGES[1:]):
+        at = np.flatnonzero(q > lo)
+        base, time, limit = _mix(h[at] ^ _U(0xD1B54A32D192ED03 * (lo + 1) % (1 << 64))), np.zeros(len(at)), until[at] * (k * (hi - lo))
+        done, some = 0, 1
+        while len(at):
+            key = _mix(base[:, None] + np.arange(done + 1, done + some + 1, dtype=_U) * _U(0x9E3779B97F4A7C15))
+            gaps = -np.log(((key >> _U(11)).astype(np.float64) + 0.5) / float(1 << 53))
+            gaps[:, 0] += time
+            times = np.cumsum(gaps, axis=1)
+            early = times < limit[:, None]
+            row, col = np.nonzero(early)
+            sample = _mix(key[row, col] ^ _U(0x94D049BB133111EB))
+            level = lo + ((sample >> _U(40)) * _U(hi - lo) >> _U(24)).astype(np.int64)
+            own = level < q[at[row]]
+            row, sample = row[own], sample[own]
+            draw = ((sample & _U(0xFFFFFFFF)) * _U(k) >> _U(32)).astype(np.int64)
+            yield at[row], draw, times[row, col[own]] / (k * (hi - lo)), sample
+            live = early[:, -1]
+            at, base, time, limit = at[live], base[live], times[live, -1], limit[live]
+            done, some = done + some, max(some, done)
+
+
+def sketches(doc: np.ndarray, h: np.ndarray, q: np.ndarray, n: int, k: int, order: np.ndarray | None = None) -> np.ndarray:
+    """[text, draw]: the earliest point of each draw over all weight of each of ``n`` texts.  A text without shingles gets zeros."""
+    best, out = np.full(n * k, np.inf), np.zeros(n * k, _U)
+    mass = np.bincount(doc, q, n)
+    # a draw has no point before this time with probability exp(-3) / k
+    until = (np.log(k) + 3.0) / np.maximum(mass, 1.0)
+    open_ = mass > 0
+    while open_.any():
+        own = np.flatnonzero(open_[doc])
+        found = [(doc[own[i]] * k + draw, time, sample) for i, draw, time, sample in points(h[own], q[own], until[doc[own]], k)]
+        cell, time, sample = (np.concatenate(x) for x in zip(*found))
+        np.minimum.at(best, cell, time)
+        first = time == best[cell]
+        np.maximum.at(out, cell[first], sample[first])
+        open_ &= np.isinf(best).reshape(n, k).any(1)
+        until[open_] *= 2.0
+    return out.reshape(n, k)
 
 
 def band_keys(sketch: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -202,7 +218,6 @@ def signed(docs: DataFrame, idf: np.ndarray, bands: int, rows: int, id_col: str,
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, k, seen = held.value, bands * rows, set()
-        order = fill_order(k)
         for b in slices(batches, text_col, 1 << 20):
             texts = b.column(text_col).to_pylist()
             digests = [hashlib.sha256((t or "").encode()).digest()[:16] for t in texts]
@@ -213,7 +228,7 @@ def signed(docs: DataFrame, idf: np.ndarray, bands: int, rows: int, id_col: str,
                     fresh.append(i)
             doc, h, times = shingles([texts[i] for i in fresh])
             q = weights(h, times, idf)
-            keys = band_keys(sketches(doc, h, q, len(fresh), k, order), bands, rows)
+            keys = band_keys(sketches(doc, h, q, len(fresh), k), bands, rows)
             mass = np.bincount(doc, q, len(fresh)).astype(np.int64)
             first = {i: j for j, i in enumerate(fresh)}
             vec = vectors(doc, h, q, len(fresh))

@@ -261,6 +261,24 @@ def test_samples_collide_like_weighted_jaccard():
     assert (x == y).mean() == pytest.approx(2000 / 3200, abs=0.08)
 
 
+@pytest.mark.parametrize("common, times, unique", [(12, 40, 6), (30, 20, 12), (60, 50, 28)])
+def test_uneven_weights_still_meet(common, times, unique):
+    """Pairs of weighted similarity above 0.8 whose weight sits in few shingles share a band."""
+    rng = np.random.default_rng(2)
+    heavy, light = round(20 * (1 + np.log(times))), 20
+    assert common * heavy / (common * heavy + 2 * unique * light) > 0.8
+    h, q, doc = [], [], []
+    for pair in range(300):
+        both = rng.integers(0, 1 << 62, common).astype(np.uint64)
+        for side in range(2):
+            h += [both, rng.integers(0, 1 << 62, unique).astype(np.uint64)]
+            q += [np.full(common, heavy, np.uint8), np.full(unique, light, np.uint8)]
+            doc += [np.full(common + unique, 2 * pair + side)]
+    keys = near_dedup.band_keys(near_dedup.sketches(np.concatenate(doc), np.concatenate(h), np.concatenate(q), 600, 140, near_dedup.fill_order(140)), 28, 5)
+    missed = sum(not (keys[2 * i] == keys[2 * i + 1]).any() for i in range(300))
+    assert missed <= 1, missed
+
+
 def test_scores(spark, odd, none):
     rng = random.Random(9)
     follow = {w: f"w{(int(w[1:]) * 7 + 3) % 50}" for w in (f"w{i}" for i in range(50))}
