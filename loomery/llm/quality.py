@@ -1,11 +1,16 @@
 """Quality rules with risk-controlled cutoffs (operator 9).
 
 Each rule measures one share of a text and has a fixed grid of cutoffs, lenient to strict.  In every stratum (language)
-labelled documents of good quality are the holdout: walking the grid, a cutoff is certified while the exact binomial
-test still refutes that it rejects more than ``risk / rules`` of good documents, at level ``alpha / (rules * strata)``.
-The walk stops at the first failure, so no further correction is due along a grid, and over all strata and rules the
-family-wise error is at most ``alpha``; a stratum loses at most ``risk`` of its good documents.  Of the certified cutoffs
-the most lenient one is taken that rejects as many labelled bad documents as any of them; if none are, the rule is off.
+labelled documents of good quality are the holdout.  All rules walk their grids together along one path of joint cutoffs,
+which the labelled bad documents alone lay down: a rule moves on where that rejects bad ones that the cutoffs so far let
+pass.  A step of the path is certified while the exact binomial test still refutes that its rules together reject more
+than ``risk`` of good documents, at level ``alpha / strata``.  The path rejects more at each step and is walked to the
+first failure, so no further correction is due along it, and over all strata the family-wise error is at most ``alpha``; a
+stratum loses at most ``risk`` of its good documents.  The certified step that rejects most labelled bad documents is
+taken; rules that haven't moved there are off.
+
+A stratum needs ln(alpha / strata) / ln(1 - risk) good labels past the base rule for cutoffs that reject none of them (437
+of 4 strata at the defaults), more if they do reject some; below that all its rules are off and only the base rule rejects.
 
 Defined cases: a null text has no words and fails the base rule; a null language is a stratum of its own; a label that
 is null or not 0/1 is ignored, and of contradicting labels for one id the good one counts; without enough labels only the
@@ -125,29 +130,49 @@ def certify(good: list[int], bad: list[int], risk: float, level: float) -> int:
     return best
 
 
+def joint_path(bad: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, ...]]:
+    """Joint cutoffs, lenient to strict: per step and rule an index of its grid, -1 for off.  bad: (how many cutoffs of each rule's grid let a row pass, rows)."""
+    at, left, path = [-1] * len(RULES), list(bad), []
+    for j in range(max(len(r.grid) for r in RULES)):
+        for i, r in enumerate(RULES):
+            if j < len(r.grid) and any(steps[i] <= j for steps, _ in left):
+                at[i] = j
+                left = [x for x in left if x[0][i] > j]
+                path.append(tuple(at))
+    return path
+
+
+def certified(good: list[tuple[tuple[int, ...], int]], bad: list[tuple[tuple[int, ...], int]], risk: float, level: float) -> tuple[int, ...]:
+    """Index of the cutoff to use for each rule, or -1."""
+    path = joint_path(bad)
+    split = [[0] * (len(path) + 1), [0] * (len(path) + 1)]
+    for k, rows in enumerate((good, bad)):
+        for steps, n in rows:
+            split[k][next((j for j, at in enumerate(path) if any(x <= y for x, y in zip(steps, at))), len(path))] += n
+    j = certify(*split, risk, level)
+    return path[j] if j >= 0 else (-1,) * len(RULES)
+
+
 def cutoffs(measured: DataFrame, labels: DataFrame, risk: float = 0.01, alpha: float = 0.05, stratum: str = "lang", id_col: str = "doc_id") -> DataFrame:
     """(stratum, one cutoff per rule or null), from all labelled rows of ``measured``."""
     known = labels.filter(F.col("quality").isin(0, 1)).groupBy(F.col(id_col).alias("_id")).agg(F.max("quality").cast("int").alias("_good"))
     seen = measured.filter(~base_failed()).join(known, F.col(id_col) == F.col("_id"))
+    names = [r.name for r in RULES]
     # how many cutoffs of the grid let the row pass, lenient ones first
-    steps = F.array(*(F.struct(F.lit(r.name).alias("rule"), sum((F.when(r.sign * share(r) > r.sign * F.lit(c), 0).otherwise(1) for c in r.grid), F.lit(0)).alias("step")) for r in RULES))
-    counts = seen.select(stratum, "_good", F.explode(steps).alias("s")).groupBy(stratum, "_good", "s.rule", "s.step").agg(F.count("*").alias("n"))
-    counts = cut(counts, "label_counts")
+    steps = [sum((F.when(r.sign * share(r) > r.sign * F.lit(c), 0).otherwise(1) for c in r.grid), F.lit(0)).alias(f"_step_{r.name}") for r in RULES]
+    counts = cut(seen.select(stratum, "_good", *steps).groupBy(stratum, "_good", *(f"_step_{n}" for n in names)).agg(F.count("*").alias("n")), "label_counts")
     strata = max(1, counts.select(stratum).distinct().count())
     kind = measured.schema[stratum].dataType.simpleString()
-    names = [r.name for r in RULES]
 
     def choose(own: pd.DataFrame) -> pd.DataFrame:
-        row: dict = {stratum: own[stratum].iloc[0]}
-        for r in RULES:
-            split = [[0] * (len(r.grid) + 1), [0] * (len(r.grid) + 1)]
-            for good, step, n in own.loc[own["rule"] == r.name, ["_good", "step", "n"]].itertuples(index=False):
-                split[int(good)][int(step)] += int(n)
-            j = certify(split[1], split[0], risk / len(RULES), alpha / (len(RULES) * strata))
-            row[r.name] = r.grid[j] if j >= 0 else None
+        rows: tuple[list, list] = ([], [])
+        for good, *at, n in own[["_good", *(f"_step_{x}" for x in names), "n"]].itertuples(index=False):
+            rows[int(good)].append((tuple(map(int, at)), int(n)))
+        found = certified(rows[1], rows[0], risk, alpha / strata)
+        row = {stratum: own[stratum].iloc[0]} | {r.name: r.grid[j] if j >= 0 else None for r, j in zip(RULES, found)}
         return pd.DataFrame([row], columns=[stratum, *names]).astype(dict.fromkeys(names, "float64"))
 
-    # a group has two rows at most for each rule and cutoff
+    # a group has two rows at most for each combination of the grids' steps, whatever the input
     return counts.groupBy(stratum).applyInPandas(choose, f"`{stratum}` {kind}, {', '.join(f'{n} double' for n in names)}")
 
 

@@ -355,6 +355,31 @@ def test_quality_verdicts(spark, odd, none):
     assert quality.judge(none, empty).count() == 0 and quality.keep(odd, empty).columns == odd.columns
 
 
+def test_rules_are_certified_together(spark):
+    """437 good labels are enough for cutoffs that reject none of them in one of four strata; 436 aren't."""
+    rng = random.Random(12)
+    texts, langs, quality_ = [], [], []
+    for lang, n in (("a", 437), ("b", 436), ("c", 437), ("d", 437)):
+        texts += [prose(rng, 80) for _ in range(n)] + [prose(rng, 60) + " ####" * 40 for _ in range(20)]
+        langs += [lang] * (n + 20)
+        quality_ += [1] * n + [0] * 20
+    df = spark.createDataFrame([(i, t, g) for i, (t, g) in enumerate(zip(texts, langs))], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, q, 0) for i, q in enumerate(quality_)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r["kept"] for r in quality.judge(df, labels).collect()}
+    assert all(got[i] == (q == 1 or g == "b") for i, (q, g) in enumerate(zip(quality_, langs)))
+
+
+def test_joint_cutoffs_keep_the_risk_of_the_union():
+    n = len(quality.RULES)
+    off = tuple(len(r.grid) for r in quality.RULES)
+    one, two = (0, *off[1:]), (off[0], 1, *off[2:])
+    bad = [(one, 5), (two, 5)]
+    assert quality.joint_path(bad) == [(0, *[-1] * (n - 1)), (0, 1, *[-1] * (n - 2))]
+    # each rule alone rejects 6 of 1000 good rows, both together 12: only the first is certified at 1.5 %
+    assert quality.certified([(off, 988), (one, 6), (two, 6)], bad, 0.015, 0.05) == (0, *[-1] * (n - 1))
+    assert quality.certified([(off, 1000)], bad, 0.015, 0.05) == (0, 1, *[-1] * (n - 2))
+
+
 def test_binomial_bound():
     from math import comb
 
