@@ -7,9 +7,10 @@ sum of those conditional log-probabilities.
   others share hashed ids, so the vocabulary has a fixed size of ``side * side``.
 * Network: one input table per window position, summed and squashed to a hidden layer; the output is factored into a
   class of ``side`` and a member of ``side`` given class and hidden layer, which sums to one over all ids.
-* Training: every document takes part in every round.  Tasks start from the same parameters, run Adagrad over their own
-  documents (every ``stride``-th position, shifted by round), and hand on their parameters; the mean weighted by
-  positions starts the next round.  Parameters have a fixed size; what is gathered from tasks grows with the input.
+* Training: every token of every document is a target, in one of every ``stride`` rounds; by its position in its document
+  it takes turns with its neighbours, so that only a document shorter than the stride skips a round.  Tasks start from
+  the same parameters, run Adagrad over their own documents and hand on their parameters; the mean weighted by positions
+  starts the next round.  Parameters have a fixed size; what is gathered from tasks grows with the input.
 
 Defined cases: a null or wordless text has no tokens, score 0.0 and a null mean; words beyond the text's ends are a pad
 id; repeated rows get equal scores; an empty table gives no rows; further columns are ignored.
@@ -30,7 +31,8 @@ from .common import arrow, slices
 from .fingerprints import words_of
 
 SIDE, HASHED, HIDDEN, WINDOW = 32, 64, 32, 2
-ROUNDS, STRIDE, STEP, BATCH = 2, 4, 0.1, 4096
+#: With as many rounds as the stride every token is a target.
+ROUNDS, STRIDE, STEP, BATCH = 2, 2, 0.1, 4096
 #: Distinct words that a counting task holds before it hands on its counts.
 WORDS_HELD = 400_000
 _BLOCK = 1 << 13
@@ -91,6 +93,12 @@ def windows(ids: np.ndarray, lens: np.ndarray, pad: int, window: int = WINDOW) -
     return out
 
 
+def targets(lens: np.ndarray, number: int, stride: int) -> np.ndarray:
+    """Positions that round ``number`` trains, of texts with ``lens`` tokens: ``stride`` rounds in a row take each position once."""
+    own = np.arange(int(lens.sum())) - np.repeat(np.cumsum(lens) - lens, lens)
+    return np.flatnonzero(own % stride == number % stride)
+
+
 class Network:
     """Parameters in one flat array of float32, and views of it."""
 
@@ -187,7 +195,7 @@ def train_round(docs: DataFrame, words: list[bytes], network: Network, number: i
         for b in slices(batches, text_col):
             ids, lens = vocab.ids(b.column(text_col).to_pylist())
             context = windows(ids, lens, pad, window)
-            chosen = np.arange(number % stride, len(ids), stride)
+            chosen = targets(lens, number, stride)
             for i in range(0, len(chosen), BATCH):
                 at = chosen[i : i + BATCH]
                 net.train(context[:, at], ids[at], sums)

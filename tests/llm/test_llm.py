@@ -307,6 +307,12 @@ def test_scores(spark, odd, none):
     assert {(r["n_tokens"], r["log_likelihood"], r["mean_log_likelihood"]) for r in got if r["doc_id"] in (0, 1, 2)} == {(0, 0.0, None)}
 
 
+def test_every_token_is_a_target():
+    lens = np.array([1, 0, 2, 3, 1, 7, 50])
+    seen = np.concatenate([lm_scoring.targets(lens, k, lm_scoring.STRIDE) for k in range(lm_scoring.ROUNDS)])
+    assert set(seen) == set(range(lens.sum()))
+
+
 def test_licences(spark, odd, none):
     mit = dict(licences.TEXTS)["MIT"]
     changed = "Copyright (c) 2020 Someone\n\n" + mit.upper().replace("SUBLICENSE", "SUB-LICENCE").replace("\n", "\n\n")
