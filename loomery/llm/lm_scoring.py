@@ -3,8 +3,10 @@
 A bidirectional window network predicts every token from the tokens to both of its sides.  A document's score is the
 sum of those conditional log-probabilities.
 
-* Tokens: lower-case words.  The commonest words of the whole corpus (counted over every document) have an id each, all
-  others share hashed ids, so the vocabulary has a fixed size of ``side * side``.
+* Tokens: lower-case words, all counted over every document.  The commonest have an id each, the others share hashed ids,
+  so the network has a fixed size of ``side * side`` ids.  A rare word's probability is the network's for its id times
+  the word's share of all tokens of that id; the counts of all words, however many, meet the documents by shuffle.  One
+  more token an id is kept for words that were never counted, so that no word has probability zero.
 * Network: one input table per window position, summed and squashed to a hidden layer; the output is factored into a
   class of ``side`` and a member of ``side`` given class and hidden layer, which sums to one over all ids.
 * Training: every token of every document is a target, in one of every ``stride`` rounds; by its position in its document
@@ -20,14 +22,15 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, compress
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, slices
+from .common import arrow, cut, slices
 from .fingerprints import words_of
 
 SIDE, HASHED, HIDDEN, WINDOW = 32, 64, 32, 2
@@ -36,10 +39,11 @@ ROUNDS, STRIDE, STEP, BATCH = 2, 2, 0.1, 4096
 #: Distinct words that a counting task holds before it hands on its counts.
 WORDS_HELD = 400_000
 _BLOCK = 1 << 13
+_UNITS = float(1 << 30)
 
 
-def common_words(docs: DataFrame, n: int, text_col: str = "text") -> list[tuple[bytes, int]]:
-    """The ``n`` most frequent words of all documents with their counts, ties by the word."""
+def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(word, n) of all words of all documents."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
@@ -57,10 +61,30 @@ def common_words(docs: DataFrame, n: int, text_col: str = "text") -> list[tuple[
         if held:
             yield hand_on()
 
-    counts = arrow(docs.select(text_col), kernel, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return cut(arrow(docs.select(text_col), kernel, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+
+
+def common_words(counts: DataFrame, n: int) -> list[tuple[bytes, int]]:
+    """The ``n`` most frequent words with their counts, ties by the word."""
     return [(bytes(r["word"]), int(r["n"])) for r in counts.orderBy(F.desc("n"), "word").limit(n).collect()]
 
 
+def bucket(word: Column | str, hashed: int = HASHED) -> Column:
+    """The hashed id that a word shares if it isn't common, from 0."""
+    return (F.crc32(word) % hashed).cast("int")
+
+
+def rare_words(counts: DataFrame, words: list[bytes], hashed: int = HASHED) -> tuple[DataFrame, list[int]]:
+    """((word, n) of words that aren't common, tokens that share each hashed id)."""
+    # as many rows as the network has ids
+    common = F.broadcast(counts.sparkSession.createDataFrame([(bytearray(w),) for w in words], "word binary"))
+    rare = counts.join(common, "word", "left_anti")
+    totals = [0] * hashed
+    for r in rare.groupBy(bucket("word", hashed).alias("b")).agg(F.sum("n").alias("n")).collect():
+        totals[r["b"]] = int(r["n"])
+    return rare, totals
+
+
 class Vocabulary(dict):
     """Ids of words; words that aren't common share the last ``hashed`` ids."""
 
@@ -76,7 +100,10 @@ class Vocabulary(dict):
 
     def ids(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, tokens of each)."""
-        split = [words_of(t or "") for t in texts]
+        return self.coded([words_of(t or "") for t in texts])
+
+    def coded(self, split: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of texts cut into words."""
         lens = np.fromiter(map(len, split), np.int64, len(split))
         return np.fromiter((i for words in split for i in map(self.__getitem__, words)), np.int64, int(lens.sum())), lens
 
@@ -223,38 +250,59 @@ def train_round(docs: DataFrame, words: list[bytes], network: Network, number: i
     return Network(network.side, network.hidden, network.window, flat)
 
 
-def fit(docs: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE, side: int = SIDE, hidden: int = HIDDEN, window: int = WINDOW, text_col: str = "text") -> tuple[list[bytes], Network]:
-    """(common words, trained network)."""
-    common = common_words(docs, side * side - HASHED, text_col)
-    counts = np.zeros(side * side)
-    counts[: len(common)] = [n for _, n in common]
-    # hashed ids share a rare word's count to start with
-    counts[side * side - HASHED :] = common[-1][1] if common else 0
-    network = Network(side, hidden, window, counts=counts)
+def fit(docs: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE, side: int = SIDE, hidden: int = HIDDEN, window: int = WINDOW, text_col: str = "text", counts: DataFrame | None = None) -> tuple[list[bytes], Network]:
+    """(common words, trained network).  ``counts``: ``word_counts`` of the documents, if at hand."""
+    counts = word_counts(docs, text_col) if counts is None else counts
+    common = common_words(counts, side * side - HASHED)
     words = [w for w, _ in common]
+    start = np.zeros(side * side)
+    start[: len(common)] = [n for _, n in common]
+    start[side * side - HASHED :] = rare_words(counts, words)[1]
+    network = Network(side, hidden, window, counts=start)
     for k in range(rounds):
         network = train_round(docs, words, network, k, stride, text_col)
     return words, network
 
 
-def score(docs: DataFrame, words: list[bytes], network: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: n_tokens, log_likelihood (sum over all tokens) and its mean per token."""
+def score(docs: DataFrame, words: list[bytes], network: Network, id_col: str = "doc_id", text_col: str = "text", counts: DataFrame | None = None) -> DataFrame:
+    """Per document: n_tokens, log_likelihood (sum over all tokens) and its mean per token.
+
+    ``counts``: ``word_counts`` of the documents that the network has learned; without them a rare word has the
+    probability of its id.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
     held = docs.sparkSession.sparkContext.broadcast((network.flat, network.side, network.hidden, network.window))
+    split_rare = counts is not None
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat, side, hidden, window = held.value
         net, vocab = Network(side, hidden, window, flat), Vocabulary(words, side)
         for b in slices(batches, text_col):
-            ids, lens = vocab.ids(b.column(text_col).to_pylist())
+            split = [words_of(t or "") for t in b.column(text_col).to_pylist()]
+            ids, lens = vocab.coded(split)
             total = net.score(ids, lens)
-            mean = pa.array([s / n if n else None for s, n in zip(total.tolist(), lens.tolist())], pa.float64())
-            yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array(lens), pa.array(total, pa.float64()), mean], [id_col, "n_tokens", "log_likelihood", "mean_log_likelihood"])
-
-    return arrow(docs.select(id_col, text_col), kernel, f"`{id_col}` {kind}, n_tokens long, log_likelihood double, mean_log_likelihood double")
+            rare = ids >= vocab.first if split_rare else np.zeros(len(ids), bool)
+            ends = np.concatenate([[0], np.cumsum(rare)])[np.concatenate([[0], np.cumsum(lens)])]
+            rest = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(list(compress(chain.from_iterable(split), rare.tolist())), pa.binary()))
+            yield pa.RecordBatch.from_arrays([b.column(id_col), b.column("_mid"), pa.array(lens), pa.array(total, pa.float64()), rest], [id_col, "_mid", "n_tokens", "_network", "_rare"])
+
+    rows = arrow(docs.select(id_col, F.monotonically_increasing_id().alias("_mid"), text_col), kernel, f"`{id_col}` {kind}, _mid long, n_tokens long, _network double, _rare array<binary>")
+    total = F.col("_network")
+    if split_rare:
+        rows = cut(rows, "network_scores")
+        rare, totals = rare_words(counts, words)
+        of = F.element_at(F.array(*(F.lit(n) for n in totals)), bucket("_word") + 1)
+        share = F.log(F.coalesce("n", F.lit(1)) / (of + 1))
+        # whole numbers, so that a sum doesn't depend on the order of rows
+        known = rows.select("_mid", F.explode("_rare").alias("_word")).join(rare.withColumnRenamed("word", "_word").hint("shuffle_hash"), "_word", "left")
+        parts = known.groupBy(F.col("_mid").alias("_m")).agg(F.sum(F.round(share * _UNITS).cast("long")).alias("_share"))
+        rows = rows.drop("_rare").join(parts, F.col("_mid") == F.col("_m"), "left")
+        total = total + F.coalesce("_share", F.lit(0)) / _UNITS
+    return rows.select(id_col, "n_tokens", total.alias("log_likelihood"), F.when(F.col("n_tokens") > 0, total / F.col("n_tokens")).alias("mean_log_likelihood"))
 
 
 def pseudo_likelihood(docs: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Train on all documents, then score all documents."""
-    words, network = fit(docs, rounds, stride, text_col=text_col)
-    return score(docs, words, network, id_col, text_col)
+    counts = word_counts(docs, text_col)
+    words, network = fit(docs, rounds, stride, text_col=text_col, counts=counts)
+    return score(docs, words, network, id_col, text_col, counts)

@@ -313,6 +313,19 @@ def test_every_token_is_a_target():
     assert set(seen) == set(range(lens.sum()))
 
 
+def test_rare_words_of_one_id_are_told_apart(spark):
+    a, b, c = [w for w in (f"v{i}" for i in range(9999)) if zlib.crc32(w.encode()) % lm_scoring.HASHED == 5][:3]
+    counts = lm_scoring.word_counts(frame(spark, [f"{a} {b} " * 4, f"{a} " * 5, None]))
+    got = {r["doc_id"]: r for r in lm_scoring.score(frame(spark, [a, b, c, f"{a} {b}", f"{b} {a}", None]), [], lm_scoring.Network(), counts=counts).collect()}
+    plain = lm_scoring.score(frame(spark, [a]), [], lm_scoring.Network()).first()["log_likelihood"]
+    # 9 and 4 of 13 tokens of the id, and one more for words never seen
+    assert [got[i]["log_likelihood"] - plain for i in range(3)] == pytest.approx([np.log(9 / 14), np.log(4 / 14), np.log(1 / 14)], abs=1e-6)
+    assert got[3]["n_tokens"] == 2 and got[3]["mean_log_likelihood"] == pytest.approx(got[3]["log_likelihood"] / 2) and got[5]["mean_log_likelihood"] is None
+    whole = [" ".join(f"w{i}" for i in range(960)) + f" {a} {a} {a} {b}", *[" ".join(f"w{i}" for i in range(960))] * 4]
+    scored = {r["doc_id"]: r["log_likelihood"] for r in lm_scoring.pseudo_likelihood(frame(spark, [*whole, a, b])).collect()}
+    assert scored[5] - scored[6] == pytest.approx(np.log(4 / 2), abs=1e-6)
+
+
 def test_licences(spark, odd, none):
     mit = dict(licences.TEXTS)["MIT"]
     changed = "Copyright (c) 2020 Someone\n\n" + mit.upper().replace("SUBLICENSE", "SUB-LICENCE").replace("\n", "\n\n")
