@@ -1,6 +1,7 @@
 """Near-duplicate classes by consistent weighted sampling over TF-IDF shingles (operator 7).
 
-1. Document frequencies of all word shingles are counted over every document into a hashed table of fixed size.
+1. Document frequencies of all word shingles are counted over every document, each shingle by itself: blocks of documents
+   send their distinct shingles to ranges of hashes, where they are added up, and get the sums back.
 2. A document's shingles get TF-IDF weights, and ``bands * rows`` independent weighted samples are drawn, each over all
    shingles of the document: the earliest of random points that lie evenly on its weight.  Two documents agree in a
    sample with exactly their weighted Jaccard similarity.  ``rows`` samples make a band; documents that share a band are
@@ -33,8 +34,8 @@ from .common import arrow, cut, slices
 from .components import components
 
 SHINGLE, LEAST, BANDS, ROWS = 5, 0.8, 28, 5
-#: log2 of the cells of the table of document frequencies; a cell counts all shingles that fall into it.
-CELL_BITS, BLOCK_BITS = 20, 12
+#: log2 of the documents whose shingles are counted together; at most 256, as a block's own count is one byte.
+BLOCK_BITS = 8
 _SCALE = 10.0
 #: Bounds of the ranges of weight that have points of their own; a shingle needs the ranges that begin below its weight.
 _EDGES = (0, 10, 20, 40, 80, 160, 256)
@@ -77,50 +78,78 @@ def shingles(texts: list[str | None], size: int = SHINGLE) -> tuple[np.ndarray,
     return doc[first], h[first], np.diff(np.append(first, len(h)))
 
 
-def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, int]:
-    """(documents that have a shingle in each cell, all documents).  The table's size is fixed; partial tables are added up in blocks."""
-    cells, block = 1 << CELL_BITS, 1 << BLOCK_BITS
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = np.zeros(cells, np.int64), 0
-        for b in slices(batches, text_col, 2 << 20):
-            _, h, _ = shingles(b.column(text_col).to_pylist())
-            held += np.bincount((h >> _U(64 - CELL_BITS)).astype(np.int64), minlength=cells)
-            n += b.num_rows
-        if n:
-            parts = [held[i : i + block].astype("<i4").tobytes() for i in range(0, cells, block)]
-            yield pa.RecordBatch.from_arrays([pa.array([*range(len(parts)), -1], pa.int32()), pa.array([*parts, np.array([n], "<i4").tobytes()], pa.binary())], ["block", "counts"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for b in batches:
-            for k, raw in zip(b.column("block").to_pylist(), b.column("counts").to_pylist()):
-                part = np.frombuffer(raw, "<i4").astype(np.int64)
-                sums[k] = sums[k] + part if k in sums else part
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["block", "counts"])
-
-    parts = arrow(docs.select(text_col), count, "block int, counts binary")
-    # 2^(CELL_BITS - BLOCK_BITS) blocks and one count, whatever the input
-    rows = arrow(parts.repartition("block"), add, "block int, counts binary").collect()
-    table, n = np.zeros(cells, np.int64), 0
-    for r in rows:
-        got = np.frombuffer(bytes(r["counts"]), np.int64)
-        if r["block"] < 0:
-            n = int(got[0])
-        else:
-            table[r["block"] * block : (r["block"] + 1) * block] = got
-    return table, n
-
-
-def idf_table(df: np.ndarray, n: int) -> np.ndarray:
-    """Weight of each cell, from 1 (in every document) to 2."""
-    return (1.0 + np.log((1.0 + max(n, 1)) / (1.0 + np.minimum(df, n))) / np.log(1.0 + max(n, 1))).astype(np.float32)
-
-
-def weights(h: np.ndarray, times: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """TF-IDF weights in tenths, 1 to 255."""
-    w = (1.0 + np.log(times)) * idf[(h >> _U(64 - CELL_BITS)).astype(np.int64)]
-    return np.clip(np.rint(w * _SCALE), 1, 255).astype(np.uint8)
+def shingled(texts: list[str | None], most_chars: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``shingles`` of a block of texts, some at a time."""
+    out, at = [(np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0, np.int64))], 0
+    while at < len(texts):
+        end, chars = at, 0
+        while end < len(texts) and (end == at or chars < most_chars):
+            chars += len(texts[end] or "")
+            end += 1
+        doc, h, times = shingles(texts[at:end])
+        out.append((doc + at, h, times))
+        at = end
+    doc, h, times = (np.concatenate(x) for x in zip(*out))
+    return doc, h, times
+
+
+def numbered(docs: DataFrame, *cols: str) -> DataFrame:
+    """``cols`` with _mid and the _block of documents that a row belongs to."""
+    return docs.select(*cols, F.monotonically_increasing_id().alias("_mid")).withColumn("_block", F.shiftright("_mid", BLOCK_BITS))
+
+
+def steady(docs: DataFrame) -> DataFrame:
+    """``docs``, with rows in the same partitions and order whenever it is read: after a shuffle they are written first."""
+    return cut(docs, "texts") if "Exchange" in docs._jdf.queryExecution().executedPlan().toString() else docs
+
+
+def document_frequencies(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(block, range, df): of each block's distinct shingles in ascending order the documents of the whole table that have them, 32 bits each.
+
+    A shingle is told from others of its range by 40 bits of its hash; there are at least 32 ranges, and more as the table grows.
+    """
+    ranges = max(32, docs.rdd.getNumPartitions() // 2)
+
+    def one(block: int, texts: list[str | None]) -> pa.RecordBatch:
+        h, n = np.unique(shingled(texts)[1], return_counts=True)
+        low = h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+        at = np.searchsorted((h >> _U(40)) * _U(ranges) >> _U(24), np.arange(ranges + 1, dtype=_U))
+        some = np.flatnonzero(at[1:] > at[:-1])
+        own = (n - 1).astype(np.uint8)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(some), block), pa.int64()), pa.array(some, pa.int32()), pa.array([low[at[i] : at[i + 1]].tobytes() for i in some], pa.binary()), pa.array([own[at[i] : at[i + 1]].tobytes() for i in some], pa.binary())], ["block", "range", "hashes", "n"]
+        )
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held = -1, []
+        for b in slices(batches, text_col, 1 << 20):
+            for k, text in zip(b.column("_block").to_pylist(), b.column(text_col).to_pylist()):
+                if k != block:
+                    if held:
+                        yield one(block, held)
+                    block, held = k, []
+                held.append(text)
+        if held:
+            yield one(block, held)
+
+    def add(group: pa.Table) -> pa.Table:
+        raw = b"".join(group.column("hashes").to_pylist())
+        wide = np.zeros((len(raw) // 5, 8), np.uint8)
+        wide[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+        n = np.frombuffer(b"".join(group.column("n").to_pylist()), np.uint8).astype(np.int64) + 1
+        _, at = np.unique(wide.view("<u8")[:, 0], return_inverse=True)
+        df = np.bincount(at, n).astype("<u4")[at]
+        ends = np.cumsum([len(x) // 5 for x in group.column("hashes").to_pylist()])
+        return pa.table({"block": group.column("block"), "range": group.column("range"), "df": pa.array([x.tobytes() for x in np.split(df, ends[:-1])], pa.binary())})
+
+    sent = arrow(numbered(docs, text_col), send, "block long, range int, hashes binary, n binary")
+    return sent.groupBy("range").applyInArrow(add, "block long, range int, df binary")
+
+
+def weights(times: np.ndarray, df: np.ndarray, n: int) -> np.ndarray:
+    """TF-IDF weights in tenths, 1 to 255; the second factor goes from 1 (in all ``n`` documents) to 2."""
+    idf = 1.0 + np.log((1.0 + max(n, 1)) / (1.0 + np.minimum(df, n))) / np.log(1.0 + max(n, 1))
+    return np.clip(np.rint((1.0 + np.log(times)) * idf * _SCALE), 1, 255).astype(np.uint8)
 
 
 def fill_order(k: int) -> np.ndarray:
@@ -211,39 +240,42 @@ def vectors(doc: np.ndarray, h: np.ndarray, q: np.ndarray, n: int) -> list[bytes
     return out
 
 
-def signed(docs: DataFrame, idf: np.ndarray, bands: int, rows: int, id_col: str, text_col: str) -> DataFrame:
-    """Per row: id, _mid, digest of the text; and for the first row of a text in its partition: bands and vector."""
+def signed(docs: DataFrame, bands: int, rows: int, id_col: str, text_col: str) -> DataFrame:
+    """Per row: id, _mid, digest of the text; and for the first row of a text in its block: bands and vector."""
     kind = docs.schema[id_col].dataType.simpleString()
-    held = docs.sparkSession.sparkContext.broadcast(idf)
-
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, k, seen = held.value, bands * rows, set()
-        for b in slices(batches, text_col, 1 << 20):
-            texts = b.column(text_col).to_pylist()
-            digests = [hashlib.sha256((t or "").encode()).digest()[:16] for t in texts]
-            fresh = []
-            for i, d in enumerate(digests):
-                if d not in seen:
-                    seen.add(d)
-                    fresh.append(i)
-            doc, h, times = shingles([texts[i] for i in fresh])
-            q = weights(h, times, idf)
-            keys = band_keys(sketches(doc, h, q, len(fresh), k), bands, rows)
-            mass = np.bincount(doc, q, len(fresh)).astype(np.int64)
-            first = {i: j for j, i in enumerate(fresh)}
-            vec = vectors(doc, h, q, len(fresh))
-            at = [first.get(i, -1) for i in range(len(texts))]
-            cols = [
-                b.column(id_col),
-                b.column("_mid"),
-                pa.array(digests, pa.binary()),
-                # a text without words meets no other
-                pa.array([None if j < 0 else keys[j] if mass[j] else [] for j in at], pa.list_(pa.int64())),
-                pa.array([None if j < 0 else vec[j] for j in at], pa.binary()),
-            ]
-            yield pa.RecordBatch.from_arrays(cols, [id_col, "_mid", "digest", "bands", "vector"])
-
-    return arrow(docs.select(id_col, F.monotonically_increasing_id().alias("_mid"), text_col), kernel, f"`{id_col}` {kind}, _mid long, digest binary, bands array<long>, vector binary")
+    docs = steady(docs.select(id_col, text_col))
+    n = docs.count()
+
+    def kernel(block: pa.Table, counts: pa.Table) -> pa.Table:
+        block = block.sort_by("_mid")
+        texts = block.column(text_col).to_pylist()
+        digests = [hashlib.sha256((t or "").encode()).digest()[:16] for t in texts]
+        first: dict[bytes, int] = {}
+        for i, d in enumerate(digests):
+            first.setdefault(d, i)
+        fresh = {i: j for j, i in enumerate(first.values())}
+        doc, h, times = shingled([texts[i] for i in fresh])
+        df = np.frombuffer(b"".join(counts.sort_by("range").column("df").to_pylist()), "<u4")
+        distinct = np.unique(h)
+        if len(distinct) != len(df):
+            raise ValueError("a block of documents was read in two ways")
+        q = weights(times, df[np.searchsorted(distinct, h)].astype(np.int64), n)
+        keys = band_keys(sketches(doc, h, q, len(fresh), bands * rows), bands, rows)
+        mass = np.bincount(doc, q, len(fresh)).astype(np.int64)
+        vec = vectors(doc, h, q, len(fresh))
+        at = [fresh.get(i, -1) for i in range(len(texts))]
+        cols = [
+            block.column(id_col),
+            block.column("_mid"),
+            pa.array(digests, pa.binary()),
+            # a text without words meets no other
+            pa.array([None if j < 0 else keys[j] if mass[j] else [] for j in at], pa.list_(pa.int64())),
+            pa.array([None if j < 0 else vec[j] for j in at], pa.binary()),
+        ]
+        return pa.table(cols, names=[id_col, "_mid", "digest", "bands", "vector"])
+
+    counted = document_frequencies(docs, text_col).groupBy("block")
+    return numbered(docs, id_col, text_col).groupBy("_block").cogroup(counted).applyInArrow(kernel, f"`{id_col}` {kind}, _mid long, digest binary, bands array<long>, vector binary")
 
 
 def verified(pairs: DataFrame, involved: DataFrame) -> DataFrame:
@@ -308,10 +340,9 @@ def block_links(clusters: DataFrame, comp: DataFrame, involved: DataFrame, least
 
 def classes(docs: DataFrame, least: float = LEAST, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: id, digest, class_id and whether it is the row kept of its class."""
-    df, n = document_frequencies(docs, text_col)
-    rows_ = cut(signed(docs, idf_table(df, n), bands, rows, id_col, text_col), "signed")
+    rows_ = cut(signed(docs, bands, rows, id_col, text_col), "signed")
     nodes = cut(rows_.groupBy("digest").agg(F.min("_mid").alias("node"), F.min_by(id_col, "_mid").alias("_id")), "nodes")
-    # the first row of a text is also first in its partition, so it has bands and a vector
+    # the first row of a text is also first in its block, so it has bands and a vector
     own = rows_.filter(F.col("bands").isNotNull()).select(F.col("_mid").alias("node"), "bands", "vector")
     own = own.join(nodes.select("node"), "node", "left_semi")
     dealt = cut(own.select("node", F.explode("bands").alias("key")), "bands")

@@ -279,6 +279,27 @@ def test_uneven_weights_still_meet(common, times, unique):
     assert missed <= 1, missed
 
 
+def test_document_frequencies_are_exact(spark):
+    """Weights of stored vectors against a plain count; the texts have more shingles than fit a small table without meeting."""
+    rng = random.Random(13)
+    shared = prose(rng, 40)
+    texts = [prose(rng, 300, 10**6) + (" " + shared if i % 3 == 0 else "") for i in range(400)] + ["", None]
+    found = [near_dedup.shingles([t])[1:] for t in texts]
+    df = {}
+    for h, _ in found:
+        for x in h.tolist():
+            df[x] = df.get(x, 0) + 1
+    idf = {x: 1 + np.log(403 / (1 + n)) / np.log(403) for x, n in df.items()}
+    got = {r["class_id"]: r for r in near_dedup.classes(frame(spark, texts)).collect()}
+    assert len(got) == 401
+    signed = near_dedup.signed(frame(spark, texts).repartition(3), 28, 5, "doc_id", "text").collect()
+    for r in signed:
+        h, times = found[r["doc_id"]]
+        want = sorted((x & 0xFFFFFFFF, round((1 + np.log(t)) * idf[x] * 10)) for x, t in zip(h.tolist(), times))
+        if r["vector"] is not None:
+            assert [tuple(x) for x in zip(*(v.tolist() for v in near_dedup._vector(bytes(r["vector"]))))] == want
+
+
 def test_scores(spark, odd, none):
     rng = random.Random(9)
     follow = {w: f"w{(int(w[1:]) * 7 + 3) % 50}" for w in (f"w{i}" for i in range(50))}
