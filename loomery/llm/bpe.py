@@ -71,16 +71,23 @@ def char_offsets(text: str, spans: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Ids of whole texts.  ``library``: "tokenizers" or "tiktoken"; both give the same ids for the same vocabulary."""
+    """Ids of whole texts.  ``library``: "tokenizers" or "tiktoken"; both give the same ids for the same vocabulary.
 
-    def __init__(self, file: str, library: str = "tokenizers", pattern: str | None = None):
+    ``special``: strings of special tokens have the special ids (tokenizers only); else they are ordinary text.
+    """
+
+    def __init__(self, file: str, library: str = "tokenizers", pattern: str | None = None, special: bool = False):
         self.known: dict[str, bytes] = {}
+        #: Strings that have an id of their own; a text that holds one is encoded whole.
+        self.special: tuple[str, ...] = ()
         if library == "tokenizers":
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
             from tokenizers import Tokenizer
 
             whole = Tokenizer.from_file(file)
-            whole.encode_special_tokens = True
+            whole.encode_special_tokens = not special
+            if special:
+                self.special = tuple(t.content for t in whole.get_added_tokens_decoder().values())
             chars, model = byte_chars(), whole.model
             self.vocab = whole.get_vocab()
 
@@ -122,8 +129,9 @@ class Encoder:
         values = list(map(known.get, names))
         for i in [i for i, v in enumerate(values) if v is None]:
             u = names[i]
-            # no ids mark a unit that is empty or starts with white space: the text has a space before white space or its end
-            values[i] = v = array("I", one(" " + u)).tobytes() if u and not u[0].isspace() else b""
+            # no ids mark a unit that is empty or starts with white space: the text has a space before white space or its end;
+            # and a unit with a special token
+            values[i] = v = array("I", one(" " + u)).tobytes() if u and not u[0].isspace() and not any(x in u for x in self.special) else b""
             if len(u) <= 64:
                 known[u] = v
         if len(known) > UNITS_KEPT:
@@ -160,9 +168,9 @@ class Encoder:
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
-def encoder(file: str, library: str = "tokenizers", pattern: str | None = None) -> Encoder:
+def encoder(file: str, library: str = "tokenizers", pattern: str | None = None, special: bool = False) -> Encoder:
     """The worker's own encoder of ``file``."""
-    key = (file, library, pattern)
+    key = (file, library, pattern, special)
     if key not in _ENCODERS:
         _ENCODERS[key] = Encoder(*key)
     return _ENCODERS[key]

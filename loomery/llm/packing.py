@@ -81,12 +81,12 @@ class Plan:
         return sequence, at
 
 
-def pieces(docs: DataFrame, file: str, pattern: str, capacity: int, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, file: str, pattern: str | None, capacity: int, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, with _pid and the piece's _rank among its length there."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = bpe.encoder(file, "tiktoken", pattern)
+        enc = bpe.encoder(file, "tiktoken", pattern) if pattern else bpe.encoder(file, special=True)
         seen = np.zeros(capacity + 1, np.int64)
         closing = np.array([end_id], "<u4").tobytes()
         for b in slices(batches, text_col, bpe.BATCH_BYTES):
@@ -111,8 +111,12 @@ def pieces(docs: DataFrame, file: str, pattern: str, capacity: int, end_id: int
     return arrow(docs.select(F.spark_partition_id().alias("_pid"), id_col, text_col), kernel, f"_pid int, `{id_col}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, _rank long")
 
 
-def pack(docs: DataFrame, file: str, pattern: str, capacity: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``pieces`` of all documents with sequence_id and offset.  ids: those of the byte-level vocabulary ``file`` (ranks), closed by ``end_id``."""
+def pack(docs: DataFrame, file: str, pattern: str | None = None, capacity: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``pieces`` of all documents with sequence_id and offset.  Ids are closed by ``end_id``.
+
+    ``file``: a tokenizers file, whose special tokens in a text have their ids; or with ``pattern`` ranks for tiktoken, to
+    which they are ordinary text.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
     found = cut(pieces(docs, file, pattern, capacity, end_id, id_col, text_col), "pieces")
     # at most `capacity` rows, whatever the input

@@ -15,12 +15,6 @@ def _path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def _pattern() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.PATTERN
-
-
 def op1_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import lm_scoring
 
@@ -54,7 +48,7 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import packing
 
-    return packing.pack(table(spark, sf_dir, "documents"), _path("byte_bpe_50k.tiktoken"), _pattern(), 1024, 0)
+    return packing.pack(table(spark, sf_dir, "documents"), _path("byte_bpe_50k.json"), None, 1024, 0)
 
 
 def op7_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

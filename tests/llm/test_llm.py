@@ -156,6 +156,27 @@ def test_packing(spark, odd, none, own):
         assert at == len(ids)
 
 
+def test_packing_equals_tokenizers(spark):
+    from tokenizers import Tokenizer
+
+    rng = random.Random(14)
+    parts = ["<|endoftext|>", " ", "a", " word", "\n", "  ", "ß", ", ", "<|", "12"]
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|> a b", *("".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(400))]
+    whole, want = Tokenizer.from_file(JSON), {}
+    for i, t in enumerate(texts):
+        ids = [*whole.encode(t, add_special_tokens=False).ids, 0]
+        want[i] = (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+    assert want[0] == (5, zlib.crc32(np.array([64, 220, 50256, 275, 0], "<u4").tobytes()))
+    assert {r["doc_id"]: (r["doc_tokens"], r["ids_crc32"]) for r in packing.pack(frame(spark, texts), JSON).collect()} == want
+
+
+def test_queries_pack_by_the_named_file(spark, tmp_path):
+    from loomery.llm import queries
+
+    frame(spark, ["a <|endoftext|> b"]).write.parquet(f"{tmp_path}/documents.parquet")
+    assert queries.op6_packing(spark, str(tmp_path)).first()["doc_tokens"] == 5
+
+
 def test_patterns_hold_the_histogram():
     rng = random.Random(1)
     for _ in range(30):
