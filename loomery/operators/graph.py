@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,16 +76,18 @@ def expand_related(walks: DataFrame, kind_weight: Column, same_dir: Column, k: i
     return walks.withColumn("relevance", rel).withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k)
 
 
-def reachable(links: DataFrame, seeds: DataFrame, depth: int = HARD_DEPTH) -> DataFrame:
-    """(seed, id) of all nodes reached, each once: a frontier that leaves out what is known keeps every step small."""
+def reachable(links: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:
+    """(seed, id) of all nodes reached, or of those at most ``depth`` links away, each once: a frontier that leaves out what is known keeps every step small."""
     e = cut(links.select(F.col("src").alias("_from"), F.col("dst").alias("_to")).distinct())
     frontier = cut(seeds.select(F.col("id").alias("seed"), F.col("id")).distinct())
     known = frontier
-    for _ in range(depth):
+    for k in count() if depth is None else range(depth):
         step = frontier.join(e, F.col("id") == F.col("_from")).select("seed", F.col("_to").alias("id")).distinct()
-        # files of every step: the plan doesn't grow with the depth
+        # files of every step, now and then gathered: the plan doesn't grow with the depth
         frontier = cut(step.join(known, ["seed", "id"], "left_anti"))
         if frontier.isEmpty():
             break
         known = known.unionByName(frontier)
+        if k % 16 == 15:
+            known = cut(known)
     return known

@@ -140,7 +140,7 @@ def _(spark, d):
 
     cells = _merged(spark, d)
     links = cells.filter("vtype = 'link'").select(F.col("soul").alias("src"), F.col("v_link").alias("dst"))
-    return graph.reachable(links, cells.select(F.col("soul").alias("id")).distinct(), 10).groupBy("seed").agg(F.count("*").alias("n"))
+    return graph.reachable(links, cells.select(F.col("soul").alias("id")).distinct()).groupBy("seed").agg(F.count("*").alias("n"))
 
 
 @query("B73_message_dedup", twin("SELECT msg_id, state FROM (SELECT *, lag(state) OVER (PARTITION BY CAST(event_id % 100 AS VARCHAR) ORDER BY state, soul, key) AS p FROM cells) x WHERE p IS NULL OR state - p >= 20", "cells"))

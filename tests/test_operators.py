@@ -51,6 +51,13 @@ def test_traversal(spark):
     assert rows(graph.reachable(e, s), "id") == [(1,), (2,), (3,)]
 
 
+def test_reachable_follows_long_chains(spark):
+    e = spark.createDataFrame([(i, i + 1, "calls") for i in range(1, 21)], "src long, dst long, type string")
+    s = spark.createDataFrame([(1,)], "id long")
+    assert rows(graph.reachable(e, s), "id") == [(i,) for i in range(1, 22)]
+    assert rows(graph.reachable(e, s, 12), "id") == [(i,) for i in range(1, 14)]
+
+
 def test_retrieval_metrics(spark):
     df = spark.createDataFrame([(1, i + 1, g, g >= 2) for i, g in enumerate([3, 2, 0, 2, 0])], "query_id long, rank long, grade int, relevant boolean")
     import math
