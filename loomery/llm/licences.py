@@ -142,7 +142,7 @@ def scan(docs: DataFrame, texts=TEXTS + NOTICES, notices=NOTICES, id_col: str =
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     # lines that can hold a known notice: the canonical notices all have one of these words
-    lines = F.when(text.rlike("(?i)licen[cs]|released"), F.transform(F.filter(F.split(text, "\n"), lambda x: x.rlike("(?i)licen[cs]|released") & (F.length(x) <= 400)), lambda x: F.sha2(canonical(x), 256)))
+    lines = F.when(text.rlike("(?i)licen[cs]|released"), F.transform(F.filter(F.split(text, "\n"), lambda x: x.rlike("(?i)licen[cs]|released")), lambda x: F.sha2(canonical(x), 256)))
     rows = docs.select(id_col, F.sha2(canonical(text), 256).alias("digest"), F.coalesce(lines, F.array().cast("array<string>")).alias("_lines"))
     found = rows.join(F.broadcast(known(spark, texts)), "digest", "left")
     table = known(spark, notices).groupBy().agg(F.map_from_entries(F.collect_list(F.struct("digest", "licence"))).alias("_known"))

@@ -378,6 +378,12 @@ def test_licences(spark, odd, none):
     assert len({sha(r["text_digest"]) for r in licences.scan(frame(spark, [x for _, x in licences.TEXTS])).collect()}) == len(licences.TEXTS)
 
 
+def test_padded_notices_are_found(spark):
+    texts = ["*" * 900 + " Released under the MIT License. " + "*" * 900, "x\n| Licensed under CC BY 4.0." + " " * 500 + "|\ny"]
+    got = {r["doc_id"]: r["notice_licences"] for r in licences.scan(frame(spark, texts)).collect()}
+    assert got == {0: "MIT", 1: "CC-BY-4.0"}
+
+
 def brute(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     seen, dup, at = set(), 0, {}
