@@ -2,11 +2,12 @@
 
 A text is cut at single spaces into units (``" word,"``); the merges never cross such a cut, since the splitting
 pattern always starts a new piece at a space that precedes a visible character.  Every distinct unit of a batch is
-encoded once by the library, and the ids of all documents are gathered from those with numpy.  Texts that have a space
-before white space or at their end are encoded whole.
+encoded once by the library's model, piece by piece of the pattern, and the ids of all documents are gathered from those
+with numpy.  Texts that have a space before white space or at their end are encoded whole.
 
 Defined cases: a null text counts as the empty one (no ids); strings of special tokens are ordinary text; repeated
-rows give repeated results; lone characters outside the vocabulary cannot occur, as all 256 bytes are in it.
+rows give repeated results; lone characters outside the vocabulary cannot occur, as all 256 bytes are in it; an empty table
+gives no rows; further columns are ignored; a text is encoded whole, however long.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import os
+import re
+import zlib
 from array import array
 from collections.abc import Iterator
 
@@ -30,6 +33,10 @@ UNITS_KEPT = 250_000
 BATCH_BYTES = 4 << 20
 
 
+# fixed value: the splitting pattern of byte-level vocabularies, for ASCII text
+_ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
+
+
 def byte_chars() -> list[str]:
     """The printable character that stands for each byte in a byte-level vocabulary.
 
@@ -77,7 +84,6 @@ class Encoder:
     """
 
     def __init__(self, file: str, library: str = "tokenizers", pattern: str | None = None, special: bool = False):
-        self.known: dict[str, bytes] = {}
         #: Strings that have an id of their own; a text that holds one is encoded whole.
         self.special: tuple[str, ...] = ()
         if library == "tokenizers":
@@ -88,55 +94,106 @@ class Encoder:
             whole.encode_special_tokens = not special
             if special:
                 self.special = tuple(t.content for t in whole.get_added_tokens_decoder().values())
-            chars, model = byte_chars(), whole.model
+            chars, tokenize = byte_chars(), whole.model.tokenize
+            space = chars[32]
             self.vocab = whole.get_vocab()
 
+            def letters(word: str) -> list[int]:
+                # ASCII letters stand for themselves
+                return [t.id for t in tokenize(space + word if word.isascii() else "".join([chars[b] for b in (" " + word).encode()]))]
+
             def one(text: str) -> list[int]:
-                # a run of letters, with or without a space before it, is one piece of the pattern
-                bare = text[1:] if text[:1] == " " else text
-                if bare.isalpha():
-                    return [t.id for t in model.tokenize("".join([chars[b] for b in text.encode()]))]
                 return whole.encode(text, add_special_tokens=False).ids
 
-            self.one = one
+            shown = {b: chars[b] for b in range(128)}
+            others: dict[str, list[int]] = {}
+
+            def ascii_unit(unit: str) -> list[int]:
+                ids = []
+                for piece in _ASCII_PIECES.findall(" " + unit):
+                    if piece[-1].isalpha():
+                        ids += [t.id for t in tokenize(piece.translate(shown))]
+                        continue
+                    # marks, digits and line ends are few
+                    got = others.get(piece)
+                    if got is None:
+                        got = [t.id for t in tokenize(piece.translate(shown))]
+                        if len(piece) <= 16 and len(others) < UNITS_KEPT:
+                            others[piece] = got
+                    ids += got
+                return ids
         else:
             import tiktoken
 
             with open(file, "rb") as f:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            ascii_unit = None
             own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-            core = own._core_bpe
-            letters = getattr(core, "encode_single_piece", None)
-
-            def one(text: str) -> list[int]:
-                bare = text[1:] if text[:1] == " " else text
-                return letters(text.encode()) if letters and bare.isalpha() else own.encode_ordinary(text)
-
-            self.one = one
+            single = getattr(own._core_bpe, "encode_single_piece", None)
+            one = own.encode_ordinary
+
+            def letters(word: str) -> list[int]:
+                return single((" " + word).encode()) if single else one(" " + word)
+
+        #: Ids of a space and a run of letters, which is one piece of the pattern; of any text.
+        self.letters, self.one, self.ascii_unit = letters, one, ascii_unit
+        #: Ids of single marks that follow a word.
+        self.marks = {c: one(c) for c in ",.;:!?"}
+        self._forget()
+
+    def _forget(self) -> None:
+        #: Number of each unit that is remembered; 0 has no ids.  The ids of unit k are pool[begin[k] : begin[k + 1]].
+        self.known: dict[str, int] = {}
+        self.pool, self.begin = array("I"), array("q", [0, 0])
+
+    def _add(self, ids: list[int]) -> int:
+        self.pool.fromlist(ids)
+        self.begin.append(len(self.pool))
+        return len(self.begin) - 2
+
+    def _learn(self, units: list[str], special: list[str]) -> None:
+        """Remember units that are new."""
+        known, letters, marks, one, ascii_unit = self.known, self.letters, self.marks, self.one, self.ascii_unit
+        put, ends, n = self.pool.fromlist, self.begin, len(self.begin) - 1
+        size = len(self.pool)
+        for u in units:
+            if u.isalpha():
+                ids = letters(u)
+            elif u[-1:] in marks and u[:-1].isalpha():
+                # letters and one mark are two pieces of the pattern
+                ids = letters(u[:-1]) + marks[u[-1]]
+            elif u and not u[0].isspace() and not any(x in u for x in special):
+                ids = ascii_unit(u) if ascii_unit and u.isascii() else one(" " + u)
+            else:
+                # no ids mark a unit that is empty or starts with white space: the text has a space before white space or
+                # its end; and a unit with a special token
+                known[u] = 0
+                continue
+            put(ids)
+            size += len(ids)
+            ends.append(size)
+            known[u] = n
+            n += 1
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and where each text's ids begin (one entry more than texts)."""
         n = len(texts)
         if not n:
             return np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        if len(self.known) > UNITS_KEPT:
+            self._forget()
         units = pc.split_pattern(pc.fill_null(texts, ""), " ")
         offsets = units.offsets.to_numpy().astype(np.int64)
         offsets, flat = offsets - offsets[0], units.flatten()
         coded = flat.dictionary_encode()
-        codes, names = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        names = coded.dictionary.to_pylist()
         first = offsets[:-1]
-        known, one = self.known, self.one
-        values = list(map(known.get, names))
-        for i in [i for i, v in enumerate(values) if v is None]:
-            u = names[i]
-            # no ids mark a unit that is empty or starts with white space: the text has a space before white space or its end;
-            # and a unit with a special token
-            values[i] = v = array("I", one(" " + u)).tobytes() if u and not u[0].isspace() and not any(x in u for x in self.special) else b""
-            if len(u) <= 64:
-                known[u] = v
-        if len(known) > UNITS_KEPT:
-            known.clear()
-        odd = (np.fromiter(map(len, values), np.int64, len(values)) == 0)[codes]
+        # strings with an id of their own that occur here
+        special = [x for x in self.special if pc.any(pc.match_substring(texts, x)).as_py()]
+        self._learn([u for u in names if u not in self.known], special)
+        number = np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))
+        codes = number[coded.indices.to_numpy()]
+        odd = codes == 0
         odd[first] = False
         odd_text = np.add.reduceat(odd, first) > 0
         # the first unit of a text has no space before it; an odd text is one unit
@@ -145,8 +202,7 @@ class Encoder:
         for k in range(n):
             key = texts[k].as_py() if odd_text[k] else seen[k]
             if key not in starts:
-                starts[key] = len(values)
-                values.append(array("I", one(key)).tobytes())
+                starts[key] = self._add(self.one(key)) if key else 0
             codes[first[k]] = starts[key]
         if odd_text.any():
             keep = np.ones(len(codes), bool)
@@ -156,12 +212,13 @@ class Encoder:
             codes = codes[keep]
         else:
             bounds = offsets
-        lens = np.fromiter(map(len, values), np.int64, len(values)) // 4
-        pool = np.frombuffer(b"".join(values), np.uint32)
-        begin = np.concatenate([[0], np.cumsum(lens)])
-        each = lens[codes]
+        begin, pool = np.array(self.begin, np.int64), np.array(self.pool, np.uint32)
+        each = np.diff(begin)[codes]
         ends = np.concatenate([[0], np.cumsum(each)])
         where = np.repeat(begin[codes] - ends[:-1], each) + np.arange(ends[-1])
+        # what a special token makes of a unit holds for its text alone
+        for u in [u for u in self.known if any(x in u for x in special)] if special else ():
+            del self.known[u]
         return pool[where], ends[bounds]
 
 
@@ -211,7 +268,10 @@ def decode(encoded: DataFrame, file: str, id_col: str = "doc_id") -> DataFrame:
 
 
 def digests(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: n_tokens, and SHA-256 of its ids (decimal, one space between) and of the bytes decoded from them."""
+    """Per document: n_tokens, SHA-256 of its ids (decimal, one space between) and of the bytes decoded from them, and offsets_crc32.
+
+    The last is the CRC-32 of the (start, end) in code points of all its tokens, as little-endian 32-bit numbers.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,11 +280,12 @@ def digests(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str =
         shown, raw, sha = [str(i) for i in range(len(table.of))], table.of, hashlib.sha256
         for b in slices(batches, text_col, BATCH_BYTES):
             ids, at = enc.batch(b.column(text_col))
-            a, d = [], []
-            for k in range(b.num_rows):
+            a, d, o = [], [], []
+            for k, text in enumerate(b.column(text_col).to_pylist()):
                 own = ids[at[k] : at[k + 1]].tolist()
                 a.append(sha(" ".join(map(shown.__getitem__, own)).encode()).hexdigest())
                 d.append(sha(b"".join(map(raw.__getitem__, own))).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array(np.diff(at), pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+                o.append(zlib.crc32(char_offsets(text or "", table.byte_offsets(own)).astype("<i4").tobytes()))
+            yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array(np.diff(at), pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string()), pa.array(o, pa.int64())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256", "offsets_crc32"])
 
-    return arrow(docs.select(id_col, text_col), kernel, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return arrow(docs.select(id_col, text_col), kernel, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, offsets_crc32 long")

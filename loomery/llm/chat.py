@@ -9,7 +9,8 @@ backslash is put into every ``<|``, ``<\\|``, ``<\\\\|`` and so on, hence no con
 backslash out again restores the text; roles also write % and line ends as %25 and %0A.
 
 Defined cases: null text or role is empty; a null conversation id is one conversation; turns are ordered by number, equal
-numbers by role and text; repeated rows are turns of their own; an empty table gives no rows; further columns are ignored.
+numbers by role and text; repeated rows are turns of their own; an empty table gives no rows; further columns are ignored;
+texts are written whole, however long.
 """
 
 from __future__ import annotations

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import ctypes
 import functools
 import tempfile
@@ -13,7 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_CUTS: list[tuple[SparkSession, str]] = []
+#: Sessions of cuts that still exist, by path; a cut's frame holds its path.
+_CUTS: dict[str, SparkSession] = {}
+#: Where ``cuts_of`` notes the paths of cuts made inside it.
+_NOTES: list[list[str]] = []
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,11 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir of the session, a temporary one only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
+    """The folder that all executors share: spark.checkpoint.dir of the session.  Only a local session may do without and gets one temporary folder."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("loomery.cut.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="loomery-")
         spark.conf.set("loomery.cut.dir", found)
     return found.rstrip("/")
@@ -36,28 +41,80 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     """Write ``df`` once to the shared folder and continue from those files.
 
     The lineage ends there, a lost executor costs a re-read only, and values that depend on how a
-    scan was split (partition numbers) stay as they were drawn.  Files go when the driver ends.
+    scan was split (partition numbers) stay as they were drawn.  The write's own shuffle files go as soon as it has
+    ended; the cut's files go with ``release``, at the latest when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomery/{uuid.uuid4().hex}/{label}"
     schema = df.schema
-    df.write.parquet(path)
-    _CUTS.append((spark, path))
-    return spark.read.schema(schema).parquet(path)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
+    _CUTS[path] = spark
+    for note in _NOTES:
+        note.append(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def _delete(path: str) -> None:
+    spark = _CUTS.pop(path, None)
+    if spark is None:
+        return
+    try:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getParent()
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # the session has ended: the folder's owner clears it
+        return
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete the files of cuts that nothing reads any more."""
+    for df in frames:
+        _delete(getattr(df, "_cut_path", ""))
+
+
+@contextlib.contextmanager
+def cuts_of() -> Iterator[list[str]]:
+    """The paths of all cuts made inside, as they are made."""
+    made: list[str] = []
+    _NOTES.append(made)
+    try:
+        yield made
+    finally:
+        _NOTES.remove(made)
+
+
+def release_paths(paths: list[str], but_for: DataFrame) -> None:
+    """Delete cuts by path, except those that ``but_for`` reads."""
+    read = but_for.inputFiles() if any(p in _CUTS for p in paths) else []
+    for p in paths:
+        if not any(p.split("/")[-2] in f for f in read):
+            _delete(p)
 
 
 @atexit.register
 def _drop_cuts() -> None:
-    for spark, path in _CUTS:
-        try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path).getParent()
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # the session has ended: the folder's owner clears it
-            return
+    for path in list(_CUTS):
+        _delete(path)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like ``names`` that no column of ``df`` has, whatever its case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Return free memory to the system: a worker that is kept for other stages would hold on to it."""
     pa.default_memory_pool().release_unused()
     try:
@@ -72,7 +129,7 @@ def arrow(df: DataFrame, kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     @functools.wraps(kernel)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from kernel(batches)
-        _give_back()
+        give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -1,11 +1,15 @@
-"""Connected components of an edge list by alternating large and small stars; nothing is collected."""
+"""Connected components of an edge list by alternating large and small stars; nothing is collected.
+
+Defined cases: an edge from a node to itself is no edge, so a node that has no other is in no row; repeated edges count
+once; null ends are left out; an empty table gives no rows; further columns are ignored.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, release
 
 ROWS_A_FILE = 200_000
 
@@ -21,7 +25,8 @@ def components(edges: DataFrame) -> DataFrame:
     each component is a star around its least node; O(log^2 n) rounds.  Minima are combined before the shuffle, and a
     node with many neighbours is split by the skew handling of joins.
     """
-    now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
+    whole = edges.filter(F.col("a") != F.col("b"))
+    now = cut(whole.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     seen = _print(now)
     while seen[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -33,10 +38,13 @@ def components(edges: DataFrame) -> DataFrame:
         large = cut(large.coalesce(parts), "large")
         low = large.groupBy(F.col("u").alias("n")).agg(F.min("v").alias("m"))
         small = large.join(low, F.col("u") == F.col("n")).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-        now = cut(small.select("e.u", "e.v").filter("u <> v").distinct().coalesce(parts), "small")
+        before, now = now, cut(small.select("e.u", "e.v").filter("u <> v").distinct().coalesce(parts), "small")
+        release(before, large)
         after = _print(now)
         if after == seen:
             break
         seen = after
     named = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return named.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out = named.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out._cut_path = now._cut_path  # what `release` deletes
+    return out

@@ -16,7 +16,8 @@ shares no band with probability 2e-5, a closer one less often.
 
 Defined cases: a null text is the empty one; texts without words are alike only if equal; a text of fewer words than a
 shingle is one shingle; equal texts are one class whatever their ids; repeated rows are copies; a class is named by the
-id of the row read first, which is the one kept; an empty table gives no rows; further columns are ignored or kept.
+id of the row read first, which is the one kept; an empty table gives no rows; further columns are ignored or kept,
+whatever their names; a text is shingled whole, however long.
 """
 
 from __future__ import annotations
@@ -27,18 +28,22 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, cut, slices
+from .common import arrow, cut, give_back, release, slices, unused
 from .components import components
 
 SHINGLE, LEAST, BANDS, ROWS = 5, 0.8, 28, 5
 #: log2 of the documents whose shingles are counted together; at most 256, as a block's own count is one byte.
 BLOCK_BITS = 8
+#: Characters of text for each range of hashes: some million shingles.
+RANGE_CHARS = 6 << 20
 _SCALE = 10.0
 #: Bounds of the ranges of weight that have points of their own; a shingle needs the ranges that begin below its weight.
 _EDGES = (0, 10, 20, 40, 80, 160, 256)
+#: Documents that are sampled at a time.
+TOGETHER = 64
 #: Documents that are compared with as many others at a time where a band holds several components.
 BLOCK_DOCS = 128
 _U = np.uint64
@@ -103,12 +108,32 @@ def steady(docs: DataFrame) -> DataFrame:
     return cut(docs, "texts") if "Exchange" in docs._jdf.queryExecution().executedPlan().toString() else docs
 
 
-def document_frequencies(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(block, range, df): of each block's distinct shingles in ascending order the documents of the whole table that have them, 32 bits each.
+def short(counts: np.ndarray) -> bytes:
+    """Counts from 1, a byte each; those of 255 and more follow as 32 bits."""
+    small = np.minimum(counts, 255).astype(np.uint8)
+    return len(counts).to_bytes(4, "little") + small.tobytes() + counts[small == 255].astype("<u4").tobytes()
 
-    A shingle is told from others of its range by 40 bits of its hash; there are at least 32 ranges, and more as the table grows.
+
+def unshort(raw: bytes) -> np.ndarray:
+    n = int.from_bytes(raw[:4], "little")
+    small = np.frombuffer(raw, np.uint8, n, 4)
+    out = small.astype(np.int64)
+    out[small == 255] = np.frombuffer(raw, "<u4", -1, 4 + n)
+    return out
+
+
+def n_ranges(chars: int) -> int:
+    return max(32, -(-chars // RANGE_CHARS))
+
+
+def document_frequencies(docs: DataFrame, text_col: str = "text", ranges: int | None = None) -> DataFrame:
+    """(block, range, df): of each block's distinct shingles in ascending order the documents of the whole table that have them, as ``short`` writes them.
+
+    A shingle is told from others of its range by 40 bits of its hash; there are at least 32 ranges, and one for each
+    RANGE_CHARS of text, so that a range's rows fit in one task's memory however large the table is.
     """
-    ranges = max(32, docs.rdd.getNumPartitions() // 2)
+    if ranges is None:
+        ranges = n_ranges(docs.agg(F.sum(F.length(text_col))).head()[0] or 0)
 
     def one(block: int, texts: list[str | None]) -> pa.RecordBatch:
         h, n = np.unique(shingled(texts)[1], return_counts=True)
@@ -140,7 +165,9 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> DataFrame:
         _, at = np.unique(wide.view("<u8")[:, 0], return_inverse=True)
         df = np.bincount(at, n).astype("<u4")[at]
         ends = np.cumsum([len(x) // 5 for x in group.column("hashes").to_pylist()])
-        return pa.table({"block": group.column("block"), "range": group.column("range"), "df": pa.array([x.tobytes() for x in np.split(df, ends[:-1])], pa.binary())})
+        out = pa.table({"block": group.column("block"), "range": group.column("range"), "df": pa.array([short(x) for x in np.split(df, ends[:-1])], pa.binary())})
+        give_back()
+        return out
 
     sent = arrow(numbered(docs, text_col), send, "block long, range int, hashes binary, n binary")
     return sent.groupBy("range").applyInArrow(add, "block long, range int, df binary")
@@ -152,11 +179,6 @@ def weights(times: np.ndarray, df: np.ndarray, n: int) -> np.ndarray:
     return np.clip(np.rint((1.0 + np.log(times)) * idf * _SCALE), 1, 255).astype(np.uint8)
 
 
-def fill_order(k: int) -> np.ndarray:
-    """An order of bins for ``sketches``, which has no empty bins to fill any more and leaves it aside."""
-    return np.random.default_rng(k).permuted(np.tile(np.arange(k, dtype=np.int32), (k, 1)), axis=1)
-
-
 def points(h: np.ndarray, q: np.ndarray, until: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Points of shingles with weight q before their time ``until``: (shingle number, draw, time, identity).
 
@@ -185,7 +207,7 @@ def points(h: np.ndarray, q: np.ndarray, until: np.ndarray, k: int) -> Iterator[
             done, some = done + some, max(some, done)
 
 
-def sketches(doc: np.ndarray, h: np.ndarray, q: np.ndarray, n: int, k: int, order: np.ndarray | None = None) -> np.ndarray:
+def sketches(doc: np.ndarray, h: np.ndarray, q: np.ndarray, n: int, k: int) -> np.ndarray:
     """[text, draw]: the earliest point of each draw over all weight of each of ``n`` texts.  A text without shingles gets zeros."""
     best, out = np.full(n * k, np.inf), np.zeros(n * k, _U)
     mass = np.bincount(doc, q, n)
@@ -244,7 +266,7 @@ def signed(docs: DataFrame, bands: int, rows: int, id_col: str, text_col: str) -
     """Per row: id, _mid, digest of the text; and for the first row of a text in its block: bands and vector."""
     kind = docs.schema[id_col].dataType.simpleString()
     docs = steady(docs.select(id_col, text_col))
-    n = docs.count()
+    n, chars = docs.agg(F.count("*"), F.sum(F.length(text_col))).head()
 
     def kernel(block: pa.Table, counts: pa.Table) -> pa.Table:
         block = block.sort_by("_mid")
@@ -255,12 +277,16 @@ def signed(docs: DataFrame, bands: int, rows: int, id_col: str, text_col: str) -
             first.setdefault(d, i)
         fresh = {i: j for j, i in enumerate(first.values())}
         doc, h, times = shingled([texts[i] for i in fresh])
-        df = np.frombuffer(b"".join(counts.sort_by("range").column("df").to_pylist()), "<u4")
+        df = np.concatenate([np.zeros(0, np.int64), *map(unshort, counts.sort_by("range").column("df").to_pylist())])
         distinct = np.unique(h)
         if len(distinct) != len(df):
             raise ValueError("a block of documents was read in two ways")
-        q = weights(times, df[np.searchsorted(distinct, h)].astype(np.int64), n)
-        keys = band_keys(sketches(doc, h, q, len(fresh), bands * rows), bands, rows)
+        q = weights(times, df[np.searchsorted(distinct, h)], n)
+        keys = np.zeros((len(fresh), bands), np.int64)
+        for lo in range(0, len(fresh), TOGETHER):
+            hi = min(lo + TOGETHER, len(fresh))
+            i, j = np.searchsorted(doc, (lo, hi))
+            keys[lo:hi] = band_keys(sketches(doc[i:j] - lo, h[i:j], q[i:j], hi - lo, bands * rows), bands, rows)
         mass = np.bincount(doc, q, len(fresh)).astype(np.int64)
         vec = vectors(doc, h, q, len(fresh))
         at = [fresh.get(i, -1) for i in range(len(texts))]
@@ -272,9 +298,11 @@ def signed(docs: DataFrame, bands: int, rows: int, id_col: str, text_col: str) -
             pa.array([None if j < 0 else keys[j] if mass[j] else [] for j in at], pa.list_(pa.int64())),
             pa.array([None if j < 0 else vec[j] for j in at], pa.binary()),
         ]
-        return pa.table(cols, names=[id_col, "_mid", "digest", "bands", "vector"])
+        out = pa.table(cols, names=[id_col, "_mid", "digest", "bands", "vector"])
+        give_back()
+        return out
 
-    counted = document_frequencies(docs, text_col).groupBy("block")
+    counted = document_frequencies(docs, text_col, n_ranges(chars or 0)).groupBy("block")
     return numbered(docs, id_col, text_col).groupBy("_block").cogroup(counted).applyInArrow(kernel, f"`{id_col}` {kind}, _mid long, digest binary, bands array<long>, vector binary")
 
 
@@ -333,6 +361,8 @@ def block_links(clusters: DataFrame, comp: DataFrame, involved: DataFrame, least
                     if p != q:
                         top[max(p, q)] = min(p, q)
                         out.append((int(node[x]), int(node[y])))
+        del parts, names, at, cols
+        give_back()
         return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
     return rows.groupBy("cluster", "lo", "hi").applyInArrow(compare, "a long, b long")
@@ -340,42 +370,90 @@ def block_links(clusters: DataFrame, comp: DataFrame, involved: DataFrame, least
 
 def classes(docs: DataFrame, least: float = LEAST, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: id, digest, class_id and whether it is the row kept of its class."""
-    rows_ = cut(signed(docs, bands, rows, id_col, text_col), "signed")
-    nodes = cut(rows_.groupBy("digest").agg(F.min("_mid").alias("node"), F.min_by(id_col, "_mid").alias("_id")), "nodes")
+    signed_ = cut(signed(docs, bands, rows, id_col, text_col), "signed")
+    nodes = cut(signed_.groupBy("digest").agg(F.min("_mid").alias("node"), F.min_by(id_col, "_mid").alias("_id")), "nodes")
     # the first row of a text is also first in its block, so it has bands and a vector
-    own = rows_.filter(F.col("bands").isNotNull()).select(F.col("_mid").alias("node"), "bands", "vector")
-    own = own.join(nodes.select("node"), "node", "left_semi")
-    dealt = cut(own.select("node", F.explode("bands").alias("key")), "bands")
+    own = signed_.filter(F.col("bands").isNotNull()).select(F.col("_mid").alias("node"), "bands", "vector")
+    dealt = cut(own.select("node", "bands").join(nodes.select("node"), "node", "left_semi").select("node", F.explode("bands").alias("key")), "bands")
     shared = dealt.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("size")).filter("size > 1")
     met = cut(dealt.join(shared, "key"), "met")
-    involved = cut(own.select("node", "vector").join(met.select("node").distinct(), "node", "left_semi"), "involved")
+    release(dealt)
+    meeting = cut(met.select("node").distinct(), "meeting")
+    # vectors of texts that meet no other are not shuffled
+    likely, _ = told_apart(own.select("node", "vector"), [F.col("node")], meeting, [F.col("node")])
+    involved = cut(likely.join(meeting, "node", "left_semi"), "involved")
+    release(meeting)
+    rows_ = cut(signed_.select(id_col, "_mid", "digest"), "rows")
+    release(signed_)
     first = cut(verified(met.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), involved), "first")
     links = first.filter(F.col("j") >= least).select("a", "b")
-    comp = cut(components(links), "components")
+    found = components(links)
+    comp = cut(found, "components")
+    release(found)
     # bands of three or more that still hold several components: what they chain together is compared in blocks
     named = met.filter("size > 2").join(comp, "node", "left").select("key", "node", "leader", F.coalesce("component", "node").alias("component"))
     several = named.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo <> _hi").select("key")
     left = cut(named.join(several, "key").filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "left")
-    second = cut(block_links(components(left), comp, involved, least), "second")
+    release(met)
+    chains = components(left)
+    second = cut(block_links(chains, comp, involved, least), "second")
+    release(chains, left, involved)
     if not second.isEmpty():
-        comp = cut(components(links.unionByName(second)), "components")
+        found, before = components(links.unionByName(second)), comp
+        comp = cut(found, "components")
+        release(found, before)
+    release(first, second)
     top = nodes.select(F.col("node").alias("component"), F.col("_id").alias("_class"))
     # only nodes with links have another name than their own
     linked = comp.join(top, "component").select(F.col("node").alias("_n"), "component", "_class")
     of = cut(nodes.join(linked, F.col("node") == F.col("_n"), "left").select(F.col("digest").alias("_d"), F.coalesce("component", "node").alias("_top"), F.when(F.col("component").isNull(), F.col("_id")).otherwise(F.col("_class")).alias("class_id")), "classes")
-    return rows_.select(id_col, "_mid", "digest").join(of, F.col("digest") == F.col("_d")).select(id_col, "digest", "class_id", (F.col("_mid") == F.col("_top")).alias("kept"))
+    release(nodes, comp)
+    return rows_.join(of, F.col("digest") == F.col("_d")).select(id_col, "digest", "class_id", (F.col("_mid") == F.col("_top")).alias("kept"))
+
+
+#: Bits of the table of hashes that ``told_apart`` broadcasts: at most 2**20 words of 64 bits, whatever the input.
+HASH_BITS = 26
+
+
+def told_apart(rows: DataFrame, key: list[Column], keys: DataFrame, of: list[Column]) -> tuple[DataFrame, DataFrame]:
+    """``rows`` whose ``key`` may be one of ``keys``, and those whose key is none of them; nothing of ``rows`` is shuffled.
+
+    ``keys`` are hashed into a bounded table of bits.  Once that is too full to tell rows apart, more of them are in the
+    first part, so what follows must look at them exactly.
+    """
+    word, set_ = unused(rows, "_word", "_set")
+
+    def bits(x: list[Column]) -> Column:
+        return F.shiftrightunsigned(F.xxhash64(*x), 64 - HASH_BITS)
+
+    at = bits(of)
+    each = keys.select(F.shiftright(at, 6).alias(word), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int")).alias("_bit"))
+    # at most 2 ** (HASH_BITS - 6) rows
+    words = cut(each.groupBy(word).agg(F.bit_or("_bit").alias(set_)), "words")
+    at = bits(key)
+    told = rows.join(F.broadcast(words), F.shiftright(at, 6) == words[word], "left")
+    may = F.coalesce(F.getbit(F.col(set_), at.bitwiseAND(F.lit(63)).cast("int")) == 1, F.lit(False))
+    return told.filter(may).drop(word, set_), told.filter(~may).drop(word, set_)
 
 
 def keep(docs: DataFrame, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each class, all columns as they are."""
-    of = cut(classes(docs, least, id_col=id_col, text_col=text_col).select(F.col(id_col).alias("_i"), F.hex("digest").alias("_d"), "kept"), "kept")
-    stay = of.filter("kept").select("_i", "_d").hint("shuffle_hash")
+    """One row of each class, all columns as they are.
+
+    Most rows stay and are not shuffled: a bounded table of hash bits tells them from the rows that may have to go.  Only
+    those, and the few whose bit is set by another row, meet the decisions by a join.  Once the table is too full to tell
+    them apart, more rows take the join, with the same result.
+    """
+    decided = classes(docs, least, id_col=id_col, text_col=text_col)
+    # a pair of id and text with a row that goes; `_stays` where another row of the same pair is the one kept
+    pairs = cut(decided.groupBy(F.col(id_col).alias("_i"), "digest").agg(F.max("kept").alias("_stays"), F.min("kept").alias("_all")).filter("NOT _all").select("_i", "digest", "_stays"), "going")
+
+    digest_, i_, d_, stays = unused(docs, "_digest", "_i", "_d", "_stays")
     digest = F.upper(F.substring(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256), 1, 32))
-    out = docs.join(stay, F.col(id_col).eqNullSafe(F.col("_i")) & (digest == F.col("_d")), "left_semi")
-    # rows that repeat an id and its text are told apart by neither
-    repeated = of.groupBy("_i", "_d").agg(F.count("*").alias("n"), F.max("kept").alias("k")).filter("n > 1 and k")
-    if repeated.isEmpty():
-        return out
-    again = repeated.select("_i", "_d")
-    hit = F.col(id_col).eqNullSafe(F.col("_i")) & (digest == F.col("_d"))
-    return out.join(again, hit, "left_anti").unionByName(out.join(again, hit, "left_semi").dropDuplicates([id_col, text_col]))
+    doubtful, clear = told_apart(docs.withColumn(digest_, digest), [F.col(id_col), F.col(digest_)], pairs, [F.col("_i"), F.hex("digest")])
+    doubtful = cut(doubtful, "doubtful")
+    going = pairs.select(F.col("_i").alias(i_), F.hex("digest").alias(d_), F.col("_stays").alias(stays))
+    met = doubtful.join(going, F.col(id_col).eqNullSafe(F.col(i_)) & (F.col(digest_) == F.col(d_)), "left")
+    free = met.filter(F.col(stays).isNull())
+    # rows that repeat an id and its text are told apart by neither: one of them stays
+    one = met.filter(F.col(stays)).dropDuplicates([id_col, digest_])
+    return clear.select(docs.columns).unionByName(free.select(docs.columns)).unionByName(one.select(docs.columns))

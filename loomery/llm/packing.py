@@ -8,7 +8,8 @@
 3. A piece finds its pattern by its length and global rank among that length, by binary search in the plan.
 
 Defined cases: a null or empty text is the closing id alone; repeated rows are packed each on its own; equal lengths are
-ranked by where they were read; an empty table gives no rows; further columns are ignored.
+ranked by where they were read; an empty table gives no rows; further columns are ignored; a text is encoded whole and cut
+into as many pieces as it needs, however long.
 """
 
 from __future__ import annotations

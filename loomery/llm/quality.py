@@ -14,7 +14,8 @@ of 4 strata at the defaults), more if they do reject some; below that all its ru
 
 Defined cases: a null text has no words and fails the base rule; a null language is a stratum of its own; a label that
 is null or not 0/1 is ignored, and of contradicting labels for one id the good one counts; without enough labels only the
-base rule rejects; repeated rows are judged alike; an empty table gives no rows; further columns are ignored or kept.
+base rule rejects; repeated rows are judged alike; an empty table gives no rows; further columns are
+ignored or kept, whatever their names; a text is measured whole, however long.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, cut, slices
+from .common import arrow, cut, release, slices, unused
 
 # fixed values of the base rule
 SYMBOLS, SPACES = b"#*$%&|<>", b" \t\n\x0b\x0c\r"
@@ -176,20 +177,21 @@ def cutoffs(measured: DataFrame, labels: DataFrame, risk: float = 0.01, alpha: f
     return counts.groupBy(stratum).applyInPandas(choose, f"`{stratum}` {kind}, {', '.join(f'{n} double' for n in names)}")
 
 
-def with_cutoffs(rows: DataFrame, chosen: DataFrame, stratum: str = "lang") -> DataFrame:
-    """``rows`` with the cutoffs of their stratum as columns _cut_RULE."""
-    held = chosen.select(F.col(stratum).alias("_stratum"), *(F.col(r.name).alias(f"_cut_{r.name}") for r in RULES))
+def with_cutoffs(rows: DataFrame, chosen: DataFrame, stratum: str = "lang") -> tuple[DataFrame, list[str]]:
+    """``rows`` with the cutoffs of their stratum, and the names of those columns in the order of RULES."""
+    of, *cuts = unused(rows, "_stratum", *(f"_cut_{r.name}" for r in RULES))
+    held = chosen.select(F.col(stratum).alias(of), *(F.col(r.name).alias(c) for r, c in zip(RULES, cuts)))
     if held.count() <= BROADCAST_STRATA:
         held = F.broadcast(held)
-    return rows.join(held, F.col(stratum).eqNullSafe(F.col("_stratum")), "left").drop("_stratum")
+    return rows.join(held, F.col(stratum).eqNullSafe(F.col(of)), "left").drop(of), cuts
 
 
-def passes() -> Column:
-    """The verdict where FEATURES and _cut_RULE columns are at hand; a null cutoff rejects nothing."""
+def passes(cuts: list[str]) -> Column:
+    """The verdict where FEATURES and the cutoffs are at hand; a null cutoff rejects nothing."""
     ok = ~base_failed()
-    for r in RULES:
+    for r, name in zip(RULES, cuts):
         # a share that is a float in one engine and here is compared with NaN-free doubles only
-        c = F.col(f"_cut_{r.name}")
+        c = F.col(name)
         ok = ok & ~F.coalesce((r.sign * share(r) > r.sign * c) & ~F.isnan(c), F.lit(False))
     return ok
 
@@ -198,15 +200,16 @@ def judge(docs: DataFrame, labels: DataFrame, risk: float = 0.01, alpha: float =
     """Per document: base counts, base_failed and kept."""
     measured = cut(features(docs, (id_col, stratum)), "features")
     chosen = cut(cutoffs(measured, labels, risk, alpha, stratum, id_col), "cutoffs")
-    return with_cutoffs(measured, chosen, stratum).select(id_col, *FEATURES[:5], base_failed().alias("base_failed"), passes().alias("kept"))
+    rows, cuts = with_cutoffs(measured, chosen, stratum)
+    return rows.select(id_col, *FEATURES[:5], base_failed().alias("base_failed"), passes(cuts).alias("kept"))
 
 
 def keep(docs: DataFrame, labels: DataFrame, risk: float = 0.01, alpha: float = 0.05, id_col: str = "doc_id", stratum: str = "lang", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, all columns as they are.  Texts aren't shuffled: a second pass measures them again."""
     measured = cut(features(docs, (id_col, stratum)), "features")
     chosen = cut(cutoffs(measured, labels, risk, alpha, stratum, id_col), "cutoffs")
-    cuts = [f"_cut_{r.name}" for r in RULES]
-    rows = with_cutoffs(docs, chosen, stratum)
+    release(measured)
+    rows, cuts = with_cutoffs(docs, chosen, stratum)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     names = docs.columns
 

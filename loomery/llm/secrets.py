@@ -1,68 +1,83 @@
 """Secret scans over an incremental blob ledger (operator 4), built-in functions only.
 
-Every version of a file is addressed by the SHA-256 of its text.  Pairs of blob and rule version that the ledger holds
-are not scanned again; the rest are, one row per distinct blob, and findings join back to all paths by the blob.
+1. Every version of a file is addressed by the SHA-256 of its text.  While a text is in hand it is also told whether any
+   rule can match it at all (one alternation of the rules' first characters); a text in which none can has no findings.
+2. Blobs are matched with the ledger: pairs of blob and rule version that it holds are not scanned again.
+3. Of the rest one row stands for each blob; its text is scanned by the rules that the ledger lacks.
+4. Findings, old and new, join back to all paths by the blob, and the ledger grows by the new pairs.
+
 Spans come from what lies between matches: ``split`` and ``regexp_extract_all`` with one pattern give pieces and matches
-in turn, whose lengths add up to positions in code points.
+in turn, whose lengths add up to positions in code points; the sums are running sums over rows, so a text with very many
+matches costs in proportion.
 
-Defined cases: a null text is the empty one, with no findings; equal texts are scanned once; repeated rows are kept; an
-empty table gives no rows; further columns are ignored; a finding keeps the text's own letters and case.
+Defined cases: a null text is the empty one, with no findings; equal texts are scanned once; repeated rows are kept; a
+null id is an id; an empty table gives no rows; further columns are ignored or kept, whatever their names; a finding keeps
+the text's own letters and case; a text is scanned whole, however long.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut, release, unused
+
 
 @dataclass(frozen=True)
 class Rule:
-    """``pattern``: Java syntax.  ``group``, ``least``: a match counts if that group has so many code points."""
+    """``pattern``: Java syntax.  ``group``, ``least``: a match counts if that group has so many code points.
+
+    A text that ``pattern`` matches holds one of ``literals`` and is matched by ``hint``, where those are given; both are
+    cheaper to look for.
+    """
 
     kind: str
     version: int
     pattern: str
     group: int = 0
     least: int = 1
+    hint: str = ""
+    literals: tuple[str, ...] = ()
 
 
-# fixed values: the kinds, in the order in which they are listed
-RULES = (
-    Rule("assign", 1, r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
-    Rule("access", 1, r"AKIA[A-Z0-9]+", 0, 20),
-    Rule("hex", 1, r"[0-9a-f]{24,}", 0, 24),
+# fixed values: the base kinds, in the order in which they are listed
+BASE = (
+    Rule("assign", 1, r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]""", (":", "=")),
+    Rule("access", 1, r"AKIA[A-Z0-9]+", 0, 20, literals=("AKIA",)),
+    Rule("hex", 1, r"[0-9a-f]{24,}", 0, 24, "[0-9a-f]{24}"),
 )
-# a text in which this is not found has no match; cheap, as few positions pass its first characters
-_HINT = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]|AKIA|[0-9a-f]{24}"""
-SPAN = "array<struct<start:int,kind:int,end:int>>"
-
-
-def spans(text: Column, rule: Rule, order: int) -> Column:
-    """All matches of one rule as (start, kind, end): leftmost, non-overlapping."""
-    found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    # lengths of the pieces before each match and of the matches, then running sums: (next start, spans so far)
-    sizes = F.transform(F.arrays_zip(F.split(text, rule.pattern, -1).alias("a"), found.alias("m")), lambda x: F.struct(F.length(x["a"]).alias("a"), F.length(x["m"]).alias("m"), x["m"].alias("t")))
-    empty = F.from_json(F.lit("[]"), SPAN)
-    first = F.struct(F.lit(0).alias("at"), empty.alias("out"))
+# published token formats; their order follows the base kinds
+MORE = (
+    Rule("private_key", 1, r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]*-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----)?", literals=("PRIVATE KEY-----",)),
+    Rule("jwt", 1, r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{16,}", literals=(".eyJ",)),
+    Rule("provider_token", 1, r"\b(?:gh[pousr]_[A-Za-z0-9]{36,}|glpat-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|sk_live_[A-Za-z0-9]{24,})", literals=("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "glpat-", "xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-", "AIza", "sk_live_")),
+    Rule("url_password", 1, r"\b[a-zA-Z][a-zA-Z0-9+.-]{1,15}://[^\s:/@]{1,64}:[^\s:/@]{1,64}@", literals=("://",)),
+)
+RULES = BASE + MORE
+SPAN = "array<struct<start:int,kind:string,end:int>>"
 
-    def step(acc: Column, x: Column) -> Column:
-        start, end = acc["at"] + x["a"], acc["at"] + x["a"] + x["m"]
-        size = F.length(F.regexp_extract(x["t"], rule.pattern, rule.group)) if rule.group else x["m"]
-        new = F.array(F.struct(start.alias("start"), F.lit(order).alias("kind"), end.alias("end")))
-        return F.struct(F.coalesce(end, acc["at"]).alias("at"), F.when(size >= rule.least, F.concat(acc["out"], new)).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(sizes, first, step, lambda acc: acc["out"])
+def may_match(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """Whether any rule can match."""
+    out = F.lit(False)
+    for r in rules:
+        own = F.lit(not r.literals)
+        for x in r.literals:
+            own = own | F.contains(text, F.lit(x))
+        out = out | (own & text.rlike(r.hint) if r.hint else own)
+    return out
 
 
-def with_blobs(versions: DataFrame, text_col: str = "text") -> DataFrame:
-    """Content address of every version."""
-    return versions.withColumn("blob", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+def addressed(versions: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, blob, _text): the content address of every version; _text is null where no rule can match."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return versions.select(id_col, F.sha2(text, 256).alias("blob"), F.when(may_match(text, rules), text).alias("_text"))
 
 
 def pending(blobs: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...]) -> DataFrame:
-    """(blob, kinds): what is still to scan.  ``blobs`` has distinct blobs."""
+    """(blob, todo): the rules by which a blob is still to be scanned.  ``blobs`` has distinct blobs."""
     wanted = F.array(*(F.lit(f"{r.kind}@{r.version}") for r in rules))
     if ledger is None:
         return blobs.select("blob", wanted.alias("todo"))
@@ -72,78 +87,109 @@ def pending(blobs: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...])
     return left.filter(F.size("todo") > 0)
 
 
+def matches(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """(blob, kind, start, end) of all matches in ``blobs`` (blob, _text, todo), one row for each blob: leftmost, non-overlapping by kind."""
+    out = None
+    for r in rules:
+        found = F.regexp_extract_all("_text", F.lit(r.pattern), F.lit(0))
+        zipped = F.arrays_zip(F.split("_text", r.pattern, -1).alias("a"), found.alias("m"))
+        own = blobs.filter(F.array_contains("todo", f"{r.kind}@{r.version}") & F.col("_text").rlike(r.pattern))
+        each = own.select("blob", F.posexplode(zipped).alias("n", "x")).select("blob", "n", F.length("x.a").alias("_gap"), F.col("x.m").alias("_found"))
+        size = F.length(F.regexp_extract("_found", r.pattern, r.group)) if r.group else F.length("_found")
+        narrow = each.select("blob", "n", "_gap", F.length("_found").alias("_size"), (size >= r.least).alias("_counts"), F.lit(r.kind).alias("kind"))
+        out = narrow if out is None else out.unionByName(narrow)
+    # the last piece has no match after it
+    run = F.sum(F.col("_gap") + F.coalesce("_size", F.lit(0))).over(Window.partitionBy("blob", "kind").orderBy("n"))
+    ends = out.withColumn("end", run.cast("int")).filter("_size IS NOT NULL AND _counts")
+    return ends.select("blob", "kind", (F.col("end") - F.col("_size")).alias("start"), "end")
+
+
 def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(findings of every path, new ledger rows).
 
-    findings: id_col, blob, spans.  ledger: blob, kind, version, spans; append it to the one given.
+    findings: id_col, blob, spans (start, kind, end; by start, then in the rules' order).  ledger: blob, kind, version,
+    spans; append it to the one given.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    paths = with_blobs(versions.select(id_col, text_col), text_col)
-    # the version that stands for its blob; texts of the others are not shuffled past this point
-    chosen = paths.groupBy("blob").agg(F.min(id_col).alias("_id"))
-    todo = pending(chosen, ledger, rules) if ledger is not None else None
-    keys = chosen if todo is None else chosen.join(todo, "blob")
-    keys = keys.withColumnRenamed("blob", "_blob").hint("shuffle_hash")
-    one = paths.join(keys, (F.col("blob") == F.col("_blob")) & F.col(id_col).eqNullSafe(F.col("_id"))).select("blob", text_col, *([] if todo is None else ["todo"]))
-
-    def wanted(r: Rule) -> Column:
-        return F.lit(True) if todo is None else F.array_contains("todo", f"{r.kind}@{r.version}")
-
-    hit = text.rlike(_HINT) if rules == RULES else F.lit(True)
+    return scan_addressed(cut(addressed(versions, rules, id_col, text_col), "addressed"), ledger, rules, id_col)
+
+
+def scan_addressed(paths: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """``scan`` of what ``addressed`` gives, once it is cut."""
+    # equal texts have equal blobs, so any row may stand for its blob; first() picks one before texts are shuffled
+    texts = paths.filter("_text IS NOT NULL").groupBy("blob").agg(F.first("_text").alias("_text"))
+    todo = pending(paths.select("blob").distinct(), ledger, rules)
+    # the cut keeps the patterns behind the choice of blobs
+    chosen = cut(texts.join(todo, "blob"), "chosen")
+    order = F.create_map(*(x for k, r in enumerate(rules) for x in (F.lit(r.kind), F.lit(k))))
+    found = matches(chosen, rules).groupBy("blob", "kind").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).cast(SPAN).alias("spans"))
+    found = cut(found, "found")
+    release(chosen)
     none = F.from_json(F.lit("[]"), SPAN)
-    each = [F.when(wanted(r), F.when(hit, spans(text, r, k)).otherwise(none)).alias(r.kind) for k, r in enumerate(rules)]
-    # rows of one path that repeat give the same spans
-    scanned = one.select("blob", *each)
-    fresh = None
-    for r in rules:
-        rows = scanned.filter(F.col(r.kind).isNotNull()).select("blob", F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), F.col(r.kind).alias("spans"))
-        rows = rows.dropDuplicates(["blob"])
-        fresh = rows if fresh is None else fresh.unionByName(rows)
-    found = scanned.select("blob", F.flatten(F.array(*(F.coalesce(F.col(r.kind), none) for r in rules))).alias("_new")).filter(F.size("_new") > 0).dropDuplicates(["blob"])
+    version = F.create_map(*(x for r in rules for x in (F.lit(r.kind), F.lit(r.version))))
+    pairs = todo.select("blob", F.explode("todo").alias("_pair")).select("blob", F.regexp_extract("_pair", "^(.*)@", 1).alias("kind"))
+    fresh = pairs.join(found, ["blob", "kind"], "left").select("blob", "kind", F.try_element_at(version, F.col("kind")).alias("version"), F.coalesce("spans", none).alias("spans"))
+    every = found
     if ledger is not None:
-        current = ledger.join(F.broadcast(versions.sparkSession.createDataFrame([(r.kind, r.version) for r in rules], "kind string, version int")), ["kind", "version"])
-        old = current.select("blob", "spans").filter(F.size("spans") > 0)
-        both = found.select("blob", F.col("_new").alias("spans")).unionByName(old)
-        found = both.groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("_new"))
-    narrow = paths.select(id_col, "blob")
-    joined = narrow.join(found, "blob", "left")
-    return joined.select(id_col, "blob", F.array_sort(F.coalesce("_new", none)).alias("spans")), fresh
+        # rows of a rule's other versions are history
+        every = every.unionByName(ledger.filter((F.size("spans") > 0) & (F.try_element_at(version, F.col("kind")) == F.col("version"))).select("blob", "kind", F.col("spans").cast(SPAN).alias("spans")))
+    # a blob has one row for each rule at most
+    whole = every.groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("_all"))
+    ranked = F.transform("_all", lambda s: F.struct(s["start"].alias("start"), F.try_element_at(order, s["kind"]).alias("rank"), s["kind"].alias("kind"), s["end"].alias("end")))
+    whole = whole.select("blob", F.transform(F.array_sort(ranked), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))).alias("_all"))
+    return paths.select(id_col, "blob").join(whole, "blob", "left").select(id_col, "blob", F.coalesce("_all", none).alias("spans")), fresh
+
+
+def _listed(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
 def digests(versions: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Counts per kind and the digest of all spans, with the spans as text."""
-    findings, _ = scan(versions, id_col=id_col, text_col=text_col)
-    names = F.array(*(F.lit(r.kind) for r in RULES))
-    shown = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
+    """Counts per base kind, the digest of the base spans, and all spans as text.
+
+    The rows come as two versions of a store: those up to the middle id first, whose ledger the second batch goes on with,
+    so a blob of both batches is scanned once.  Null ids are in the first.
+    """
+    paths = cut(addressed(versions, RULES, id_col, text_col), "addressed")
+    middle = paths.agg(F.percentile_approx(id_col, 0.5, 1000)).head()[0]
+    late = F.coalesce(F.col(id_col) > F.lit(middle), F.lit(False))
+    earlier, ledger = scan_addressed(paths.filter(~late), id_col=id_col)
+    later, _ = scan_addressed(paths.filter(late), cut(ledger, "ledger"), id_col=id_col)
+    findings = earlier.unionByName(later)
 
-    def of(k: int) -> Column:
-        return F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
+    def of(r: Rule) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == r.kind)).cast("long")
 
-    count = [of(k).alias(f"n_{r.kind}") for k, r in enumerate(RULES)]
-    return findings.select(id_col, *count, F.sha2(shown, 256).alias("base_sha256"), shown.alias("spans"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*(r.kind for r in BASE)))
+    return findings.select(id_col, *(of(r).alias(f"n_{r.kind}") for r in BASE), F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
 
 
-def redact(text: Column, found: Column, mark: str = "[SECRET]") -> Column:
-    """``text`` with every span replaced; overlapping spans become one mark."""
-    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+def kept_before(findings: DataFrame) -> DataFrame:
+    """(blob, cuts): per blob with findings its spans as (start, end, from), where ``from`` is the furthest end before the span."""
+    each = findings.filter(F.size("spans") > 0).dropDuplicates(["blob"]).select("blob", F.posexplode("spans").alias("n", "s")).select("blob", "n", "s.start", "s.end")
+    before = F.max("end").over(Window.partitionBy("blob").orderBy("n").rowsBetween(Window.unboundedPreceding, -1))
+    return each.withColumn("from", F.coalesce(before, F.lit(0))).groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("start", "end", "from"))).alias("cuts"))
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        inside = s["start"] < acc["at"]
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], gap, F.lit(mark))).alias("out"))
 
-    return F.aggregate(F.array_sort(found), first, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+def redact(text: Column, cuts: Column, mark: str = "[SECRET]") -> Column:
+    """``text`` with every span of ``kept_before`` replaced; overlapping spans become one mark."""
+    parts = F.transform(cuts, lambda c: F.when(c["start"] < c["from"], F.lit("")).otherwise(F.concat(F.substring(text, c["from"] + 1, c["start"] - c["from"]), F.lit(mark))))
+    last = F.array_max(F.transform(cuts, lambda c: c["end"]))
+    return F.concat(F.array_join(parts, ""), F.substring(text, last + 1, F.length(text)))
 
 
 def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = "n_chars", mark: str = "[SECRET]") -> DataFrame:
-    """All rows of ``docs`` with their secrets replaced by ``mark``; ``size_col``, if there, counts the new text's code points."""
-    findings, _ = scan(docs, id_col=id_col, text_col=text_col)
-    found = findings.filter(F.size("spans") > 0).dropDuplicates(["blob"]).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
+    """All rows of ``docs`` with their secrets replaced by ``mark``; ``size_col``, if there, counts the new text's code points.
+
+    Only the texts in which a rule can match meet the findings by a join; the others go straight through.
+    """
+    may = F.coalesce(may_match(F.col(text_col)), F.lit(False))
+    some = cut(docs.filter(may), "hinted")
+    findings, _ = scan(some, id_col=id_col, text_col=text_col)
+    blob, all_, new = unused(docs, "_blob", "_all", "_new")
+    found = kept_before(findings).select(F.col("blob").alias(blob), F.col("cuts").alias(all_))
     text = F.col(text_col)
-    out = docs.join(found, F.sha2(F.coalesce(text, F.lit("")), 256) == F.col("_blob"), "left")
-    new = F.when(F.col("_spans").isNull(), text).otherwise(redact(text, F.col("_spans"), mark))
-    out = out.withColumn("_new", new)
-    named = {text_col: F.col("_new")}
+    out = some.join(found, F.sha2(text, 256) == F.col(blob), "left").withColumn(new, F.when(F.col(all_).isNull(), text).otherwise(redact(text, F.col(all_), mark)))
+    named = {text_col: F.col(new)}
     if size_col in docs.columns:
-        named[size_col] = F.when(F.col("_spans").isNull(), F.col(size_col)).otherwise(F.length("_new").cast(docs.schema[size_col].dataType))
-    return out.select(*(named.get(c, F.col(c)).alias(c) for c in docs.columns))
+        named[size_col] = F.when(F.col(all_).isNull(), F.col(size_col)).otherwise(F.length(new).cast(docs.schema[size_col].dataType))
+    return docs.filter(~may).unionByName(out.select(*(named.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns)))

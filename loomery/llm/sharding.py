@@ -6,7 +6,8 @@ on nothing but key, name and weight: changing a weight moves rows only into or o
 shard is hung as a branch of its own, hence one more shard takes rows only into itself.
 
 Defined cases: a null key is one key like any other; equal keys share a shard; a null text has size 1 and the checksum
-of the empty text; repeated rows get slots of their own; an empty table gives no rows; further columns are ignored.
+of the empty text; repeated rows get slots of their own; an empty table gives no rows; further columns are ignored;
+a text is measured whole, however long.
 """
 
 from __future__ import annotations
