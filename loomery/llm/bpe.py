@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 
 from .common import arrow, slices
 
-#: Distinct units that a worker remembers; beyond it the memory is emptied.
+#: Distinct units that a worker remembers; beyond it only those of the next batch are kept.
 UNITS_KEPT = 250_000
 #: Bytes of text that are encoded together.
 BATCH_BYTES = 4 << 20
@@ -96,7 +96,7 @@ class Encoder:
                 self.special = tuple(t.content for t in whole.get_added_tokens_decoder().values())
             chars, tokenize = byte_chars(), whole.model.tokenize
             space = chars[32]
-            self.vocab = whole.get_vocab()
+            self.vocabulary = whole.get_vocab
 
             def letters(word: str) -> list[int]:
                 # ASCII letters stand for themselves
@@ -141,10 +141,16 @@ class Encoder:
         self.marks = {c: one(c) for c in ",.;:!?"}
         self._forget()
 
-    def _forget(self) -> None:
+    def _forget(self, but_for: list[str] = []) -> None:
+        """Remember only those of ``but_for`` that are known."""
+        old = [(u, self.pool[self.begin[k] : self.begin[k + 1]]) for u in but_for if (k := self.known.get(u))]
         #: Number of each unit that is remembered; 0 has no ids.  The ids of unit k are pool[begin[k] : begin[k + 1]].
         self.known: dict[str, int] = {}
         self.pool, self.begin = array("I"), array("q", [0, 0])
+        for u, ids in old:
+            self.pool.extend(ids)
+            self.begin.append(len(self.pool))
+            self.known[u] = len(self.begin) - 2
 
     def _add(self, ids: list[int]) -> int:
         self.pool.fromlist(ids)
@@ -180,8 +186,6 @@ class Encoder:
         n = len(texts)
         if not n:
             return np.zeros(0, np.uint32), np.zeros(1, np.int64)
-        if len(self.known) > UNITS_KEPT:
-            self._forget()
         units = pc.split_pattern(pc.fill_null(texts, ""), " ")
         offsets = units.offsets.to_numpy().astype(np.int64)
         offsets, flat = offsets - offsets[0], units.flatten()
@@ -190,6 +194,9 @@ class Encoder:
         first = offsets[:-1]
         # strings with an id of their own that occur here
         special = [x for x in self.special if pc.any(pc.match_substring(texts, x)).as_py()]
+        if len(self.known) > UNITS_KEPT:
+            # what occurs again is likely to do so once more
+            self._forget(names)
         self._learn([u for u in names if u not in self.known], special)
         number = np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))
         codes = number[coded.indices.to_numpy()]
@@ -239,7 +246,7 @@ def encode(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str = "
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(file)
-        table = ByteTable(enc.vocab)
+        table = ByteTable(enc.vocabulary())
         for b in slices(batches, text_col, BATCH_BYTES):
             ids, at = enc.batch(b.column(text_col))
             out: dict[str, list] = {"ids": [], "byte_offsets": [], "char_offsets": []}
@@ -259,7 +266,7 @@ def decode(encoded: DataFrame, file: str, id_col: str = "doc_id") -> DataFrame:
     kind = encoded.schema[id_col].dataType.simpleString()
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = ByteTable(encoder(file).vocab)
+        table = ByteTable(encoder(file).vocabulary())
         for b in batches:
             texts = [table.decode(x or ()) for x in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array(texts, pa.string())], [id_col, "text"])
@@ -276,7 +283,7 @@ def digests(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str =
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(file)
-        table = ByteTable(enc.vocab)
+        table = ByteTable(enc.vocabulary())
         shown, raw, sha = [str(i) for i in range(len(table.of))], table.of, hashlib.sha256
         for b in slices(batches, text_col, BATCH_BYTES):
             ids, at = enc.batch(b.column(text_col))

@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 _CUTS: dict[str, SparkSession] = {}
 #: Where ``cuts_of`` notes the paths of cuts made inside it.
 _NOTES: list[list[str]] = []
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings of a cut's write: its shuffle files go when it ends, and rows of whole texts go to Python in smaller batches.
+_WRITE = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,12 +48,14 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomery/{uuid.uuid4().hex}/{label}"
     schema = df.schema
-    before = spark.conf.get(_CLEAN, "false")
-    spark.conf.set(_CLEAN, "true")
+    before = {k: spark.conf.get(k) for k in _WRITE}
     try:
+        for k, v in _WRITE.items():
+            spark.conf.set(k, v)
         df.write.parquet(path)
     finally:
-        spark.conf.set(_CLEAN, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     _CUTS[path] = spark
     for note in _NOTES:
         note.append(path)

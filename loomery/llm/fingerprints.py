@@ -7,7 +7,8 @@ similarity isn't compared, and a comparison stops once the rest can't reach it.
 
 Defined cases: a null text is the empty one; a text without a signature has one for its whole word sequence, so equal
 texts always have equal fingerprints; rows are taken by descending id, null ids last, equal ids by text; repeated rows
-are documents of their own; a single document is its own successor; an empty table gives no rows; further columns are ignored.
+are documents of their own; a single document is its own successor; an empty table gives no rows; further columns are ignored;
+a text is fingerprinted whole, however long.  Rows with one and the same id are one range, which one task sorts.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import arrow, slices
 
 ANCHORS, CHAIN = 64, 2
+#: Characters of text for each task that compares successors; how finely ids are split at most (a driver's list of a few MB).
+CHARS_A_TASK, MOST_ACCURACY = 32 << 20, 1_000_000
 #: Distinct words that a counting task holds before it hands on its counts.
 WORDS_HELD = 400_000
 _BARE = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -175,9 +178,11 @@ def compare_successors(docs: DataFrame, n_anchors: int = ANCHORS, chain: int = C
     spark = docs.sparkSession
     common = np.unique(np.array([crc32(w) for w in anchors(docs, n_anchors, text_col)], np.uint64))
     ids = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LOW)).alias("_k"))
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    # tasks follow the input, so that what one of them reads doesn't
+    chars = docs.agg(F.sum(F.length(text_col))).head()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), -(-chars // CHARS_A_TASK))
     n = 4 * tasks
-    splits = ids.agg(F.percentile_approx("_k", [k / n for k in range(1, n)], 100 * n)).head()[0] if n > 1 else []
+    splits = ids.agg(F.percentile_approx("_k", [k / n for k in range(1, n)], min(100 * n, MOST_ACCURACY))).head()[0]
     splits = np.unique(np.array(splits or [], np.int64))
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
