@@ -9,25 +9,67 @@ from pyspark.sql import functions as F
 
 # fixed values: file endings and whole names by language
 LANGUAGES = {
+    "ts": ("ts",),
+    "tsx": ("tsx",),
+    "js": ("js",),
+    "jsx": ("jsx",),
     "rs": ("rs",),
     "py": ("py",),
-    "ts": ("ts", "tsx"),
-    "js": ("js", "jsx", "mjs", "cjs"),
     "go": ("go",),
     "rb": ("rb", "rake"),
     "c": ("c",),
-    "cpp": ("cpp", "cc", "cxx", "hpp", "hh", "hxx", "h"),
     "cs": ("cs",),
     "java": ("java",),
-    "md": ("md", "markdown"),
+    "cpp": ("cpp", "cxx", "cc", "c++", "hpp", "hxx", "h"),
+    "md": ("md",),
+    "mdx": ("mdx",),
     "json": ("json",),
     "yaml": ("yaml", "yml"),
     "toml": ("toml",),
-    "html": ("html", "htm"),
 }
 NAMES = {"go.mod": "gomod", "Gemfile": "rb", "Rakefile": "rb"}
 # fixed values: words left out of queries
-STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with")
+STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "he", "in", "is", "it", "its", "of", "on", "that", "the", "to", "was", "will", "with")
+# fixed values: paths that are never indexed
+DEFAULT_IGNORES = ("*.log", ".git/**", "**/node_modules", "**/node_modules/**", "**/dist", "**/dist/**", "**/target", "**/target/**", "**/.DS_Store", "**/Thumbs.db")
+# fixed values: words that stand for others in code
+SYNONYMS = {
+    "function": ("fn", "func", "method"),
+    "fn": ("function", "func", "method"),
+    "method": ("function", "fn", "func"),
+    "class": ("type", "struct", "object"),
+    "struct": ("class", "type"),
+    "interface": ("trait", "protocol"),
+    "trait": ("interface",),
+    "variable": ("var", "let", "const"),
+    "var": ("variable", "let"),
+    "const": ("constant",),
+    "constant": ("const",),
+    "auth": ("authentication", "authorize", "login"),
+    "authentication": ("auth", "login"),
+    "login": ("signin", "auth"),
+    "logout": ("signout",),
+    "component": ("comp", "widget"),
+    "hook": ("usehook",),
+    "api": ("endpoint", "service"),
+    "request": ("req",),
+    "response": ("resp", "res"),
+    "database": ("db", "store"),
+    "query": ("search", "find"),
+    "error": ("err", "exception"),
+    "exception": ("error", "err"),
+    "config": ("configuration", "settings"),
+    "configuration": ("config", "settings"),
+    "test": ("spec", "unittest"),
+    "mock": ("stub", "fake"),
+    "async": ("asynchronous", "await"),
+    "promise": ("future",),
+    "import": ("require", "use"),
+    "export": ("expose",),
+}
+# fixed values: paths of test code, and names of configuration files
+TEST_PATHS = (r"\.test\.(ts|js|tsx|jsx|rs|go|py)$", r"\.spec\.(ts|js|tsx|jsx|rs|go|py)$", r"__tests__", r"^tests/", r"/tests/", r"_test\.(ts|js|tsx|jsx|rs|go|py)$")
+CONFIG_NAMES = (r"^package\.json$", r"^tsconfig\.json$", r"^jsconfig\.json$", r"\.config\.(ts|js|json|yaml|yml|toml)$", r"^\.env(\..+)?$", r"^Cargo\.toml$", r"^go\.mod$", r"^pyproject\.toml$", r"^setup\.py$")
 # fixed values: operators kept as tokens
 OPERATORS = ("::", "->", "=>", "<-", "!=", "==", "<=", ">=")
 
@@ -104,9 +146,13 @@ def ignored(path: Column, patterns: list[str]) -> Column:
 
 
 def file_class(path: Column) -> Column:
-    """test, config or regular."""
-    test = path.rlike(r"(?:^|/)(?:tests?|__tests__|spec)/|[._-](?:test|spec)\.[^/]+$|(?:^|/)test_[^/]+$")
-    config = path.rlike(r"\.(?:toml|ya?ml|json|ini|cfg|conf|env)$|(?:^|/)(?:Makefile|Dockerfile)$")
+    """test, config or regular; either slash separates folders."""
+    plain = F.replace(path, F.lit("\\"), F.lit("/"))
+    test, config = F.lit(False), F.lit(False)
+    for p in TEST_PATHS:
+        test = test | plain.rlike(p)
+    for p in CONFIG_NAMES:
+        config = config | file_name(plain).rlike(p) | plain.rlike(p)
     return F.when(test, "test").when(config, "config").otherwise("regular")
 
 
@@ -142,20 +188,35 @@ def token_estimate(text: Column) -> Column:
 
 
 def query_mode(query: str) -> str:
-    """code, text or auto."""
-    parts = query.split()
-    if any(o in query for o in OPERATORS) or re.search(r"[()\[\]{}]", query) or len(parts) == 1:
+    """code, text or auto: operators, a call's brackets, one word, or two words of which one looks like a name are code."""
+    n = len(query.split())
+    if any(o in query for o in OPERATORS) or {"(", ")"} <= set(query) or n == 1:
         return "code"
-    naming = any("_" in p or re.search(r"[a-z][A-Z]", p) for p in parts)
-    if len(parts) == 2 and naming:
+    two_cases = any(c.isupper() for c in query) and any(c.islower() for c in query)
+    if n == 2 and ("_" in query or two_cases):
         return "code"
-    return "text" if len(parts) > 3 else "auto"
+    return "text" if n > 3 else "auto"
+
+
+_TOKEN = re.compile(r"::|->|=>|<-|!=|==|<=|>=|[:\->=<!&|]|[\w.]+")
 
 
 def query_tokens(query: str) -> list[str]:
-    """Words, names with _ or ., and operators; stop words are left out."""
-    found = re.findall(r"::|->|=>|<-|!=|==|<=|>=|[\w.]+", query)
-    return [t for t in (x.lower() for x in found) if t not in STOP_WORDS and t.strip(".")]
+    """Words, names with _ or ., and operators.  A single operator sign counts before a word and not right after one; stop words are left out."""
+    out = []
+    for m in _TOKEN.finditer(query):
+        t, before, after = m[0], query[m.start() - 1 : m.start()], query[m.end() : m.end() + 1]
+        if t[0] in ":->=<!&|":
+            if len(t) == 2 or (after.isalnum() and not (before.isalnum() or before in ("_", ".") and before)):
+                out.append(t)
+        elif not ((w := t.lower()).isalpha() and w in STOP_WORDS):
+            out.append(w)
+    return out
+
+
+def expansions(tokens: list[str]) -> list[str]:
+    """Words that stand for the tokens, sorted: those of the token itself, and for one of more than four bytes also those of words that begin it or that it begins."""
+    return sorted({s for t in tokens for k, v in SYNONYMS.items() if k == t or (len(t.encode()) > 4 and (t.startswith(k) or k.startswith(t))) for s in v})
 
 
 def valid_query(query: str) -> bool:
@@ -169,10 +230,67 @@ def tsquery(tokens: list[str], synonyms: dict[str, list[str]] | None = None) ->
     return " & ".join(f"({' | '.join([t, *synonyms[t]])})" if synonyms.get(t) else t for t in tokens)
 
 
-def expand(tokens: Column, synonyms: Column) -> Column:
-    """Sorted distinct tokens and their synonyms.  synonyms: map of word to array."""
-    own = F.flatten(F.transform(tokens, lambda t: F.coalesce(F.element_at(synonyms, t), F.array().cast("array<string>"))))
-    return F.array_sort(F.array_union(tokens, own))
+def expand(tokens: Column) -> Column:
+    """``expansions`` of an array of tokens."""
+    table = F.array(*(F.struct(F.lit(k).alias("k"), F.array(*map(F.lit, v)).alias("v")) for k, v in SYNONYMS.items()))
+
+    def of(t: Column) -> Column:
+        met = F.filter(table, lambda p: (p["k"] == t) | ((F.octet_length(t) > 4) & (F.startswith(t, p["k"]) | F.startswith(p["k"], t))))
+        return F.flatten(F.transform(met, lambda p: p["v"]))
+
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(tokens, of))))
+
+
+def language_of_kind(kind: Column) -> Column:
+    """Language that a kind of chunk tells, or null."""
+    # fixed values: kinds that only one language has
+    return F.when(kind.isin("impl", "trait", "mod"), "rs").when(kind == "module", "rb").when(kind == "constructor", "java").when(kind == "namespace", "cpp")
+
+
+def language_of_content(text: Column) -> Column:
+    """Language that a text's words tell, the more telling ones first, or null."""
+
+    def has(*words: str) -> Column:
+        out = F.lit(False)
+        for w in words:
+            out = out | F.contains(text, F.lit(w))
+        return out
+
+    # fixed values: words of each language, in the order in which they are tried
+    tells = (
+        ("cs", has("using System", "using static") | (has("namespace ") & has("class ", "interface "))),
+        ("java", has("import java.") | (has("public class", "public interface") & ~has("namespace "))),
+        ("cpp", has("#include") & has("class ", "namespace ", "template<")),
+        ("rb", has("end") & ((has("class") & has("<")) | has("def") | has("module"))),
+        ("py", has("def ") & has("import ")),
+        ("rs", has("fn ") & has("impl ", "pub ")),
+        ("ts", has("interface ", ": string", ": number")),
+        ("js", has("function ", "const ")),
+        ("go", has("func ") & has("package ")),
+    )
+    out = None
+    for name, told in tells:
+        out = F.when(told, name) if out is None else out.when(told, name)
+    return out
+
+
+# fixed values: what an error's text tells of its class, first match first, and what to try next
+ERROR_CLASSES = (
+    ("validation", r"(?i)empty|too long|no meaningful", "Enter a query of 1 to 1000 characters with a letter or digit"),
+    ("timeout", r"(?i)timed? ?out|deadline", "Narrow the query or raise the time limit"),
+    ("not_found", r"(?i)not found|not indexed|no such|does not exist", "Index the repository first"),
+    ("embedding_provider", r"(?i)embedding|provider|api key|rate limit|quota|unauthori[sz]ed|model unavailable", "Check the provider's key, quota and model"),
+    ("database", r"(?i)database|sqlite|connection|corrupt|lock", "Check the store and build it anew if it is damaged"),
+)
+
+
+def error_class(message: Column) -> Column:
+    """(class, suggestion) of an error's text; unknown where nothing tells."""
+    out = None
+    for name, pattern, hint in ERROR_CLASSES:
+        own = F.struct(F.lit(name).alias("class"), F.lit(hint).alias("suggestion"))
+        out = F.when(message.rlike(pattern), own) if out is None else out.when(message.rlike(pattern), own)
+    return out.otherwise(F.struct(F.lit("unknown").alias("class"), F.lit("See the log for the whole message").alias("suggestion")))
 
 
 def rolling_hash(text: Column) -> Column:

@@ -177,3 +177,17 @@ def may(certificate_who: Column, who: Column, certificate_what: Column, what: Co
 def clock(ts_ms: Column, order: Sequence[Column]) -> Column:
     """A strictly rising clock: milliseconds, and a fraction for rows of one millisecond."""
     return ts_ms + (F.row_number().over(Window.partitionBy(ts_ms).orderBy(*order)) - 1) / 999.0
+
+
+def disconnect_writes(writes: DataFrame, gone: DataFrame, now: float, most: int = 100, most_bytes: int = 1 << 20) -> DataFrame:
+    """Cells that peers left to be written when they go: of each peer in ``gone`` (peer) its first ``most`` writes, as long as they have ``most_bytes`` together, with state ``now``.
+
+    writes: peer, seq and the columns of a cell.  Souls of user namespaces (~) are never written this way.
+    """
+    w = Window.partitionBy("peer").orderBy("seq")
+    size = F.octet_length("soul") + F.octet_length("key") + json_length()
+    # the limit on rows is one of the task's own before rows are shuffled
+    kept = writes.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= most)
+    kept = kept.withColumn("_sum", F.sum(size).over(w)).filter(F.col("_sum") <= most_bytes)
+    own = kept.filter(~F.col("soul").startswith("~")).join(gone.select("peer").distinct(), "peer", "left_semi")
+    return own.select("peer", "seq", "soul", "key", "vtype", "v_text", "v_num", "v_bool", "v_link", F.lit(now).alias("state"))

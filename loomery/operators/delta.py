@@ -109,3 +109,38 @@ def expire(entries: DataFrame, now: float, capacity: int) -> DataFrame:
     """Entries that stay in a cache: unexpired, the most recently used ``capacity`` of them."""
     live = entries.filter(F.col("expires_at") > now)
     return live.orderBy(F.desc("accessed_at"), F.asc("cache_key")).limit(capacity)
+
+
+#: Larger files are not indexed.
+MOST_BYTES = 10 * 1024 * 1024
+
+
+def process_files(current: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(index after, outcomes) of one batch of file events (path, change, hash, bytes) over ``current`` (path, hash).
+
+    new and modified files take their new hash unless they are too large, in which case the index keeps what it has;
+    one whose hash is already there is unchanged; deleted files go.  The last event of a path in a batch is given.
+    """
+    known = current.select(F.col("path").alias("_p"), F.col("hash").alias("_old"))
+    met = events.join(known, F.col("path") == F.col("_p"), "left")
+    outcome = (
+        F.when(F.col("change") == "deleted", F.when(F.col("_p").isNull(), "unknown").otherwise("removed"))
+        .when(F.col("bytes") > MOST_BYTES, "skipped")
+        .when(F.col("_p").isNull(), "indexed")
+        .when(F.col("_old") == F.col("hash"), "unchanged")
+        .otherwise("updated")
+    )
+    done = met.select("path", "hash", outcome.alias("outcome"))
+    moved = done.filter(F.col("outcome").isin("removed", "indexed", "updated"))
+    after = without(current, moved, ["path"]).select("path", "hash").unionByName(moved.filter("outcome <> 'removed'").select("path", "hash"))
+    return after, done.select("path", "outcome")
+
+
+def poll_changes(polls: DataFrame) -> DataFrame:
+    """(poll, path, change): what differs from one poll to the next.  polls: poll, path, hash; the first poll reports nothing."""
+    numbers = polls.select("poll").distinct()
+    before = polls.select((F.col("poll") + 1).alias("poll"), "path", F.col("hash").alias("_old")).join(numbers, "poll", "left_semi")
+    now = polls.join(numbers.select((F.col("poll") + 1).alias("poll")), "poll", "left_semi").select("poll", "path", F.col("hash").alias("_new"))
+    both = before.join(now, ["poll", "path"], "full")
+    change = F.when(F.col("_old").isNull(), "new").when(F.col("_new").isNull(), "deleted").when(F.col("_old") != F.col("_new"), "modified")
+    return both.select("poll", "path", change.alias("change")).filter("change IS NOT NULL")

@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomery.sources.durable import cut
+
 
 def precision_at(df: DataFrame, k: int, query: str = "query_id") -> DataFrame:
     """Relevant rows of rank 1 to k, over k.  df: (query, rank, relevant)."""
@@ -39,11 +41,28 @@ def reciprocal_rank(df: DataFrame, query: str = "query_id") -> DataFrame:
 
 
 def lower_percentiles(df: DataFrame, col: str, ps: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
-    """Exact percentiles at index floor((n - 1) p), by ranks in a window instead of a collected list."""
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    rows = df.filter(F.col(col).isNotNull())
-    numbered = rows.select(*by, col, (F.row_number().over(w.orderBy(col)) - 1).alias("_i"), F.count("*").over(w).alias("_n"))
-    picks = [F.max(F.when(F.col("_i") == F.floor((F.col("_n") - 1) * p), F.col(col))).alias(f"p{round(p * 100)}") for p in ps]
+    """Exact percentiles at index floor((n - 1) p).
+
+    Equal values are counted first; counts are dealt to ranges of values and numbered from the ranges' sums, so no task
+    holds a group, however hot.
+    """
+    keys = [F.col(c) for c in by]
+    counts = df.filter(F.col(col).isNotNull()).groupBy(*keys, F.col(col).alias("_v")).agg(F.count("*").alias("_n"))
+    ranged = cut(counts.repartitionByRange(*keys, F.col("_v")).withColumn("_r", F.spark_partition_id()))
+    before = Window.partitionBy(*by, F.lit(0)).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    # one row for each range and group
+    sums = ranged.groupBy(*by, "_r").agg(F.sum("_n").alias("_s"))
+    starts = sums.select(*by, "_r", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_from"), F.sum("_s").over(Window.partitionBy(*by, F.lit(0))).alias("_all"))
+    upto = F.sum("_n").over(Window.partitionBy(*by, "_r").orderBy("_v"))
+    same = F.col("_r") == F.col("_q")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    numbered = ranged.withColumn("_to", upto).join(starts.select(*(F.col(c).alias(f"_by_{c}") for c in by), F.col("_r").alias("_q"), "_from", "_all"), same)
+    picks = []
+    for p in ps:
+        at = F.floor((F.col("_all") - 1) * p)
+        hit = (at < F.col("_from") + F.col("_to")) & (at >= F.col("_from") + F.col("_to") - F.col("_n"))
+        picks.append(F.max(F.when(hit, F.col("_v"))).alias(f"p{round(p * 100)}"))
     return numbered.groupBy(*by).agg(*picks)
 
 
@@ -75,7 +94,7 @@ def chi_square(a: Column, b: Column, c: Column, d: Column) -> Column:
 def chi_square_p(x: Column) -> Column:
     """p-value by the table of one degree of freedom."""
     # fixed values: critical values
-    return F.when(x >= 10.828, 0.001).when(x >= 6.635, 0.01).when(x >= 3.841, 0.05).when(x >= 2.706, 0.1).otherwise(0.5)
+    return F.when(x < 0, 1.0).when(x > 10.83, 0.001).when(x > 6.63, 0.01).when(x > 3.84, 0.05).when(x > 2.71, 0.1).otherwise(0.5)
 
 
 def z_value(confidence: float) -> float:
@@ -165,6 +184,12 @@ def gates(recall: Column, precision: Column, ndcg: Column, latency_diff: Column,
     return (recall >= 0.80) & (precision >= 0.70) & (ndcg >= 0.75) & (latency_diff <= 10) & (error_diff <= 0.01)
 
 
+# fixed values: upper bounds of the buckets of search metrics
+LATENCY_SECONDS = (0.001, 0.005, 0.010, 0.025, 0.050, 0.075, 0.100, 0.250, 0.500, 1.0, 2.5, 5.0)
+FUSION_SECONDS = (0.0005, 0.001, 0.002, 0.005, 0.010, 0.025, 0.050)
+RESULT_COUNTS = (0.0, 1.0, 5.0, 10.0, 20.0, 50.0, 100.0)
+
+
 def histogram(df: DataFrame, col: str, bounds: Sequence[float]) -> DataFrame:
     """(bound, n): cumulative counts up to each bound, and of all rows under a null bound; one pass, no join."""
     counts = [F.count_if(F.col(col) <= b).alias(f"b{i}") for i, b in enumerate(bounds)]

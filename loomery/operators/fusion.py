@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from loomery.functions import text as T
 
-# fixed values: multipliers by kind of symbol, anything else 1.0
-KIND_MULTIPLIERS = {"func": 2.5, "class": 2.0, "component": 2.3, "hook": 2.2, "method": 2.2, "module": 1.4, "var": 0.6, "variable": 0.6, "heading_1": 0.6, "heading_2": 0.5, "heading_3": 0.4}
+# fixed values: multipliers by kind of symbol when results are ranked again, anything else 1.0
+KIND_MULTIPLIERS = {"function": 1.2, "method": 1.2, "class": 1.1, "struct": 1.1, "interface": 1.1, "trait": 1.1, "enum": 1.0, "module": 1.0, "constant": 0.9, "variable": 0.8, "import": 0.7}
+# fixed values: weights by kind when related chunks are added, anything else 1.0
+RELATED_WEIGHTS = {"func": 2.5, "class": 2.0, "component": 2.3, "hook": 2.2, "method": 2.2, "module": 1.4, "var": 0.6, "variable": 0.6, "heading_1": 0.6, "heading_2": 0.5, "heading_3": 0.4}
 # fixed values: weights of the sources
 WEIGHTS = {"fts": 0.4, "vector": 0.35, "graph": 0.1, "signals": 0.15}
-EDGE_WEIGHTS = {"calls": 0.3, "imports": 0.2, "test_of": 0.1}
+# fixed values: quality of an edge by type, anything else 1.0; times this if it comes from test code
+EDGE_QUALITY, FROM_TEST = {"calls": 1.0}, 0.5
 
 
 def by_value(table: Mapping[str, float], key: Column, default: float = 1.0) -> Column:
@@ -92,11 +95,15 @@ def graph_importance(chunks: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def quality_importance(chunks: DataFrame, edges: DataFrame, from_test: DataFrame) -> DataFrame:
-    """ln(2 + sum of edge weights); an edge from test code counts half.  from_test: (id, is_test)."""
-    side = edges.join(from_test.select(F.col("id").alias("src"), "is_test"), "src", "left")
-    q = by_value(EDGE_WEIGHTS, F.col("type"), 0.0) * F.when(F.coalesce("is_test", F.lit(False)), 0.5).otherwise(1.0)
-    sums = side.groupBy(F.col("dst").alias("id")).agg(F.sum(q).alias("q"))
-    return chunks.select("id").join(sums, "id", "left").select("id", F.log(2.0 + F.coalesce("q", F.lit(0.0))).alias("score"))
+    """ln(2 + sum of edge qualities); an edge from test code counts half.  from_test: (id, is_test)."""
+    return chunks.select("id").join(quality_sums(edges, from_test), "id", "left").select("id", F.log(2.0 + F.coalesce("q", F.lit(0.0))).alias("score"))
+
+
+def quality_sums(edges: DataFrame, from_test: DataFrame) -> DataFrame:
+    """(id, q): sum of the qualities of edges from known chunks.  from_test: (id, is_test)."""
+    side = edges.join(from_test.select(F.col("id").alias("src"), "is_test"), "src")
+    q = by_value(EDGE_QUALITY, F.col("type")) * F.when(F.coalesce("is_test", F.lit(False)), FROM_TEST).otherwise(1.0)
+    return side.groupBy(F.col("dst").alias("id")).agg(F.sum(q).alias("q"))
 
 
 def signal_score(recency: Column, churn: Column, w_recency: float = 0.3, w_churn: float = 0.2, inverted: bool = False) -> Column:

@@ -123,17 +123,34 @@ def python_chunks(source: str) -> list[tuple]:
     return out
 
 
+def _block_end(rows: list[str], start: int, language: str) -> int:
+    """The line on which a definition that starts on line ``start`` ends: where its brackets close, or its ``end``; its own line if it opens nothing."""
+    if language == "rb":
+        indent = len(rows[start - 1]) - len(rows[start - 1].lstrip())
+        return next((k for k in range(start + 1, len(rows) + 1) if re.match(rf"\s{{{indent}}}end\b", rows[k - 1])), start)
+    depth, opened = 0, False
+    for k in range(start, len(rows) + 1):
+        # brackets in strings and comments don't count
+        bare = re.sub(r'"(?:\\.|[^"\\])*"|\'(?:\\.|[^\'\\])\'|//.*', "", rows[k - 1])
+        depth += bare.count("{") - bare.count("}")
+        opened = opened or "{" in bare
+        if opened and depth <= 0:
+            return k
+        if not opened and (";" in bare or k > start + 10):
+            return k if ";" in bare else start
+    return len(rows) if opened else start
+
+
 def pattern_chunks(source: str, language: str) -> list[tuple]:
-    """Definitions found line by line; each reaches to the line before the next."""
-    found = []
-    rows = source.split("\n")
+    """Definitions found line by line, each with the lines of its block; definitions may lie within others."""
+    rows, out = source.split("\n"), []
     for i, line in enumerate(rows, 1):
         for kind, pattern in DEFINITIONS.get(language, ()):
             if m := re.match(pattern, line):
-                found.append((kind, m[1], i, line.strip()))
+                end = i if language == "gomod" or line.startswith("#") else _block_end(rows, i, language)
+                out.append((kind, m[1], i, end, line.strip(), None, None))
                 break
-    ends = [f[2] - 1 for f in found[1:]] + [len(rows)]
-    return [(k, name, start, max(start, end), sig, None, None) for (k, name, start, sig), end in zip(found, ends)]
+    return out
 
 
 def chunks(files: DataFrame, id_col: str, text_col: str = "text", language_col: str = "language") -> DataFrame:
@@ -225,11 +242,34 @@ def hash_provider(dim: int):
     return provide
 
 
-def scan(spark, root: str, ignore: list[str] = (), languages: list[str] = ()) -> DataFrame:
-    """(path, relpath, language, text, hash) of a source tree's files in known languages."""
+# fixed values: files at the root of a tree that list more paths to leave out
+IGNORE_FILES = (".gitignore", ".loomeryignore")
+
+
+def ignore_rules(spark, root: str) -> list[str]:
+    """The default ignores and those of the tree's own ignore files, which are read by Spark."""
+    jvm = spark.sparkContext._jvm
+    out = list(T.DEFAULT_IGNORES)
+    for name in IGNORE_FILES:
+        path = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{name}")
+        if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            # Spark's sources pass over names that begin with a dot unless they are asked for by name
+            stream = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(path)
+            reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
+            while (line := reader.readLine()) is not None:
+                if line.strip() and not line.strip().startswith("#"):
+                    out.append(line.strip())
+            reader.close()
+    return out
+
+
+def scan(spark, root: str, ignore: list[str] | None = None, languages: list[str] = ()) -> DataFrame:
+    """(path, relpath, language, text, hash) of a source tree's files in known languages, but for ignored ones (by default ``ignore_rules``)."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = root.rstrip("/").split("://")[-1]
     rel = F.regexp_replace("path", "^.*?" + re.escape(base) + "/+", "")
-    rows = raw.select("path", rel.alias("relpath"), F.decode("content", "UTF-8").alias("text"), F.sha2("content", 256).alias("hash")).withColumn("language", T.language(F.col("relpath")))
-    rows = rows.filter(F.col("language").isNotNull() & ~T.ignored(F.col("relpath"), list(ignore)))
+    rules = ignore_rules(spark, root) if ignore is None else list(ignore)
+    # paths are judged before contents are decoded
+    named = raw.select("path", rel.alias("relpath"), "content").withColumn("language", T.language(F.col("relpath"))).filter(F.col("language").isNotNull() & ~T.ignored(F.col("relpath"), rules))
+    rows = named.select("path", "relpath", F.decode("content", "UTF-8").alias("text"), F.sha2("content", 256).alias("hash"), "language")
     return rows.filter(F.col("language").isin(*languages)) if languages else rows

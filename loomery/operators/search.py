@@ -30,18 +30,25 @@ def bm25(docs: DataFrame, query: str, id_col: str = "id", fields: Sequence[str]
         return docs.select(F.col(id_col).alias("id"), F.lit(0.0).alias("score")).limit(0)
     w = T.words(F.concat_ws(" ", *fields))
     counted = docs.select(F.col(id_col).alias("id"), w.alias("w")).select("id", F.size("w").cast("double").alias("dl"), *(F.size(_starting("w", p)).cast("double").alias(f"tf{i}") for i, p in enumerate(prefixes)))
-    stats = counted.agg(F.count("*").cast("double").alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"tf{i}") > 0).cast("double").alias(f"n{i}") for i in range(len(prefixes))))
-    # one row of totals meets every row
-    both = counted.join(F.broadcast(stats))
+    totals = counted.agg(F.count("*").cast("double").alias("n"), F.avg("dl").alias("avgdl"), *_matching(len(prefixes)))
+    return _scored(counted, totals, len(prefixes), match_all)
+
+
+def _matching(k: int) -> list[Column]:
+    return [F.count_if(F.col(f"tf{i}") > 0).cast("double").alias(f"n{i}") for i in range(k)]
+
+
+def _scored(counted: DataFrame, totals: DataFrame, k: int, match_all: bool) -> DataFrame:
+    """(id, score) from (id, dl, tf0 ...) and one row (n, avgdl, n0 ...), which meets every row."""
+    both = counted.join(F.broadcast(totals))
     score: Column = F.lit(0.0)
-    for i in range(len(prefixes)):
+    for i in range(k):
         tf, n = F.col(f"tf{i}"), F.col(f"n{i}")
         idf = F.greatest(F.log((F.col("n") - n + 0.5) / (n + 0.5)), F.lit(LEAST_IDF))
         score = score + F.when(tf > 0, idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))).otherwise(0.0)
-    hits = [F.col(f"tf{i}") > 0 for i in range(len(prefixes))]
-    met = hits[0]
-    for h in hits[1:]:
-        met = met & h if match_all else met | h
+    met = F.col("tf0") > 0
+    for i in range(1, k):
+        met = met & (F.col(f"tf{i}") > 0) if match_all else met | (F.col(f"tf{i}") > 0)
     return both.filter(met).select("id", score.alias("score"))
 
 
@@ -49,18 +56,38 @@ def _starting(words: str, prefix: str) -> Column:
     return F.filter(words, lambda x: x.startswith(prefix))
 
 
-def bm25_indexed(index: DataFrame, n_docs: int, avgdl: float, query: str) -> DataFrame:
-    """The same scores from stored ``postings``: only terms in the prefixes' ranges are read."""
+def bm25_indexed(index: DataFrame, n_docs: int, avgdl: float, query: str, match_all: bool = False) -> DataFrame:
+    """The same scores from stored ``postings``: only terms in the prefixes' ranges are read, and only their rows are shuffled."""
+    prefixes = [p.lower() for p in T.query_terms(query)]
+    if not prefixes:
+        return index.select("id", F.lit(0.0).alias("score")).limit(0)
+    own = [(F.col("term") >= p) & (F.col("term") < p + "\U0010ffff") for p in prefixes]
+    any_ = own[0]
+    for c in own[1:]:
+        any_ = any_ | c
+    tf = [F.sum(F.when(c, F.col("tf")).otherwise(0)).cast("double").alias(f"tf{i}") for i, c in enumerate(own)]
+    counted = index.filter(any_).groupBy("id").agg(F.first("dl").cast("double").alias("dl"), *tf)
+    totals = counted.agg(F.lit(float(n_docs)).alias("n"), F.lit(float(avgdl)).alias("avgdl"), *_matching(len(prefixes)))
+    return _scored(counted, totals, len(prefixes), match_all)
+
+
+def store_index(docs: DataFrame, path: str, id_col: str, fields: Sequence[str]) -> tuple[DataFrame, int, float]:
+    """(``postings`` written in ranges of terms, rows, mean words a row).  A query's prefixes then skip most row groups."""
+    n, words = docs.agg(F.count("*"), F.sum(F.size(T.words(F.concat_ws(" ", *fields))))).head()
+    rows = postings(docs, id_col, fields)
+    rows.repartitionByRange("term").sortWithinPartitions("term", "id").write.parquet(path)
+    return docs.sparkSession.read.schema(rows.schema).parquet(path), n, (words or 0) / max(n, 1)
+
+
+def ts_rank(index: DataFrame, query: str, weight: float = 0.1, most: int = 255) -> DataFrame:
+    """(id, score) by the database's rank for a disjunction of prefixes: every word with a prefix adds weight / k^2 for its k-th place in a row, over 1.64493406685 and the number of prefixes."""
     prefixes = [p.lower() for p in T.query_terms(query)]
-    found = None
+    rows = None
     for p in prefixes:
-        rows = index.filter((F.col("term") >= p) & (F.col("term") < p + "\U0010ffff")).groupBy("id").agg(F.sum("tf").cast("double").alias("tf"), F.first("dl").cast("double").alias("dl")).withColumn("p", F.lit(p))
-        found = rows if found is None else found.unionByName(rows)
-    df = found.groupBy("p").agg(F.count("*").cast("double").alias("n"))
-    idf = F.greatest(F.log((F.lit(float(n_docs)) - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(LEAST_IDF))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
-    # one row per prefix of the query
-    return found.join(F.broadcast(df), "p").groupBy("id").agg(F.sum(part).alias("score"))
+        own = index.filter((F.col("term") >= p) & (F.col("term") < p + "\U0010ffff")).select("id", "tf")
+        rows = own if rows is None else rows.unionByName(own)
+    places = F.aggregate(F.sequence(F.lit(1).cast("long"), F.least("tf", F.lit(most).cast("long"))), F.lit(0.0), lambda a, k: a + 1.0 / (k * k))
+    return rows.groupBy("id").agg((F.sum(places) * weight / 1.64493406685 / len(prefixes)).alias("score"))
 
 
 def top(df: DataFrame, k: int, score: str = "score", key: str = "id") -> DataFrame:
@@ -108,20 +135,21 @@ def scoped(df: DataFrame, kinds: Sequence[str] = (), languages: Sequence[str] =
 
 def resolve_repo(repos: DataFrame, name: str) -> DataFrame:
     """The repository of exactly this name, else the only one that ends in /name; none if several do."""
-    exact = repos.filter(F.col("name") == name)
-    tail = repos.filter(F.col("name").endswith("/" + name))
-    marked = exact.withColumn("_e", F.lit(1)).unionByName(tail.withColumn("_e", F.lit(0)))
-    w = Window.partitionBy(F.lit(1))
-    return marked.withColumn("_x", F.max("_e").over(w)).filter("_e = _x").withColumn("_n", F.count("*").over(w)).filter("_n = 1").drop("_e", "_x", "_n")
+    exact = F.col("name") == name
+    found = repos.filter(exact | F.col("name").endswith("/" + name)).withColumn("_e", exact.cast("int"))
+    # two numbers of the few rows that match
+    most = found.agg(F.max("_e").alias("_x"), F.count_if(F.col("_e") == 1).alias("_n1"), F.count("*").alias("_n0"))
+    one = F.when(F.col("_x") == 1, F.col("_n1")).otherwise(F.col("_n0")) == 1
+    return found.join(F.broadcast(most)).filter((F.col("_e") == F.col("_x")) & one).drop("_e", "_x", "_n1", "_n0")
 
 
 def is_test(path: Column, kind: Column) -> Column:
-    """Test code by path or kind; in patterns _ stands for any character."""
+    """Test code by path or kind; in patterns _ stands for any character, and case doesn't count."""
     # fixed values: path patterns of test code
-    patterns = ("%/test/%", "%/tests/%", "tests/%", "test/%", "%/__tests__/%", "%_test.rs%", "%_test.go%", "%test_%.py", "%.test.ts%", "%.test.js%", "%.spec.ts%")
-    out = kind.like("%test%")
+    patterns = ("%/test/%", "%/tests/%", "%/__tests__/%", "%.test.ts%", "%.test.js%", "%.test.tsx%", "%.test.jsx%", "%.spec.ts%", "%.spec.js%", "%_test.rs%", "%_test.py%")
+    out = kind.ilike("%test%")
     for p in patterns:
-        out = out | path.like(p)
+        out = out | path.ilike(p)
     return out
 
 

@@ -100,7 +100,7 @@ def _(spark, d):
 _TABLE = "SELECT count(*) FILTER (WHERE user_id % 2 = 0 AND event_type = 'click') AS a, count(*) FILTER (WHERE user_id % 2 = 0 AND event_type = 'view') AS b, count(*) FILTER (WHERE user_id % 2 = 1 AND event_type = 'click') AS c, count(*) FILTER (WHERE user_id % 2 = 1 AND event_type = 'view') AS d FROM events"
 
 
-@query("C10_chi_square", f"WITH t AS (SELECT CAST(a AS DOUBLE) AS a, CAST(b AS DOUBLE) AS b, CAST(c AS DOUBLE) AS c, CAST(d AS DOUBLE) AS d FROM ({_TABLE}) x), y AS (SELECT (a + b + c + d) * (a * d - b * c) * (a * d - b * c) / ((a + b) * (c + d) * (a + c) * (b + d)) AS x FROM t) SELECT round(x, 6) AS chi2, CASE WHEN x >= 10.828 THEN 0.001::DOUBLE WHEN x >= 6.635 THEN 0.01::DOUBLE WHEN x >= 3.841 THEN 0.05::DOUBLE WHEN x >= 2.706 THEN 0.1::DOUBLE ELSE 0.5::DOUBLE END AS p FROM y")
+@query("C10_chi_square", f"WITH t AS (SELECT CAST(a AS DOUBLE) AS a, CAST(b AS DOUBLE) AS b, CAST(c AS DOUBLE) AS c, CAST(d AS DOUBLE) AS d FROM ({_TABLE}) x), y AS (SELECT (a + b + c + d) * (a * d - b * c) * (a * d - b * c) / ((a + b) * (c + d) * (a + c) * (b + d)) AS x FROM t) SELECT round(x, 6) AS chi2, CASE WHEN x > 10.83 THEN 0.001::DOUBLE WHEN x > 6.63 THEN 0.01::DOUBLE WHEN x > 3.84 THEN 0.05::DOUBLE WHEN x > 2.71 THEN 0.1::DOUBLE ELSE 0.5::DOUBLE END AS p FROM y")
 def _(spark, d):
     def n(side: int, kind: str):
         return F.count_if((F.col("user_id") % 2 == side) & (F.col("event_type") == kind)).cast("double")
@@ -243,9 +243,24 @@ def _(spark, d):
     return both.select("query_id", E.gates(F.lit(1.0), F.col("precision"), F.col("ndcg"), F.lit(0.0), F.lit(0.0)).alias("passed"))
 
 
-@query("A208_histogram", "SELECT bound, (SELECT count(*) FROM events WHERE bound IS NULL OR value <= bound) AS n FROM (VALUES (1.0::DOUBLE), (5.0::DOUBLE), (10.0::DOUBLE), (50.0::DOUBLE), (100.0::DOUBLE), (500.0::DOUBLE), (NULL)) b(bound)")
+def _buckets(column: str, bounds: str) -> str:
+    values = ", ".join(f"({b}::DOUBLE)" for b in bounds.split())
+    return f"SELECT bound, (SELECT count(*) FROM events WHERE bound IS NULL OR {column} <= bound) AS n FROM (VALUES {values}, (NULL)) b(bound)"
+
+
+@query("A208_latency_histogram", _buckets("value / 100", "0.001 0.005 0.01 0.025 0.05 0.075 0.1 0.25 0.5 1 2.5 5"))
+def _(spark, d):
+    return E.histogram(read(spark, d, "events").withColumn("value", F.col("value") / 100), "value", E.LATENCY_SECONDS)
+
+
+@query("A208_fusion_histogram", _buckets("value / 1000", "0.0005 0.001 0.002 0.005 0.01 0.025 0.05"))
+def _(spark, d):
+    return E.histogram(read(spark, d, "events").withColumn("value", F.col("value") / 1000), "value", E.FUSION_SECONDS)
+
+
+@query("A208_result_histogram", _buckets("event_id % 150", "0 1 5 10 20 50 100"))
 def _(spark, d):
-    return E.histogram(read(spark, d, "events"), "value", [1, 5, 10, 50, 100, 500])
+    return E.histogram(read(spark, d, "events").withColumn("results", F.col("event_id") % 150), "results", E.RESULT_COUNTS)
 
 
 @query("C61_first_hit_rank", twin("SELECT query_id, count(*) AS n, min(CASE WHEN rank <= 20 AND grade = 3 THEN rank END) AS hit FROM ranked GROUP BY query_id", "ranked"))

@@ -14,9 +14,20 @@ from loomery.streaming import state
 from .catalog import query
 
 
-@query("A02_language_detection", "SELECT CASE WHEN url LIKE '%.html' OR url LIKE '%.htm' THEN 'html' END AS language, count(*) AS n FROM pages GROUP BY 1")
+_NAMED = ("a.ts", "b.tsx", "c.js", "d.jsx", "e.rs", "f.py", "g.go", "h.rb", "i.rake", "j.c", "k.cs", "l.java", "m.cpp", "n.cxx", "o.cc", "p.c++", "q.hpp", "r.hxx", "s.h", "t.md", "u.mdx", "v.json", "w.yaml", "x.yml", "y.toml", "go.mod", "Gemfile", "Rakefile", "z.mjs", "z.html", "noext")
+
+
+@query("A02_language_detection", """SELECT doc_id, ['ts', 'tsx', 'js', 'jsx', 'rs', 'py', 'go', 'rb', 'rb', 'c', 'cs', 'java', 'cpp', 'cpp', 'cpp', 'cpp', 'cpp', 'cpp', 'cpp', 'md', 'mdx', 'json', 'yaml', 'yaml', 'toml', 'gomod', 'rb', 'rb', NULL, NULL, NULL][doc_id % 31 + 1] AS language FROM documents""")
+def _(spark, d):
+    path = F.concat(F.lit("dir/"), F.element_at(F.array(*map(F.lit, _NAMED)), (F.col("doc_id") % len(_NAMED) + 1).cast("int")))
+    return read(spark, d, "documents").select("doc_id", T.language(path).alias("language"))
+
+
+@query("A03_default_ignores", "SELECT doc_id, [true, true, true, true, true, true, true, false, false][doc_id % 9 + 1] AS ignored FROM documents")
 def _(spark, d):
-    return read(spark, d, "pages").groupBy(T.language(F.col("url")).alias("language")).agg(F.count("*").alias("n"))
+    names = ("a/b.log", ".git/config", "node_modules/x.js", "a/dist/y.js", "target/z", "a/.DS_Store", "Thumbs.db", "src/a.rs", "distant/b.rs")
+    path = F.element_at(F.array(*map(F.lit, names)), (F.col("doc_id") % 9 + 1).cast("int"))
+    return read(spark, d, "documents").select("doc_id", T.ignored(path, list(T.DEFAULT_IGNORES)).alias("ignored"))
 
 
 @query("A03_A211_ignore_matcher", twin("SELECT id, (relpath LIKE 'tests/%' OR relpath LIKE '%/tests/%' OR regexp_matches(relpath, '(^|/)[^/]*_test\\.rs(/|$)')) AS ignored FROM chunks", "chunks"))
@@ -24,15 +35,19 @@ def _(spark, d):
     return read(spark, d, "chunks").select("id", T.ignored(F.col("relpath"), ["# comment", "", "tests/", "*_test.rs"]).alias("ignored"))
 
 
-def _marked(spark, d):
+def marked(spark, d):
     """Documents as Markdown: every third line a heading."""
     rows = F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 3 == 0, F.concat(F.repeat(F.lit("#"), (i % 4 + 1).cast("int")), F.lit(" "), F.left(x, F.lit(20)), F.lit("x"))).otherwise(x))
     return read(spark, d, "documents").select("doc_id", F.array_join(rows, "\n").alias("text"))
 
 
-@query("A05_markdown_sections")
+_LINES = "l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents), m AS (SELECT doc_id, CAST(max(n) AS INTEGER) AS most FROM l GROUP BY doc_id), h AS (SELECT doc_id, n, CAST((n - 1) % 4 + 1 AS INTEGER) AS level, trim(left(line, 20)) || CASE WHEN left(line, 20) LIKE '% ' THEN right(left(line, 20), length(left(line, 20)) - length(rtrim(left(line, 20)))) ELSE '' END || 'x' AS title FROM l WHERE (n - 1) % 3 = 0)"
+
+
+@query("A05_markdown_sections", f"""WITH {_LINES} SELECT h.doc_id, h.level, h.title, CAST(h.n AS INTEGER) AS start, CAST(coalesce((SELECT min(g.n) FROM h g WHERE g.doc_id = h.doc_id AND g.n > h.n AND g.level <= h.level) - 1, m.most) AS INTEGER) AS "end",
+coalesce((SELECT string_agg(g.title, ' > ' ORDER BY g.n) FROM h g WHERE g.doc_id = h.doc_id AND g.n < h.n AND g.level < h.level AND NOT EXISTS (SELECT 1 FROM h x WHERE x.doc_id = h.doc_id AND x.n > g.n AND x.n < h.n AND x.level <= g.level)) || ' > ', '') || h.title AS path FROM h JOIN m USING (doc_id)""")
 def _(spark, d):
-    return ingest.markdown_sections(_marked(spark, d), "doc_id")
+    return ingest.markdown_sections(marked(spark, d), "doc_id")
 
 
 @query("A05_markdown_code_blocks", "SELECT doc_id, 'py' AS language, 2::INTEGER AS start, CAST(len(string_split(text, chr(10))) + 3 AS INTEGER) AS \"end\" FROM documents")
@@ -61,6 +76,29 @@ def _(spark, d):
     return ingest.chunks(read(spark, d, "documents").select("doc_id", code.alias("text"), F.lit("py").alias("language")), "doc_id")
 
 
+_SOURCES = {
+    "rs": "pub struct S?;\n\nimpl S? {\n    pub fn run?(&self) -> u8 {\n        if true { 1 } else { 2 }\n    }\n}\n\npub async fn go() {\n}\nmod m;",
+    "go": "package p\n\nfunc Run?(a int) int {\n\treturn a\n}\n\nfunc (s *S) Get() {\n}\n\ntype T? struct {\n\tx int\n}",
+    "rb": "module M?\n  class C\n    def run?\n      1\n    end\n  end\nend",
+    "ts": "export interface I? {\n  a: string\n}\nexport async function go?() {\n  return '}'\n}\nexport class K {\n}\nexport const z = (a) => {\n  return a\n}",
+    "java": "public class J? {\n    public static int run(int a) {\n        return a;\n    }\n}",
+    "c": "#define N? 1\nstruct S? {\n  int x;\n};\nstatic int run(int a) {\n  return a;\n}",
+    "gomod": "module example.org/m?\n\nrequire (\n\tgithub.com/a/b v1.2.3\n)",
+}
+
+
+@query("A08_pattern_chunkers", """SELECT doc_id, language, kind, replace(name, '?', CAST(doc_id AS VARCHAR)) AS symbol_name, start_line, end_line FROM (SELECT doc_id, ['rs', 'go', 'rb', 'ts', 'java', 'c', 'gomod'][doc_id % 7 + 1] AS language FROM documents) JOIN
+(VALUES ('rs', 'class', 'S?', 1, 1), ('rs', 'func', 'run?', 4, 6), ('rs', 'func', 'go', 9, 10), ('rs', 'module', 'm', 11, 11),
+('go', 'func', 'Run?', 3, 5), ('go', 'method', 'Get', 7, 8), ('go', 'type', 'T?', 10, 12), ('rb', 'module', 'M?', 1, 7), ('rb', 'class', 'C', 2, 6), ('rb', 'method', 'run?', 3, 5),
+('ts', 'type', 'I?', 1, 3), ('ts', 'func', 'go?', 4, 6), ('ts', 'class', 'K', 7, 8), ('ts', 'func', 'z', 9, 11), ('java', 'class', 'J?', 1, 5), ('java', 'method', 'run', 2, 4),
+('c', 'constant', 'N?', 1, 1), ('c', 'class', 'S?', 2, 4), ('c', 'func', 'run', 5, 7), ('gomod', 'module', 'example.org/m?', 1, 1), ('gomod', 'imports', 'github.com/a/b', 4, 4)) t(language, kind, name, start_line, end_line) USING (language)""")
+def _(spark, d):
+    pick = F.element_at(F.array(*map(F.lit, _SOURCES)), (F.col("doc_id") % len(_SOURCES) + 1).cast("int"))
+    code = F.element_at(F.create_map(*(F.lit(x) for kv in _SOURCES.items() for x in kv)), F.col("language"))
+    files = read(spark, d, "documents").select("doc_id", pick.alias("language")).withColumn("text", F.replace(code, F.lit("?"), F.col("doc_id").cast("string")))
+    return ingest.chunks(files, "doc_id").join(files.select("doc_id", "language"), "doc_id").select("doc_id", "language", "kind", "symbol_name", "start_line", "end_line")
+
+
 @query("A09_docstrings", "SELECT doc_id, concat('Does ', source, '.', chr(10), 'Args: x: a number', chr(10), 'Returns: another') AS doc FROM documents")
 def _(spark, d):
     doc = F.concat(F.lit("Does "), "source", F.lit(".\n\nArgs:\n    x: a number\nReturns:\n    another\n"))
@@ -184,11 +222,31 @@ def _(spark, d):
     return context.one_per_role(_items(spark, d)).select("bundle", "category", "id")
 
 
-@query("A107_truncate_head")
+# lines of a text with the estimate of all bytes up to each; those that fit beside the marker of 23 bytes
+_UPTO = "l AS (SELECT doc_id, text, string_split(regexp_replace(text, '\\n$', ''), chr(10)) AS l FROM documents), u AS (SELECT doc_id, text, l, list_transform(range(1, len(l) + 1), lambda k: ceil((list_sum(list_transform(l[1:k], lambda x: strlen(x) + 1)) - 1) / 4.0)) AS c FROM l)"
+
+
+@query("A107_truncate_head", f"WITH {_UPTO} SELECT doc_id, CASE WHEN ceil(strlen(text) / 4.0) <= 100 THEN text ELSE array_to_string(l[1:len(list_filter(c, lambda x: x <= 94))], chr(10)) || chr(10) || '// ... [truncated] ...' END AS text FROM u")
 def _(spark, d):
     return read(spark, d, "documents").select("doc_id", context.truncate_head(F.col("text"), 100).alias("text"))
 
 
+@query("A107_preserve_signature", f"WITH coded AS (SELECT doc_id, '// about' || chr(10) || 'fn f' || doc_id || '() {{' || chr(10) || '  // says' || chr(10) || chr(10) || text AS text FROM documents), {_UPTO.replace('FROM documents', 'FROM coded')} SELECT doc_id, CASE WHEN ceil(strlen(text) / 4.0) <= 100 THEN text ELSE array_to_string(l[1:greatest(len(list_filter(range(1, len(c) + 1), lambda k: c[k] <= 93 AND (k = 1 OR c[k - 1] < 93))), 4)], chr(10)) || CASE WHEN greatest(len(list_filter(range(1, len(c) + 1), lambda k: c[k] <= 93 AND (k = 1 OR c[k - 1] < 93))), 4) < len(l) THEN chr(10) || '    // ... [truncated] ...' || chr(10) ELSE '' END END AS text FROM u")
+def _(spark, d):
+    code = F.concat(F.lit("// about\nfn f"), F.col("doc_id").cast("string"), F.lit("() {\n  // says\n\n"), "text")
+    return read(spark, d, "documents").select("doc_id", context.truncate_signature(code, 100).alias("text"))
+
+
+@query("A106_bundle_by_role", f"""WITH {_ITEMS}, b AS (SELECT *, row_number() OVER (PARTITION BY bundle, category ORDER BY base DESC, id) AS rn FROM i),
+w AS (SELECT bundle, max(id) FILTER (category = 'primary') AS p, coalesce(max(tokens) FILTER (category = 'primary'), 0) AS u0, max(id) FILTER (category = 'tests') AS t, max(tokens) FILTER (category = 'tests') AS tt,
+max(id) FILTER (category = 'callers') AS c, max(tokens) FILTER (category = 'callers') AS ct, max(id) FILTER (category = 'callees') AS e, max(tokens) FILTER (category = 'callees') AS et FROM b WHERE rn = 1 GROUP BY bundle),
+x AS (SELECT *, coalesce(u0 < 60 AND 60 - u0 >= 1 AND u0 + tt <= 60, false) AS ft FROM w), y AS (SELECT *, u0 + CASE WHEN ft THEN tt ELSE 0 END AS u1 FROM x),
+z AS (SELECT *, coalesce(u1 < 60 AND u1 + ct <= 60, false) AS fc FROM y), q AS (SELECT *, u1 + CASE WHEN fc THEN ct ELSE 0 END AS u2 FROM z), v AS (SELECT *, coalesce(u2 < 60 AND u2 + et <= 60, false) AS fe FROM q)
+SELECT bundle, p AS "primary", CASE WHEN ft THEN t END AS tests, CASE WHEN fc THEN c END AS callers, CASE WHEN fe THEN e END AS callees, u2 + CASE WHEN fe THEN et ELSE 0 END AS used FROM v""")
+def _(spark, d):
+    return context.bundle(_items(spark, d), 60)
+
+
 @query("A107_truncate_ends", "SELECT doc_id, CASE WHEN len(l) <= 3 THEN text ELSE array_to_string(list_concat(list_concat(list_slice(l, 1, 2), ['... [truncated]']), list_slice(l, len(l), len(l))), chr(10)) END AS text FROM (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents) x")
 def _(spark, d):
     return read(spark, d, "documents").select("doc_id", context.truncate_head_and_tail(F.col("text"), 2, 1).alias("text"))
@@ -199,10 +257,13 @@ def _(spark, d):
     return _items(spark, d).groupBy("category", context.reason(F.col("category"), F.lit("f")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query("A145_synonym_expansion", "SELECT doc_id, array_to_string(list_sort(list_distinct(list_concat([lang], CASE lang WHEN 'en' THEN ['english', 'eng'] WHEN 'de' THEN ['german'] ELSE [] END))), ',') AS terms FROM documents")
+_TOKENS = ("authenticate", "func", "config", "tests", "errors", "db", "query", "login", "asynchronous")
+
+
+@query("A145_synonym_expansion", """SELECT doc_id, ['authentication,authorize,login', '', 'config,configuration,settings', 'spec,unittest', 'err,exception', '', 'find,search', 'auth,signin', 'asynchronous,await'][doc_id % 9 + 1] AS terms FROM documents""")
 def _(spark, d):
-    synonyms = F.create_map(F.lit("en"), F.array(F.lit("english"), F.lit("eng")), F.lit("de"), F.array(F.lit("german")))
-    return read(spark, d, "documents").select("doc_id", F.array_join(T.expand(F.array("lang"), synonyms), ",").alias("terms"))
+    token = F.element_at(F.array(*map(F.lit, _TOKENS)), (F.col("doc_id") % len(_TOKENS) + 1).cast("int"))
+    return read(spark, d, "documents").select("doc_id", F.array_join(T.expand(F.array(token)), ",").alias("terms"))
 
 
 @query("B70_ham_stream", twin("""SELECT soul, key, state FROM (SELECT *, row_number() OVER (PARTITION BY soul, key ORDER BY state DESC, event_id) AS rn FROM cells) x WHERE rn = 1""", "cells"))

@@ -6,12 +6,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomery.functions import text as T
-from loomery.operators import crdt, delta, fusion, search
+from loomery.operators import cache, context, crdt, delta, fusion, ingest, migrate, search
 from loomery.sources.durable import shared_folder
 from loomery.sources.tables import read, twin
 from loomery.streaming import state
 
 from .catalog import query
+from .ingestion import marked
 
 ASKED = ["validateUser", "user_id lookup", "how does the parser work", "a::b", "the of", "find open files now"]
 
@@ -55,17 +56,24 @@ def _(spark, d):
     return search.top(search.first_per_key(k, ["source"], F.desc("score"), F.asc("id")), 10).select("id")
 
 
-@query("A115_term_set_operations", "SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(string_split(lower(text), ' ')[1:10], lambda x: x NOT IN ('the', 'of', 'and', 'a', 'to')))), ' ') AS terms FROM documents")
+@query("A115_term_set_operations", r"SELECT doc_id, array_to_string(list_sort(list_filter(list_distinct(string_split_regex(lower(text), '\s+')), lambda x: x NOT IN ('the', 'of', 'and', 'a', 'to'))), ' ') AS terms FROM documents")
 def _(spark, d):
-    first = F.slice(F.split(F.lower("text"), " "), 1, 10)
     stop = F.array(*(F.lit(x) for x in ("the", "of", "and", "a", "to")))
-    return read(spark, d, "documents").select("doc_id", F.array_join(F.array_sort(F.array_except(F.array_distinct(first), stop)), " ").alias("terms"))
+    terms = F.array_except(F.split(F.lower("text"), r"\s+"), stop)
+    return read(spark, d, "documents").select("doc_id", F.array_join(F.array_sort(terms), " ").alias("terms"))
 
 
-@query("A202_context_language", twin("SELECT id, CASE WHEN relpath LIKE '%.rs' THEN 'rs' WHEN kind LIKE 'heading%' THEN 'md' ELSE 'unknown' END AS language FROM chunks", "chunks"))
+_SNIPPETS = ("using System;", "import java.util.List;", "#include <x> namespace a", "class A < B end", "def f import os", "pub fn a()", "x: string", "const a = 1", "func a() package b", "plain words", "namespace a class B", "public class A")
+
+
+@query("A202_context_language", """SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'rs' WHEN 1 THEN ['rs', 'rb', 'java', 'cpp', 'unknown'][doc_id % 5 + 1] ELSE ['cs', 'java', 'cpp', 'rb', 'py', 'rs', 'ts', 'js', 'go', 'unknown', 'cs', 'java'][doc_id % 12 + 1] END AS language FROM documents""")
 def _(spark, d):
-    by_kind = F.when(F.col("kind").startswith("heading"), "md").otherwise("unknown")
-    return read(spark, d, "chunks").select("id", F.coalesce(T.language(F.col("relpath")), by_kind).alias("language"))
+    def pick(values, k):
+        return F.element_at(F.array(*map(F.lit, values)), (F.col("doc_id") % k + 1).cast("int"))
+
+    rows = read(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, "src/a.rs").alias("path"), F.when(F.col("doc_id") % 3 == 1, pick(("impl", "module", "constructor", "namespace", "func"), 5)).alias("kind"), pick(_SNIPPETS, 12).alias("content"))
+    by_content = F.when(F.col("kind").isNull(), T.language_of_content(F.col("content")))
+    return rows.select("doc_id", F.coalesce(T.language(F.col("path")), T.language_of_kind(F.col("kind")), by_content, F.lit("unknown")).alias("language"))
 
 
 @query("A209_dimension_filter", "SELECT len(embedding) AS dim, count(*) AS n FROM embeddings WHERE len(embedding) IN (64, 768, 1024, 1536) GROUP BY 1")
@@ -81,25 +89,53 @@ def _(spark, d):
     return spark.read.parquet(where)
 
 
-@query("A210_rechunk", twin("SELECT id, file_id FROM chunks WHERE file_id % 4 <> 0 UNION ALL SELECT id + 1000000, file_id FROM chunks WHERE file_id % 4 = 0", "chunks"))
+@query("A210_rechunk", r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents WHERE doc_id % 4 = 0),
+h AS (SELECT doc_id, n, (n - 1) % 4 + 1 AS level, CAST(max(n) OVER (PARTITION BY doc_id) AS INTEGER) AS most FROM (SELECT doc_id, n, max(n) OVER (PARTITION BY doc_id) AS most FROM l) x WHERE (n - 1) % 3 = 0),
+m AS (SELECT doc_id, max(n) AS most FROM l GROUP BY doc_id)
+SELECT doc_id AS file_id, n AS start_line, coalesce((SELECT min(g.n) FROM h g WHERE g.doc_id = h.doc_id AND g.n > h.n AND g.level <= h.level) - 1, m.most) AS end_line FROM h JOIN m USING (doc_id)
+UNION ALL SELECT doc_id, 1, 1 FROM documents WHERE doc_id % 4 <> 0""")
 def _(spark, d):
-    c = read(spark, d, "chunks").select("id", "file_id")
-    again = c.filter("file_id % 4 = 0")
-    return delta.without(c, again, ["file_id"]).unionByName(again.select((F.col("id") + 1_000_000).alias("id"), "file_id"))
+    files = marked(spark, d).select(F.col("doc_id").alias("file_id"), "text")
+    old = read(spark, d, "documents").select(F.col("doc_id").alias("file_id"), F.lit(1).alias("start_line"), F.lit(1).alias("end_line"))
 
+    def parse(some):
+        return ingest.markdown_sections(some, "file_id").select("file_id", F.col("start").cast("int").alias("start_line"), F.col("end").alias("end_line"))
 
-@query("A192_incremental_files", twin("SELECT path, CASE WHEN length(path) > 7 THEN 'skipped' ELSE 'done' END AS outcome FROM new_files", "new_files"))
-def _(spark, d):
-    return read(spark, d, "new_files").select("path", F.when(F.length("path") > 7, "skipped").otherwise("done").alias("outcome"))
+    after, stats = migrate.rechunk(old, files.filter("file_id % 4 = 0"), parse, shared_folder(spark))
+    return after if not stats["rolled_back"] else after.filter("false")
 
 
-@query("A190_polled_changes", "SELECT count(*) AS n FROM events WHERE event_type = 'error'")
+@query("A192_incremental_files", twin("""WITH e AS (SELECT coalesce(n.path, o.path) AS path, n.hash, CASE WHEN n.path IS NULL THEN 'deleted' WHEN o.path IS NULL THEN 'new' ELSE 'modified' END AS change, o.hash AS old,
+  strlen(coalesce(n.path, o.path)) % 3 = 0 AS large FROM old_files o FULL JOIN new_files n ON n.path = o.path WHERE n.hash IS DISTINCT FROM o.hash)
+SELECT path, hash FROM old_files WHERE path NOT IN (SELECT path FROM e) UNION ALL SELECT path, CASE WHEN large THEN old ELSE hash END FROM e WHERE change <> 'deleted' AND (NOT large OR old IS NOT NULL)""", "old_files", "new_files"))
 def _(spark, d):
     where = shared_folder(spark)
-    read(spark, d, "events").write.parquet(f"{where}/in")
-    stream = spark.readStream.schema(spark.read.parquet(f"{where}/in").schema).option("maxFilesPerTrigger", 1).parquet(f"{where}/in")
-    state.run_available(stream.filter("event_type = 'error'"), "parquet", f"{where}/out", f"{where}/check")
-    return spark.read.parquet(f"{where}/out").agg(F.count("*").alias("n"))
+    changed = delta.detect_changes(read(spark, d, "old_files"), read(spark, d, "new_files")).filter("change <> 'none'")
+    size = F.when(F.length("path") % 3 == 0, delta.MOST_BYTES + 1).otherwise(1000)
+    events = changed.select("path", "change", F.col("new_hash").alias("hash"), size.cast("long").alias("bytes"))
+    events.repartition(2, "path").write.parquet(f"{where}/events")
+    read(spark, d, "old_files").select("path", "hash").write.parquet(f"{where}/index0")
+    done = []
+
+    def apply(batch, number):
+        # each batch writes the next version of the index from the one before; a batch that comes again writes it again
+        now = spark.read.parquet(f"{where}/index{number}")
+        delta.process_files(now, batch)[0].write.mode("overwrite").parquet(f"{where}/index{number + 1}")
+        done.append(number)
+
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{where}/events")
+    state.run_batches(stream, apply, f"{where}/check")
+    return spark.read.parquet(f"{where}/index{max(done, default=-1) + 1}")
+
+
+_POLLS = "p AS (SELECT 0 AS poll, path, hash FROM old_files UNION ALL SELECT 1, path, hash FROM new_files UNION ALL SELECT 2, path, hash FROM new_files WHERE strlen(path) % 2 = 0)"
+
+
+@query("A190_polled_changes", twin(f"WITH {_POLLS} SELECT b.poll + 1 AS poll, b.path, CASE WHEN a.path IS NULL THEN 'deleted' ELSE 'modified' END AS change FROM p b LEFT JOIN p a ON a.path = b.path AND a.poll = b.poll + 1 WHERE b.poll < 2 AND (a.path IS NULL OR a.hash <> b.hash) UNION ALL SELECT a.poll, a.path, 'new' FROM p a WHERE a.poll > 0 AND NOT EXISTS (SELECT 1 FROM p b WHERE b.path = a.path AND b.poll = a.poll - 1)", "old_files", "new_files"))
+def _(spark, d):
+    old, new = (read(spark, d, t).select("path", "hash") for t in ("old_files", "new_files"))
+    polls = old.withColumn("poll", F.lit(0)).unionByName(new.withColumn("poll", F.lit(1))).unionByName(new.filter(F.length("path") % 2 == 0).withColumn("poll", F.lit(2)))
+    return delta.poll_changes(polls)
 
 
 @query("A19_C65_event_log", "SELECT event_type AS type, count(*) AS n FROM events GROUP BY event_type")
@@ -115,8 +151,17 @@ def _(spark, d):
 
 @query("B75_subscription", twin("SELECT soul, key, max(state) AS state FROM cells WHERE soul IN ('1', '2', '3') GROUP BY soul, key", "cells"))
 def _(spark, d):
-    cells = crdt.ham(read(spark, d, "cells").filter("event_id < 5000")).unionByName(crdt.ham(read(spark, d, "cells").filter("event_id >= 5000")))
-    return crdt.ham(cells.filter(F.col("soul").isin("1", "2", "3"))).select("soul", "key", "state")
+    where = shared_folder(spark)
+    own = read(spark, d, "cells").filter(F.col("soul").isin("1", "2", "3"))
+    # a subscriber gets what there is, then every change that wins
+    snapshot = crdt.ham(own.filter("event_id < 5000"))
+    ops = own.filter("event_id >= 5000").drop("msg_id", "event_id")
+    ops.write.parquet(f"{where}/ops")
+    stream = spark.readStream.schema(ops.schema).parquet(f"{where}/ops")
+    state.run_available(state.ham_stream(stream), "parquet", f"{where}/seen", f"{where}/check")
+    cols = ops.columns
+    heard = snapshot.select(cols).unionByName(spark.read.schema(ops.schema).parquet(f"{where}/seen").select(cols))
+    return crdt.ham(heard).select("soul", "key", "state")
 
 
 @query("B76_coalesced_open", twin("SELECT soul, CAST(floor(state / 9) AS BIGINT) AS slot, max(state) AS last FROM cells GROUP BY ALL", "cells"))
@@ -157,11 +202,14 @@ def _(spark, d):
     return users.join(read(spark, d, "orders").select(F.col("o_custkey").alias("pub")), "pub", "left_semi").select("alias", "pub")
 
 
-@query("B81_disconnect_writes", twin("SELECT soul, count(*) AS n FROM (SELECT soul, row_number() OVER (PARTITION BY soul ORDER BY event_id) AS rn FROM cells WHERE v_link IS NOT NULL) x WHERE rn <= 100 GROUP BY soul", "cells"))
+@query("B81_disconnect_writes", twin("""WITH w AS (SELECT soul AS peer, event_id AS seq, CASE WHEN event_id % 10 = 0 THEN '~' || key ELSE key END AS target, key, row_number() OVER (PARTITION BY soul ORDER BY event_id) AS rn FROM cells),
+g AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS peer FROM events WHERE event_type = 'error')
+SELECT peer, count(*) AS n, min(seq) AS first, 7.0::DOUBLE AS state FROM w JOIN g USING (peer) WHERE rn <= 100 AND target NOT LIKE '~%' GROUP BY peer""", "cells"))
 def _(spark, d):
-    w = Window.partitionBy("soul").orderBy("event_id")
-    stored = read(spark, d, "cells").filter("v_link IS NOT NULL").withColumn("rn", F.row_number().over(w)).filter("rn <= 100")
-    return stored.groupBy("soul").agg(F.count("*").alias("n"))
+    key = F.when(F.col("event_id") % 10 == 0, F.concat(F.lit("~"), "key")).otherwise(F.col("key"))
+    writes = read(spark, d, "cells").select(F.col("soul").alias("peer"), F.col("event_id").alias("seq"), key.alias("soul"), "key", "vtype", "v_text", "v_num", "v_bool", "v_link")
+    gone = read(spark, d, "events").filter("event_type = 'error'").select(F.col("user_id").cast("string").alias("peer"))
+    return crdt.disconnect_writes(writes, gone, 7.0).groupBy("peer").agg(F.count("*").alias("n"), F.min("seq").alias("first"), F.max("state").alias("state"))
 
 
 @query("C60_tool_log", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE event_id % 10 <> 0")
@@ -176,18 +224,30 @@ def _(spark, d):
     return read(spark, d, "nation").select(F.to_csv(F.struct("n_nationkey", "n_name", "n_regionkey")).alias("value"))
 
 
-@query("A01_source_tree", "SELECT 2::BIGINT AS n")
+_TREE = (".gitignore", "src/a.rs", "src/b.tsx", "docs/c.mdx", "node_modules/d.js", "x/target/e.rs", "dist/f.py", "g.log", "Gemfile", "go.mod", "notes.txt", "secret/h.py", "lib/i.c++", "lib/j.py", "k.html")
+
+
+@query("A01_source_tree", """SELECT t.relpath, t.language, sha256(CASE WHEN t.relpath = '.gitignore' THEN 'secret/' ELSE 'text of ' || t.relpath END) AS hash FROM
+(VALUES ('src/a.rs', 'rs'), ('src/b.tsx', 'tsx'), ('docs/c.mdx', 'mdx'), ('Gemfile', 'rb'), ('go.mod', 'gomod'), ('lib/i.c++', 'cpp'), ('lib/j.py', 'py')) t(relpath, language)""")
 def _(spark, d):
-    where = f"{shared_folder(spark)}/tree"
-    spark.createDataFrame([("def a(): pass",)], "value string").coalesce(1).write.text(f"{where}/src")
-    spark.createDataFrame([("k: 1",)], "value string").coalesce(1).write.text(f"{where}/build")
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(where)
-    return raw.filter(F.col("path").endswith(".txt")).agg(F.count("*").alias("n"))
+    root = f"{shared_folder(spark)}/tree"
+    jvm = spark.sparkContext._jvm
+    for name in _TREE:
+        path = jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
+        out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path)
+        out.write(bytearray(("secret/" if name == ".gitignore" else f"text of {name}").encode()))
+        out.close()
+    return ingest.scan(spark, root).select("relpath", "language", "hash")
+
 
+_ERRORS = ("Query is empty or contains only whitespace", "Query is too long: 2000 characters", "search timed out after 5 s", "repository not found: x", "Embedding generation failed: rate limit", "database is locked", "connection refused", "something odd")
 
-@query("A212_error_classes", "SELECT event_type, CASE event_type WHEN 'error' THEN 'failed' ELSE 'fine' END AS class, count(*) AS n FROM events GROUP BY ALL")
+
+@query("A212_error_classes", "SELECT ['validation', 'validation', 'timeout', 'not_found', 'embedding_provider', 'database', 'database', 'unknown'][event_id % 8 + 1] AS class, count(*) AS n, count(*) AS advised FROM events GROUP BY 1")
 def _(spark, d):
-    return read(spark, d, "events").groupBy("event_type", F.when(F.col("event_type") == "error", "failed").otherwise("fine").alias("class")).agg(F.count("*").alias("n"))
+    message = F.element_at(F.array(*map(F.lit, _ERRORS)), (F.col("event_id") % 8 + 1).cast("int"))
+    rows = read(spark, d, "events").select(T.error_class(message).alias("e"))
+    return rows.groupBy("e.class").agg(F.count("*").alias("n"), F.count("e.suggestion").alias("advised"))
 
 
 @query("A63_candidate_join", twin("SELECT c.id, e.label FROM chunks c LEFT JOIN embeddings e ON e.vec_id = c.id WHERE c.id IN (SELECT id FROM chunks WHERE kind = 'func' UNION SELECT vec_id FROM embeddings WHERE label = 2)", "chunks"))
@@ -195,3 +255,53 @@ def _(spark, d):
     c, e = read(spark, d, "chunks"), read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label")
     ids = c.filter("kind = 'func'").select("id").union(e.filter("label = 2").select("id")).distinct()
     return c.select("id").join(ids, "id", "left_semi").join(e, "id", "left")
+
+
+@query("A206_layered_cache", """WITH e AS (SELECT ['query', 'embedding', 'context', 'parse'][user_id % 4 + 1] AS layer, event_type || (event_id % 40) AS key, max(event_id) AS stored FROM events WHERE event_id % 2 = 0 GROUP BY ALL),
+y AS (SELECT *, row_number() OVER (PARTITION BY layer ORDER BY stored DESC, key) AS rn FROM e WHERE stored + (CASE layer WHEN 'query' THEN 1000 ELSE 1000000 END) > 5000),
+l AS (SELECT * FROM y WHERE rn <= CASE layer WHEN 'query' THEN 20 ELSE 60 END),
+r AS (SELECT ['query', 'embedding', 'context', 'parse'][user_id % 4 + 1] AS layer, event_type || (event_id % 40) AS key FROM events WHERE event_id % 2 = 1 OR event_id % 3 = 0)
+SELECT r.layer, count(*) AS requests, count(l.key) AS hits, round(count(l.key) / count(*), 6) AS rate, count(l.key) / count(*) >= 0.6 AS healthy FROM r LEFT JOIN l ON l.layer = r.layer AND l.key = r.key GROUP BY r.layer""")
+def _(spark, d):
+    e = read(spark, d, "events")
+    layer = F.element_at(F.array(*map(F.lit, cache.LAYERS)), (F.col("user_id") % 4 + 1).cast("int"))
+    key = F.concat("event_type", (F.col("event_id") % 40).cast("string"))
+    new = e.filter("event_id % 2 = 0").select(layer.alias("layer"), key.alias("key"), F.col("event_id").cast("string").alias("value"), F.col("event_id").cast("double").alias("stored_at"))
+    ttl = {"query": 1000, "embedding": 10**6, "context": 10**6, "parse": 10**6}
+    held = cache.live(cache.put(new.limit(0), new), 5000.0, ttl, {"query": 20, "embedding": 60, "context": 60, "parse": 60})
+    asked = e.filter("event_id % 2 = 1 OR event_id % 3 = 0").select(F.col("event_id").alias("request"), layer.alias("layer"), key.alias("key"))
+    return cache.rates(cache.lookup(asked, held)).withColumn("rate", F.round("rate", 6))
+
+
+@query("A206_invalidation", "WITH e AS (SELECT event_type || (event_id % 40) AS key, CASE WHEN event_id % 2 = 0 THEN 'context' ELSE 'query' END AS layer FROM events) SELECT DISTINCT layer, key FROM e WHERE layer <> 'context' OR key NOT LIKE 'click%'")
+def _(spark, d):
+    e = read(spark, d, "events").select(F.when(F.col("event_id") % 2 == 0, "context").otherwise("query").alias("layer"), F.concat("event_type", (F.col("event_id") % 40).cast("string")).alias("key")).distinct()
+    return cache.invalidate(e, e.filter(F.col("key").startswith("click")), ["context"])
+
+
+@query("A206_warming", "SELECT event_type || (event_id % 40) AS key, count(*) AS n FROM events WHERE event_id % 40 >= 5 GROUP BY 1 ORDER BY n DESC, key LIMIT 12")
+def _(spark, d):
+    key = F.concat("event_type", (F.col("event_id") % 40).cast("string"))
+    e = read(spark, d, "events")
+    held = e.filter("event_id % 40 < 5").select(F.lit("query").alias("layer"), key.alias("key")).distinct()
+    return cache.to_warm(e.select(key.alias("key")), held, "query", 12)
+
+
+_CODE = """SELECT n_nationkey AS id, 'app/c' || n_nationkey || '.tsx' AS relpath, 'C' || n_nationkey AS symbol_name, 'component' AS kind, 'tsx' AS language, 'function C' || n_nationkey || '() { useH' || (n_nationkey % 3) || '(); return <C' || ((n_nationkey + 1) % 25) || ' /> }' AS text FROM nation
+UNION ALL SELECT 100 + r_regionkey, 'app/h.tsx', 'useH' || r_regionkey, 'hook', 'tsx', 'const x = 1' FROM region
+UNION ALL SELECT 200 + n_nationkey, 'crates/k' || (n_nationkey % 5) || '/src/s.rs', 'S' || n_nationkey, 'struct', 'rs', 'struct S' || n_nationkey || ';' FROM nation
+UNION ALL SELECT 300 + n_nationkey, 'crates/z/src/i.rs', NULL, 'impl', 'rs', 'impl Show for S' || n_nationkey || ' {}' FROM nation
+UNION ALL SELECT 400 + n_nationkey, 'py/p' || (n_nationkey % 5) || '/m.py', 'P' || n_nationkey, 'class', 'py', 'class P' || n_nationkey || '(P' || ((n_nationkey + 7) % 25) || '): pass' FROM nation"""
+_FILES = """SELECT 1000 + r_regionkey AS id, 'crates/k' || r_regionkey || '/Cargo.toml' AS relpath FROM region UNION ALL SELECT 1010, 'Cargo.toml' UNION ALL SELECT 1020 + r_regionkey, 'crates/k' || r_regionkey || '/src/lib.rs' FROM region
+UNION ALL SELECT 1030 + r_regionkey, 'py/p' || r_regionkey || '/__init__.py' FROM region UNION ALL SELECT 1040, 'pyproject.toml'"""
+
+
+@query("A170_language_context", """SELECT n_nationkey AS id, 'hook' AS role, 100 + n_nationkey % 3 AS other FROM nation
+UNION ALL SELECT n_nationkey, 'jsx_child', (n_nationkey + 1) % 25 FROM nation UNION ALL SELECT (n_nationkey + 1) % 25, 'jsx_parent', n_nationkey FROM nation
+UNION ALL SELECT 200 + n_nationkey, 'trait_impl', 300 + n_nationkey FROM nation UNION ALL SELECT 200 + n_nationkey, 'manifest', 1000 + n_nationkey % 5 FROM nation UNION ALL SELECT 300 + n_nationkey, 'manifest', 1010 FROM nation
+UNION ALL SELECT 200 + n_nationkey, 'module', 1020 + n_nationkey % 5 FROM nation UNION ALL SELECT 400 + n_nationkey, 'init', 1030 + n_nationkey % 5 FROM nation
+UNION ALL SELECT 400 + n_nationkey, 'dependencies', 1040 FROM nation UNION ALL SELECT 400 + n_nationkey, 'parent_class', 400 + (n_nationkey + 7) % 25 FROM nation""")
+def _(spark, d):
+    chunks = spark.sql(_CODE.replace("{", "{{").replace("}", "}}").replace("FROM nation", "FROM {nation}").replace("FROM region", "FROM {region}"), nation=read(spark, d, "nation"), region=read(spark, d, "region"))
+    files = spark.sql(_FILES.replace("FROM region", "FROM {region}"), region=read(spark, d, "region"))
+    return context.by_language(chunks, files).select(F.col("id").cast("long").alias("id"), "role", F.col("other").cast("long").alias("other"))

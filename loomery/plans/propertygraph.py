@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomery.operators import crdt
+from loomery.operators import crdt, wire
 from loomery.sources.tables import read, twin
 
 from .catalog import query
@@ -200,10 +200,28 @@ def _(spark, d):
     return read(spark, d, "cells").groupBy(k.alias("k")).agg(F.max("event_id").alias("event_id"))
 
 
-@query("B05_wire_decode", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+@query("B05_wire_round_trip", twin(f"WITH {_HAM} SELECT soul, key, vtype, canon, state FROM m", "cells"))
 def _(spark, d):
-    got = F.from_json("props", "map<string,bigint>")
-    return read(spark, d, "events").select("event_id", F.explode(got).alias("key", "k")).filter("key = 'k'").select("event_id", "k")
+    sent = wire.encode(_merged(spark, d))
+    heard = wire.decode(sent, "soul", "json").drop("id")
+    return heard.select("soul", "key", "vtype", crdt.canonical().alias("canon"), "state")
+
+
+@query("B05_wire_rejects", """SELECT user_id AS id, 'a' AS soul, 'k' AS key, 'num' AS vtype FROM events WHERE event_id % 6 = 0
+UNION ALL SELECT user_id, 'a', 'k', 'link' FROM events WHERE event_id % 6 = 1 UNION ALL SELECT user_id, 'b', 'k', 'text' FROM events WHERE event_id % 6 = 2""")
+def _(spark, d):
+    kinds = (
+        '{"a":{"_":{"#":"a",">":{"k":1}},"k":2.5,"bad":[1]}}',
+        '{"a":{"_":{"#":"a",">":{"k":1}},"k":{"#":"b"},"bad":{"x":1}}}',
+        '{"a":{"_":{"#":"other",">":{"k":1}},"k":"x"},"b":{"_":{"#":"b",">":{"k":1}},"k":"y"}}',
+        "not json",
+        '{"a":{"k":"no metadata"}}',
+        "[]",
+    )
+    text = F.element_at(F.array(*map(F.lit, kinds)), (F.col("event_id") % 6 + 1).cast("int"))
+    events = read(spark, d, "events")
+    heard = wire.decode(events.select("event_id", text.alias("json")), "event_id", "json")
+    return heard.join(events.select(F.col("event_id").alias("id"), "user_id"), "id").select(F.col("user_id").alias("id"), "soul", "key", "vtype")
 
 
 @query("B91_peer_health", "SELECT user_id AS peer, count(*) FILTER (WHERE event_type = 'view') AS sent, count(*) FILTER (WHERE event_type = 'click') AS received, count(*) FILTER (WHERE event_type = 'error') AS failed, count(*) FILTER (WHERE event_type = 'error') > 40 AS stale FROM events GROUP BY user_id")

@@ -61,3 +61,9 @@ def run_available(stream: DataFrame, sink: str, path: str, checkpoint: str, mode
     """Process what there is and end."""
     q = stream.writeStream.format(sink).outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
+
+
+def run_batches(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+    """Hand what there is to ``apply``, batch by batch, and end."""
+    q = stream.writeStream.foreachBatch(merge_sink(apply)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()

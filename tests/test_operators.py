@@ -157,3 +157,76 @@ def test_knn_filters_before_or_after(spark):
     df = spark.createDataFrame([(i, [float(i), 0.0], i % 2) for i in range(6)] + [(9, [0.0], 0)], "vec_id long, embedding array<float>, label long")
     assert [r["vec_id"] for r in search.knn(df, [0.0, 0.0], 2, F.col("label") == 1).collect()] == [1, 3]
     assert [r["vec_id"] for r in search.knn(df, [0.0, 0.0], 2, F.col("label") == 1, prefilter=False).collect()] == [1]
+
+
+# expected values below are typed from the surveyed rules, not taken from the implementation
+@pytest.mark.parametrize("query, want", [("authenticate user", ["authenticate", "user"]), ("User::authenticate", ["user", "::", "authenticate"]), ("&mut value", ["&", "mut", "value"]), ("hello world!", ["hello", "world"]), ("he will or this", ["or", "this"]), ("foo.bar_baz(x)", ["foo.bar_baz", "x"]), ("x != y", ["x", "!=", "y"]), ("p->next", ["p", "->", "next"])])
+def test_query_tokens(query, want):
+    assert T.query_tokens(query) == want
+
+
+@pytest.mark.parametrize("query, want", [("foo()", "code"), ("array[0] of things", "auto"), ("( open only here", "text"), ("user_id", "code"), ("User login", "code"), ("user auth", "auto"), ("how does it work", "text"), ("a => b", "code"), ("find_user by id", "auto")])
+def test_query_modes(query, want):
+    assert T.query_mode(query) == want
+
+
+def test_fixed_values():
+    assert set(T.STOP_WORDS) >= {"has", "he", "its", "will"} and not set(T.STOP_WORDS) & {"or", "this"}
+    assert fusion.KIND_MULTIPLIERS["function"] == 1.2 and fusion.KIND_MULTIPLIERS["import"] == 0.7 and "func" not in fusion.KIND_MULTIPLIERS
+    assert fusion.EDGE_QUALITY == {"calls": 1.0} and fusion.FROM_TEST == 0.5
+    assert T.expansions(["function"]) == ["fn", "func", "method"]
+    assert T.expansions(["test"]) == ["spec", "unittest"] and T.expansions(["user"]) == []
+
+
+def test_chi_square_bounds(spark):
+    xs = [10.83, 10.84, 6.63, 6.64, 3.84, 3.85, 2.71, 2.72, -1.0]
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, x double").select("i", evaluation.chi_square_p(F.col("x")).alias("p")).orderBy("i").collect()
+    assert [r["p"] for r in got] == [0.01, 0.001, 0.05, 0.01, 0.1, 0.05, 0.5, 0.1, 1.0]
+
+
+def test_percentiles_of_a_hot_group(spark):
+    import random
+
+    rng = random.Random(4)
+    values = [("hot", float(rng.randrange(50))) for _ in range(900)] + [("cold", float(rng.randrange(50))) for _ in range(7)] + [(None, 1.0), ("cold", None)]
+    got = {r["g"]: (r["p50"], r["p95"]) for r in evaluation.lower_percentiles(spark.createDataFrame(values, "g string, v double"), "v", [0.5, 0.95], ["g"]).collect()}
+    for g in ("hot", "cold", None):
+        own = sorted(v for k, v in values if k == g and v is not None)
+        assert got[g] == tuple(own[int((len(own) - 1) * p)] for p in (0.5, 0.95))
+
+
+def test_indexed_search_equals_scanned(spark, tmp_path):
+    texts = ["the parser reads the file", "errors on the line", "their theory", "nothing", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    index, n, mean = search.store_index(docs, f"{tmp_path}/index", "id", ("text",))
+    for query, every in (("the er on", False), ("the on", True), ("zzz", False), ("!", False)):
+        a = {r["id"]: r["score"] for r in search.bm25(docs, query, fields=("text",), match_all=every).collect()}
+        b = {r["id"]: r["score"] for r in search.bm25_indexed(index, n, mean, query, every).collect()}
+        assert a.keys() == b.keys() and all(a[i] == pytest.approx(b[i], abs=1e-12) for i in a)
+
+
+def test_wire_values_survive(spark):
+    from loomery.operators import wire
+
+    rows = [("a", 'k"q', "text", 'x "y"\n', None, None, None, 1.0), ("a", "n", "num", None, 2.5, None, None, 2.0), ("b", "z", "null", None, None, None, None, 3.0), ("b", "t", "bool", None, None, True, None, 4.0), ("b", "l", "link", None, None, None, "a", 5.0)]
+    cells = spark.createDataFrame(rows, "soul string, key string, vtype string, v_text string, v_num double, v_bool boolean, v_link string, state double")
+    assert sorted(map(tuple, wire.decode(wire.encode(cells), "soul", "json").drop("id").collect())) == sorted(rows)
+
+
+def test_rechunking_rolls_back(spark, tmp_path):
+    from loomery.operators import migrate
+
+    old = spark.createDataFrame([(1, 1, 5), (2, 1, 9)], "file_id int, start_line int, end_line int")
+    files = spark.createDataFrame([(1, "text"), (2, "more")], "file_id int, text string")
+    good, stats = migrate.rechunk(old, files.filter("file_id = 1"), lambda f: f.selectExpr("file_id", "1 AS start_line", "2 AS end_line"), f"{tmp_path}/a")
+    assert rows(good) == [(1, 1, 2), (2, 1, 9)] and stats["rolled_back"] == 0
+    same, stats = migrate.rechunk(old, files, lambda f: f.filter("file_id = 1").selectExpr("file_id", "3 AS start_line", "2 AS end_line"), f"{tmp_path}/b")
+    assert rows(same) == rows(old) and stats["bare"] == 1 and stats["wrong"] == 1 and stats["rolled_back"] == 1
+
+
+def test_file_batches(spark):
+    current = spark.createDataFrame([("a", "1"), ("b", "1"), ("c", "1")], "path string, hash string")
+    events = spark.createDataFrame([("a", "modified", "2", 10), ("b", "deleted", None, None), ("c", "modified", "9", 10 * 1024 * 1024 + 1), ("d", "new", "4", 1), ("e", "new", "5", 10 * 1024 * 1024 + 1), ("z", "deleted", None, None)], "path string, change string, hash string, bytes long")
+    after, outcomes = delta.process_files(current, events)
+    assert rows(after) == [("a", "2"), ("c", "1"), ("d", "4")]
+    assert dict(rows(outcomes)) == {"a": "updated", "b": "removed", "c": "skipped", "d": "indexed", "e": "skipped", "z": "unknown"}
