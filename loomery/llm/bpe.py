@@ -27,10 +27,10 @@ from pyspark.sql import DataFrame
 
 from .common import arrow, slices
 
-#: Distinct units that a worker remembers; beyond it only those of the next batch are kept.
-UNITS_KEPT = 250_000
+#: Distinct units that a worker remembers; beyond it the memory is emptied.
+UNITS_KEPT = 150_000
 #: Bytes of text that are encoded together.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 6 << 20
 
 
 # fixed value: the splitting pattern of byte-level vocabularies, for ASCII text
@@ -141,16 +141,10 @@ class Encoder:
         self.marks = {c: one(c) for c in ",.;:!?"}
         self._forget()
 
-    def _forget(self, but_for: list[str] = []) -> None:
-        """Remember only those of ``but_for`` that are known."""
-        old = [(u, self.pool[self.begin[k] : self.begin[k + 1]]) for u in but_for if (k := self.known.get(u))]
+    def _forget(self) -> None:
         #: Number of each unit that is remembered; 0 has no ids.  The ids of unit k are pool[begin[k] : begin[k + 1]].
         self.known: dict[str, int] = {}
-        self.pool, self.begin = array("I"), array("q", [0, 0])
-        for u, ids in old:
-            self.pool.extend(ids)
-            self.begin.append(len(self.pool))
-            self.known[u] = len(self.begin) - 2
+        self.pool, self.begin = array("I"), array("i", [0, 0])
 
     def _add(self, ids: list[int]) -> int:
         self.pool.fromlist(ids)
@@ -160,14 +154,15 @@ class Encoder:
     def _learn(self, units: list[str], special: list[str]) -> None:
         """Remember units that are new."""
         known, letters, marks, one, ascii_unit = self.known, self.letters, self.marks, self.one, self.ascii_unit
-        put, ends, n = self.pool.fromlist, self.begin, len(self.begin) - 1
+        pool, put, ends, n = self.pool, self.pool.fromlist, self.begin, len(self.begin) - 1
         size = len(self.pool)
         for u in units:
             if u.isalpha():
                 ids = letters(u)
             elif u[-1:] in marks and u[:-1].isalpha():
-                # letters and one mark are two pieces of the pattern
-                ids = letters(u[:-1]) + marks[u[-1]]
+                # letters and one mark are two pieces of the pattern; the letters may be known
+                k = known.get(u[:-1])
+                ids = (pool[ends[k] : ends[k + 1]].tolist() if k else letters(u[:-1])) + marks[u[-1]]
             elif u and not u[0].isspace() and not any(x in u for x in special):
                 ids = ascii_unit(u) if ascii_unit and u.isascii() else one(" " + u)
             else:
@@ -195,10 +190,9 @@ class Encoder:
         # strings with an id of their own that occur here
         special = [x for x in self.special if pc.any(pc.match_substring(texts, x)).as_py()]
         if len(self.known) > UNITS_KEPT:
-            # what occurs again is likely to do so once more
-            self._forget(names)
+            self._forget()
         self._learn([u for u in names if u not in self.known], special)
-        number = np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))
+        number = np.fromiter(map(self.known.__getitem__, names), np.int32, len(names))
         codes = number[coded.indices.to_numpy()]
         odd = codes == 0
         odd[first] = False
@@ -219,14 +213,19 @@ class Encoder:
             codes = codes[keep]
         else:
             bounds = offsets
-        begin, pool = np.array(self.begin, np.int64), np.array(self.pool, np.uint32)
+        # a batch of strings has fewer than 2**31 bytes, so its ids are numbered with 32 bits
+        begin, pool = np.frombuffer(self.begin, np.int32), np.frombuffer(self.pool, np.uint32)
         each = np.diff(begin)[codes]
-        ends = np.concatenate([[0], np.cumsum(each)])
-        where = np.repeat(begin[codes] - ends[:-1], each) + np.arange(ends[-1])
+        ends = np.concatenate([[0], np.cumsum(each, dtype=np.int64)])
+        where = np.repeat((begin[codes] - ends[:-1]).astype(np.int32), each)
+        where += np.arange(ends[-1], dtype=np.int32)
+        ids = pool[where]
+        # the buffers may grow again
+        del begin, pool
         # what a special token makes of a unit holds for its text alone
         for u in [u for u in self.known if any(x in u for x in special)] if special else ():
             del self.known[u]
-        return pool[where], ends[bounds]
+        return ids, ends[bounds]
 
 
 _ENCODERS: dict[tuple, Encoder] = {}

@@ -19,7 +19,7 @@ _CUTS: dict[str, SparkSession] = {}
 #: Where ``cuts_of`` notes the paths of cuts made inside it.
 _NOTES: list[list[str]] = []
 #: Settings of a cut's write: its shuffle files go when it ends, and rows of whole texts go to Python in smaller batches.
-_WRITE = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+_WRITE = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1500"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -142,7 +142,9 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most_bytes:
     for b in batches:
         if not b.num_rows:
             continue
-        at, step = 0, max(1, int(b.num_rows * most_bytes / max(1, b.column(column).nbytes)))
+        # even parts
+        parts = max(1, -(-b.column(column).nbytes // most_bytes))
+        at, step = 0, max(1, -(-b.num_rows // parts))
         while at < b.num_rows:
             part = b.slice(at, step)
             # rows may be uneven: halve until the slice fits, one row at least
