@@ -102,9 +102,12 @@ def match_expression(query: str) -> str:
     return " OR ".join(f"{t}*" for t in query_terms(query))
 
 
+NO_WORD = r"[^\p{L}\p{N}]+"
+
+
 def words(text: Column) -> Column:
     """Lower-case runs of letters and digits."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+    return F.filter(F.split(F.lower(text), NO_WORD), lambda x: x != "")
 
 
 def file_name(path: Column) -> Column:

@@ -15,9 +15,11 @@ K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
 def postings(docs: DataFrame, id_col: str, fields: Sequence[str]) -> DataFrame:
     """(term, id, tf, dl): how often each word occurs in a row's fields, and the row's words in all."""
-    all_words = T.words(F.concat_ws(" ", *fields))
-    rows = docs.select(F.col(id_col).alias("id"), all_words.alias("w")).withColumn("dl", F.size("w").cast("long"))
-    return rows.select("id", "dl", F.explode("w").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    # a split gives an empty word at its ends only
+    w = F.split(F.lower(F.concat_ws(" ", *fields)), T.NO_WORD)
+    own = F.size(w) - (F.element_at(w, 1) == "").cast("int") - ((F.size(w) > 1) & (F.element_at(w, -1) == "")).cast("int")
+    rows = docs.select(F.col(id_col).alias("id"), w.alias("w"), own.cast("long").alias("dl"))
+    return rows.select("id", "dl", F.explode("w").alias("term")).filter("term <> ''").groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
 def bm25(docs: DataFrame, query: str, id_col: str = "id", fields: Sequence[str] = ("preview", "docstring", "symbol_name"), match_all: bool = False) -> DataFrame:
@@ -72,11 +74,19 @@ def bm25_indexed(index: DataFrame, n_docs: int, avgdl: float, query: str, match_
 
 
 def store_index(docs: DataFrame, path: str, id_col: str, fields: Sequence[str]) -> tuple[DataFrame, int, float]:
-    """(``postings`` written in ranges of terms, rows, mean words a row).  A query's prefixes then skip most row groups."""
-    n, words = docs.agg(F.count("*"), F.sum(F.size(T.words(F.concat_ws(" ", *fields))))).head()
-    rows = postings(docs, id_col, fields)
-    rows.repartitionByRange("term").sortWithinPartitions("term", "id").write.parquet(path)
-    return docs.sparkSession.read.schema(rows.schema).parquet(path), n, (words or 0) / max(n, 1)
+    """(``postings`` written in the order of terms, rows, mean words a row).
+
+    Rows are dealt by term and id, so a common term is in many files; each file is sorted by term, and a query's prefixes
+    skip all row groups but a few of each.
+    """
+    # a small table comes in fewer pieces than there are cores; a large one is left as it is read
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    some = docs.select(id_col, *fields)
+    rows = postings(some.repartition(cores) if some.rdd.getNumPartitions() < cores else some, id_col, fields)
+    rows.sortWithinPartitions("term", "id").write.parquet(path)
+    index = docs.sparkSession.read.schema(rows.schema).parquet(path)
+    n, words = docs.count(), index.agg(F.sum("tf")).head()[0]
+    return index, n, (words or 0) / max(n, 1)
 
 
 def ts_rank(index: DataFrame, query: str, weight: float = 0.1, most: int = 255) -> DataFrame:

@@ -77,6 +77,13 @@ def _(spark, d):
     return _fts(spark, d).select("id", F.round("score", 6).alias("score"))
 
 
+@query("A121_index_build", f"WITH t AS (SELECT {_W} AS w FROM documents) SELECT count(*) AS n, round(avg(len(w)), 6) AS mean_words FROM t")
+def _(spark, d):
+    # the index is written by whichever search comes first
+    _index, n, mean = index_of(spark, d)
+    return spark.createDataFrame([(n, round(mean, 6))], "n long, mean_words double")
+
+
 @query("A121_bm25_scanned", f"WITH {_BM25} SELECT id, round(score, 6) AS score FROM fts")
 def _(spark, d):
     return search.bm25(read(spark, d, "documents").withColumnRenamed("doc_id", "id"), ASKED, fields=("text",)).select("id", F.round("score", 6).alias("score"))
