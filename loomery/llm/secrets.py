@@ -136,7 +136,9 @@ def scan_addressed(paths: DataFrame, ledger: DataFrame | None = None, rules: tup
     whole = every.groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("_all"))
     ranked = F.transform("_all", lambda s: F.struct(s["start"].alias("start"), F.try_element_at(order, s["kind"]).alias("rank"), s["kind"].alias("kind"), s["end"].alias("end")))
     whole = whole.select("blob", F.transform(F.array_sort(ranked), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))).alias("_all"))
-    return paths.select(id_col, "blob").join(whole, "blob", "left").select(id_col, "blob", F.coalesce("_all", none).alias("spans")), fresh
+    # a text in which no rule can match has no findings and meets none
+    some = paths.filter("_text IS NOT NULL").select(id_col, "blob").join(whole, "blob", "left").select(id_col, "blob", F.coalesce("_all", none).alias("spans"))
+    return paths.filter("_text IS NULL").select(id_col, "blob", none.alias("spans")).unionByName(some), fresh
 
 
 def _listed(spans: Column) -> Column:

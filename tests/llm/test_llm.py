@@ -619,6 +619,20 @@ def test_rules_are_certified_together(spark):
     assert all(got[i] == (q == 1 or g == "b") for i, (q, g) in enumerate(zip(quality_, langs)))
 
 
+def test_rules_reject_beyond_the_base_rule(spark, tmp_path):
+    """The registered query with enough labels: junk that passes the base rule goes, good documents stay."""
+    from loomery.llm import queries
+
+    rng = random.Random(29)
+    good = [prose(rng, 80) for _ in range(700)]
+    junk = [" ".join(rng.choice(["#*$%&", f"w{rng.randrange(900)}"]) for _ in range(90)) for _ in range(60)]
+    texts = good + junk
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i < 700), 0) for i in range(len(texts)) if i % 30 != 1], "doc_id long, quality long, toxic long").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r["doc_id"]: (r["base_failed"], r["kept"]) for r in queries.op9_quality_rules(spark, str(tmp_path)).collect()}
+    assert all(got[i] == (False, True) for i in range(700)) and all(got[i] == (False, False) for i in range(700, 760))
+
+
 def test_joint_cutoffs_keep_the_risk_of_the_union():
     n = len(quality.RULES)
     off = tuple(len(r.grid) for r in quality.RULES)
