@@ -2,16 +2,35 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_FOLDERS: list[tuple[SparkSession, str]] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; a temporary one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomery-")
-    return f"{base.rstrip('/')}/loomery/{uuid.uuid4().hex}"
+    """A new folder under spark.checkpoint.dir, deleted when the driver ends.  Only a local session may do without that setting."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="loomery-")
+    path = f"{base.rstrip('/')}/loomery/{uuid.uuid4().hex}"
+    _FOLDERS.append((spark, path))
+    return path
+
+
+@atexit.register
+def _drop_folders() -> None:
+    for spark, path in _FOLDERS:
+        try:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # the session has ended: the folder's owner clears it
+            return
 
 
 def cut(df: DataFrame) -> DataFrame:
