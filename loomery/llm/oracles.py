@@ -75,4 +75,22 @@ _CHAT = r"""
     FROM e GROUP BY conv_id
 """
 
-ORACLES: dict[str, str] = {"op4_blob_ledger": _secrets(), "op8_licence_digests": _licences(), "op10_prefix_targets": _CHAT}
+#: All groups' shares of all kept terms of their language, then every pair of groups and every group against its language.
+_DIVERGENCE = r"""
+    WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+    t AS (SELECT r, lang, source, translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM d),
+    k AS (SELECT lang, term, CAST(count(*) AS HUGEINT) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+    g AS (SELECT DISTINCT lang, source FROM d),
+    c AS (SELECT lang, source, term, CAST(count(*) AS HUGEINT) AS n FROM t SEMI JOIN k USING (lang, term) GROUP BY ALL),
+    v AS (SELECT lang, CAST(count(*) AS HUGEINT) AS v, CAST(sum(n) AS HUGEINT) AS n FROM k GROUP BY lang),
+    a AS (SELECT lang, source, CAST(coalesce(sum(c.n), 0) AS HUGEINT) AS n FROM g LEFT JOIN c USING (lang, source) GROUP BY lang, source),
+    p AS (SELECT a.lang, a.source, k.term, coalesce(c.n, 0) AS n, 1 + 1000000000 * (coalesce(c.n, 0) + 2) // (a.n + 2 * v.v) AS p, 1 + 1000000000 * (k.n + 2) // (v.n + 2 * v.v) AS q
+        FROM a JOIN v USING (lang) JOIN k USING (lang) LEFT JOIN c ON c.lang = a.lang AND c.source = a.source AND c.term = k.term),
+    s AS (SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+    e AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN s ON s.lang = x.lang AND s.source = x.source AND s.item = y.source
+        UNION ALL SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // (p + q) AS BIGINT) FROM p WHERE n > 0 AND p > q),
+    o AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM e)
+    SELECT * FROM o WHERE part = 'pair' OR rank <= 10
+"""
+
+ORACLES: dict[str, str] = {"op4_blob_ledger": _secrets(), "op8_licence_digests": _licences(), "op10_prefix_targets": _CHAT, "op12_divergence_tiles": _DIVERGENCE}

@@ -75,7 +75,19 @@ def op10_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.examples(chat.probe(table(spark, sf_dir, "conversations"))))
 
 
+def op12_divergence_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import divergence
+
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_lyndon_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import periods
+
+    return periods.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_pseudo_likelihood, op2_hash_tree, op3_spot_signatures, op4_blob_ledger, op5_byte_bpe, op6_packing, op7_weighted_minhash, op8_licence_digests, op9_quality_rules, op10_prefix_targets)
+    for f in (op1_pseudo_likelihood, op2_hash_tree, op3_spot_signatures, op4_blob_ledger, op5_byte_bpe, op6_packing, op7_weighted_minhash, op8_licence_digests, op9_quality_rules, op10_prefix_targets, op12_divergence_tiles, op13_lyndon_runs)
 }
