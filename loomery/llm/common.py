@@ -64,6 +64,13 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     return out
 
 
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A folder for files other than cuts in the shared folder; it goes when the driver ends."""
+    path = f"{shared_dir(spark)}/loomery/{uuid.uuid4().hex}/{label}"
+    _CUTS[path] = spark
+    return path
+
+
 def _delete(path: str) -> None:
     spark = _CUTS.pop(path, None)
     if spark is None:

@@ -75,6 +75,21 @@ _CHAT = r"""
     FROM e GROUP BY conv_id
 """
 
+#: Types by the smallest id of equal payloads; base32 by five hex digits at a time; order and numbers of captures by windows.
+_WARC = r"""
+    WITH p AS (SELECT page_id, coalesce(html, '') AS html, coalesce(url, '') AS url, sha1(coalesce(html, '')) AS digest,
+            strftime(make_timestamp(CAST((1704067200 + ((coalesce(page_id, 0) % 100000000) + 100000000) % 100000000) * 1000000 AS BIGINT)), '%Y%m%d%H%M%S') AS captured FROM pages),
+    k AS (SELECT *, min(page_id) OVER (PARTITION BY digest) AS first, regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)), '^www[0-9]*\.', '') AS host,
+            lower(regexp_replace(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*', ''), '(?s)#.*$', '')) AS rest FROM p),
+    b AS (SELECT *, array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || CASE WHEN rest = '' THEN '/' ELSE rest END AS url_key,
+            array_to_string(list_transform(range(0, 8), lambda i: array_to_string(list_transform([15, 10, 5, 0], lambda s:
+                substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(digest, CAST(5 * i + 1 AS BIGINT), 5) AS BIGINT) >> s) & 31), 1)), '')), '') AS base32 FROM k)
+    SELECT page_id, strlen(html) AS payload_bytes, base32 AS payload_digest, CASE WHEN first IS NULL OR page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+        CASE WHEN first IS NULL OR page_id = first THEN NULL ELSE first END AS refers_to, url_key, captured,
+        row_number() OVER (PARTITION BY url_key ORDER BY captured, page_id NULLS FIRST, base32) AS capture_no, row_number() OVER (ORDER BY url_key, captured, page_id NULLS FIRST, base32) - 1 AS cdx_rank
+    FROM b
+"""
+
 #: All groups' shares of all kept terms of their language, then every pair of groups and every group against its language.
 _DIVERGENCE = r"""
     WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
@@ -93,4 +108,4 @@ _DIVERGENCE = r"""
     SELECT * FROM o WHERE part = 'pair' OR rank <= 10
 """
 
-ORACLES: dict[str, str] = {"op4_blob_ledger": _secrets(), "op8_licence_digests": _licences(), "op10_prefix_targets": _CHAT, "op12_divergence_tiles": _DIVERGENCE}
+ORACLES: dict[str, str] = {"op4_blob_ledger": _secrets(), "op8_licence_digests": _licences(), "op10_prefix_targets": _CHAT, "op11_loser_tree": _WARC, "op12_divergence_tiles": _DIVERGENCE}

@@ -75,6 +75,12 @@ def op10_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.examples(chat.probe(table(spark, sf_dir, "conversations"))))
 
 
+def op11_loser_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import warc
+
+    return warc.histories(table(spark, sf_dir, "pages"))
+
+
 def op12_divergence_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import divergence
 
@@ -89,5 +95,5 @@ def op13_lyndon_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_pseudo_likelihood, op2_hash_tree, op3_spot_signatures, op4_blob_ledger, op5_byte_bpe, op6_packing, op7_weighted_minhash, op8_licence_digests, op9_quality_rules, op10_prefix_targets, op12_divergence_tiles, op13_lyndon_runs)
+    for f in (op1_pseudo_likelihood, op2_hash_tree, op3_spot_signatures, op4_blob_ledger, op5_byte_bpe, op6_packing, op7_weighted_minhash, op8_licence_digests, op9_quality_rules, op10_prefix_targets, op11_loser_tree, op12_divergence_tiles, op13_lyndon_runs)
 }
