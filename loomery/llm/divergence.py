@@ -157,11 +157,11 @@ def counted(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     """(lang, source, term, n, n_all) of kept terms, and one row with a null term for each group; ``first`` marks one row of each term."""
     found = arrow(docs.select("lang", "source", "text"), _count, "lang string, source string, term string, n long, docs long")
     found = found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    # the rows of groups go the same way, so the texts are read once; a language's are as many as its sources
     w = Window.partitionBy("lang", "term")
-    terms = found.where("term IS NOT NULL").select("lang", "source", "term", "n", F.sum("docs").over(w).alias("_docs"), F.sum("n").over(w).alias("n_all"), F.min("source").over(w).alias("_one"))
-    terms = terms.where(F.col("_docs") >= least_docs).select("lang", "source", "term", "n", "n_all", (F.col("source") == F.col("_one")).cast("long").alias("first"))
-    groups = found.where("term IS NULL").select("lang", "source", "term", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("n_all"), F.lit(0).cast("long").alias("first"))
-    return terms.unionByName(groups)
+    rows = found.select("lang", "source", "term", "n", F.sum("docs").over(w).alias("_docs"), F.sum("n").over(w).alias("n_all"), F.min("source").over(w).alias("_one"))
+    kept = rows.where(F.col("term").isNull() | (F.col("_docs") >= least_docs))
+    return kept.select("lang", "source", "term", "n", "n_all", (F.col("term").isNotNull() & (F.col("source") == F.col("_one"))).cast("long").alias("first"))
 
 
 def audit(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
