@@ -98,13 +98,6 @@ def coalesce_tasks(tasks: DataFrame, key: str = "path", max_retries: int = 3) ->
     return one.select(key, "priority", "retries", backoff.alias("backoff_ms"), (F.col("retries") > max_retries).alias("dead"))
 
 
-def debounce(df: DataFrame, by: str, ts_ms: str, wait_ms: int, key: str) -> DataFrame:
-    """Rows that come at least ``wait_ms`` after the one before of their group, and the first of each."""
-    w = Window.partitionBy(by).orderBy(ts_ms, key)
-    gap = F.col(ts_ms) - F.lag(ts_ms).over(w)
-    return df.withColumn("_gap", gap).filter(F.col("_gap").isNull() | (F.col("_gap") >= wait_ms)).drop("_gap")
-
-
 def expire(entries: DataFrame, now: float, capacity: int) -> DataFrame:
     """Entries that stay in a cache: unexpired, the most recently used ``capacity`` of them."""
     live = entries.filter(F.col("expires_at") > now)

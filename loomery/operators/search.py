@@ -15,14 +15,22 @@ K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
 def postings(docs: DataFrame, id_col: str, fields: Sequence[str]) -> DataFrame:
     """(term, id, tf, dl): how often each word occurs in a row's fields, and the row's words in all."""
-    # a split gives an empty word at its ends only
     w = F.split(F.lower(F.concat_ws(" ", *fields)), T.NO_WORD)
-    own = F.size(w) - (F.element_at(w, 1) == "").cast("int") - ((F.size(w) > 1) & (F.element_at(w, -1) == "")).cast("int")
-    rows = docs.select(F.col(id_col).alias("id"), w.alias("w"), own.cast("long").alias("dl"))
+    rows = docs.select(F.col(id_col).alias("id"), w.alias("w"), _words_in(w).alias("dl"))
     return rows.select("id", "dl", F.explode("w").alias("term")).filter("term <> ''").groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
-def bm25(docs: DataFrame, query: str, id_col: str = "id", fields: Sequence[str] = ("preview", "docstring", "symbol_name"), match_all: bool = False) -> DataFrame:
+def _words_in(split: Column) -> Column:
+    # a split gives an empty word at its ends only
+    return (F.size(split) - (F.element_at(split, 1) == "").cast("int") - ((F.size(split) > 1) & (F.element_at(split, -1) == "")).cast("int")).cast("long")
+
+
+def word_count(fields: Sequence[str]) -> Column:
+    """Words in a row's fields, as ``postings`` counts them."""
+    return _words_in(F.split(F.lower(F.concat_ws(" ", *fields)), T.NO_WORD))
+
+
+def bm25(docs: DataFrame, query: str, id_col: str = "id", fields: Sequence[str] = ("preview", "docstring", "symbol_name")) -> DataFrame:
     """(id, score) of rows that have a word with one of the query's prefixes; needs no index: one scan counts, one scores.
 
     idf = ln((N - n + 0.5) / (n + 0.5)), at least 1e-6; each prefix is a phrase of its own.
@@ -33,14 +41,14 @@ def bm25(docs: DataFrame, query: str, id_col: str = "id", fields: Sequence[str]
     w = T.words(F.concat_ws(" ", *fields))
     counted = docs.select(F.col(id_col).alias("id"), w.alias("w")).select("id", F.size("w").cast("double").alias("dl"), *(F.size(_starting("w", p)).cast("double").alias(f"tf{i}") for i, p in enumerate(prefixes)))
     totals = counted.agg(F.count("*").cast("double").alias("n"), F.avg("dl").alias("avgdl"), *_matching(len(prefixes)))
-    return _scored(counted, totals, len(prefixes), match_all)
+    return _scored(counted, totals, len(prefixes))
 
 
 def _matching(k: int) -> list[Column]:
     return [F.count_if(F.col(f"tf{i}") > 0).cast("double").alias(f"n{i}") for i in range(k)]
 
 
-def _scored(counted: DataFrame, totals: DataFrame, k: int, match_all: bool) -> DataFrame:
+def _scored(counted: DataFrame, totals: DataFrame, k: int) -> DataFrame:
     """(id, score) from (id, dl, tf0 ...) and one row (n, avgdl, n0 ...), which meets every row."""
     both = counted.join(F.broadcast(totals))
     score: Column = F.lit(0.0)
@@ -50,7 +58,7 @@ def _scored(counted: DataFrame, totals: DataFrame, k: int, match_all: bool) -> D
         score = score + F.when(tf > 0, idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))).otherwise(0.0)
     met = F.col("tf0") > 0
     for i in range(1, k):
-        met = met & (F.col(f"tf{i}") > 0) if match_all else met | (F.col(f"tf{i}") > 0)
+        met = met | (F.col(f"tf{i}") > 0)
     return both.filter(met).select("id", score.alias("score"))
 
 
@@ -58,46 +66,24 @@ def _starting(words: str, prefix: str) -> Column:
     return F.filter(words, lambda x: x.startswith(prefix))
 
 
-def bm25_indexed(index: DataFrame, n_docs: int, avgdl: float, query: str, match_all: bool = False) -> DataFrame:
-    """The same scores from stored ``postings``: only terms in the prefixes' ranges are read, and only their rows are shuffled."""
-    prefixes = [p.lower() for p in T.query_terms(query)]
-    if not prefixes:
-        return index.select("id", F.lit(0.0).alias("score")).limit(0)
-    own = [(F.col("term") >= p) & (F.col("term") < p + "\U0010ffff") for p in prefixes]
-    any_ = own[0]
-    for c in own[1:]:
-        any_ = any_ | c
-    tf = [F.sum(F.when(c, F.col("tf")).otherwise(0)).cast("double").alias(f"tf{i}") for i, c in enumerate(own)]
-    counted = index.filter(any_).groupBy("id").agg(F.first("dl").cast("double").alias("dl"), *tf)
+def bm25_of(rows: DataFrame, prefixes: Sequence[str], n_docs: int, avgdl: float) -> DataFrame:
+    """The same scores from postings (term, id, tf, dl) of terms with these prefixes: only they are shuffled."""
+    tf = [F.sum(F.when(F.col("term").startswith(p), F.col("tf")).otherwise(0)).cast("double").alias(f"tf{i}") for i, p in enumerate(prefixes)]
+    counted = rows.groupBy("id").agg(F.first("dl").cast("double").alias("dl"), *tf)
     totals = counted.agg(F.lit(float(n_docs)).alias("n"), F.lit(float(avgdl)).alias("avgdl"), *_matching(len(prefixes)))
-    return _scored(counted, totals, len(prefixes), match_all)
+    return _scored(counted, totals, len(prefixes))
 
 
-def store_index(docs: DataFrame, path: str, id_col: str, fields: Sequence[str]) -> tuple[DataFrame, int, float]:
-    """(``postings`` written in the order of terms, rows, mean words a row).
+def ts_rank(rows: DataFrame, prefixes: Sequence[str], weight: float = 0.1, most: int = 255) -> DataFrame:
+    """(id, score) by the database's rank for a disjunction of prefixes, from postings of terms that have one.
 
-    Rows are dealt by term and id, so a common term is in many files; each file is sorted by term, and a query's prefixes
-    skip all row groups but a few of each.
+    Every word with a prefix adds weight / k^2 for its k-th place in a row, over 1.64493406685 and the number of prefixes.
     """
-    # a small table comes in fewer pieces than there are cores; a large one is left as it is read
-    cores = docs.sparkSession.sparkContext.defaultParallelism
-    some = docs.select(id_col, *fields)
-    rows = postings(some.repartition(cores) if some.rdd.getNumPartitions() < cores else some, id_col, fields)
-    rows.sortWithinPartitions("term", "id").write.parquet(path)
-    index = docs.sparkSession.read.schema(rows.schema).parquet(path)
-    n, words = docs.count(), index.agg(F.sum("tf")).head()[0]
-    return index, n, (words or 0) / max(n, 1)
-
-
-def ts_rank(index: DataFrame, query: str, weight: float = 0.1, most: int = 255) -> DataFrame:
-    """(id, score) by the database's rank for a disjunction of prefixes: every word with a prefix adds weight / k^2 for its k-th place in a row, over 1.64493406685 and the number of prefixes."""
-    prefixes = [p.lower() for p in T.query_terms(query)]
-    rows = None
-    for p in prefixes:
-        own = index.filter((F.col("term") >= p) & (F.col("term") < p + "\U0010ffff")).select("id", "tf")
-        rows = own if rows is None else rows.unionByName(own)
     places = F.aggregate(F.sequence(F.lit(1).cast("long"), F.least("tf", F.lit(most).cast("long"))), F.lit(0.0), lambda a, k: a + 1.0 / (k * k))
-    return rows.groupBy("id").agg((F.sum(places) * weight / 1.64493406685 / len(prefixes)).alias("score"))
+    met: Column = F.lit(0)
+    for p in prefixes:
+        met = met + F.col("term").startswith(p).cast("int")
+    return rows.groupBy("id").agg((F.sum(places * met) * weight / 1.64493406685 / len(prefixes)).alias("score"))
 
 
 def top(df: DataFrame, k: int, score: str = "score", key: str = "id") -> DataFrame:

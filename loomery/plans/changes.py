@@ -83,12 +83,6 @@ def _(spark, d):
     return delta.coalesce_tasks(read(spark, d, "events").select(F.col("user_id").alias("path"), (F.col("event_id") % 10).alias("priority"), (F.col("event_id") % 5).alias("retries")))
 
 
-@query("A189_debounce", "SELECT event_id FROM (SELECT event_id, floor(epoch(ts)) * 1000 AS t, lag(floor(epoch(ts)) * 1000) OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)) * 1000, event_id) AS p FROM events) x WHERE p IS NULL OR t - p >= 3600000")
-def _(spark, d):
-    e = read(spark, d, "events").withColumn("t", F.unix_timestamp("ts") * 1000)
-    return delta.debounce(e, "user_id", "t", 3_600_000, "event_id").select("event_id")
-
-
 @query("A193_cache_eviction", "SELECT event_id FROM events WHERE value > 50 ORDER BY ts DESC, event_id LIMIT 1000")
 def _(spark, d):
     e = read(spark, d, "events").select(F.col("event_id").alias("cache_key"), F.col("value").alias("expires_at"), F.col("ts").alias("accessed_at"))

@@ -164,11 +164,6 @@ def _(spark, d):
     return crdt.ham(heard).select("soul", "key", "state")
 
 
-@query("B76_coalesced_open", twin("SELECT soul, CAST(floor(state / 9) AS BIGINT) AS slot, max(state) AS last FROM cells GROUP BY ALL", "cells"))
-def _(spark, d):
-    return read(spark, d, "cells").groupBy("soul", F.floor(F.col("state") / 9).alias("slot")).agg(F.max("state").alias("last"))
-
-
 @query("B04_hydrate", twin("SELECT soul, key, max(state) AS state FROM cells GROUP BY soul, key", "cells"))
 def _(spark, d):
     where = f"{shared_folder(spark)}/cells"

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from loomery.functions import text as T
 from loomery.functions import vectors as V
 from loomery.operators import fusion, graph, search
-from loomery.sources.durable import shared_folder
+from loomery.operators.segments import PostingsIndex
+from loomery.sources.durable import drop_folder, shared_folder
 from loomery.sources.tables import read, twin
 
 from .catalog import query
@@ -25,29 +26,32 @@ _L2 = "sqrt(list_sum(list_transform(range(1, len(e.embedding) + 1), lambda i: (C
 _KNN = f"near AS (SELECT e.vec_id AS id, e.label, {_L2} AS distance FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q)"
 
 
+#: The index of each application's tables, with the state of the files that it was built from.
 _INDEXES: dict[tuple, tuple] = {}
 
 
-def index_of(spark, d):
-    """(postings, rows, mean length) of the documents, written once for each state of their files and read by every search after."""
+def index_of(spark, d) -> PostingsIndex:
+    """The documents' index, written for the present state of their files and read by every search after; that of an earlier state goes."""
     docs = read(spark, d, "documents")
     state = docs.select("_metadata.file_path", "_metadata.file_modification_time", "_metadata.file_size").distinct().agg(F.count("*"), F.max("file_modification_time"), F.sum("file_size")).head()
-    key = (spark.sparkContext.applicationId, d, *state)
-    if key not in _INDEXES:
-        _INDEXES[key] = search.store_index(docs, f"{shared_folder(spark)}/postings", "doc_id", ("text",))
-    return _INDEXES[key]
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _INDEXES or _INDEXES[key][0] != state:
+        if key in _INDEXES:
+            drop_folder(spark, _INDEXES[key][1].path)
+        _INDEXES[key] = (state, PostingsIndex(spark, f"{shared_folder(spark)}/postings", ("text",)).build(docs, "doc_id"))
+    return _INDEXES[key][1]
 
 
 def _fts(spark, d):
-    return search.bm25_indexed(*index_of(spark, d), ASKED)
+    return index_of(spark, d).bm25(ASKED)
 
 
-def _asked_vector(spark, d):
+def asked_vector(spark, d):
     return read(spark, d, "embeddings").filter("vec_id = 0").select("embedding").head()[0]
 
 
 def _near(spark, d, k):
-    return search.knn(read(spark, d, "embeddings"), _asked_vector(spark, d), k)
+    return search.knn(read(spark, d, "embeddings"), asked_vector(spark, d), k)
 
 
 @query("A102_knn_top_k", f"WITH {_KNN} SELECT id, round(distance, 6) AS distance, round(1 / (1 + distance), 6) AS similarity FROM near ORDER BY near.distance, id LIMIT 10")
@@ -57,19 +61,19 @@ def _(spark, d):
 
 @query("A34_similarity_threshold", f"WITH {_KNN} SELECT id, round(1 / (1 + distance), 6) AS similarity FROM near WHERE 1 / (1 + distance) >= 0.45")
 def _(spark, d):
-    q = F.array(*(F.lit(float(x)) for x in _asked_vector(spark, d)))
+    q = F.array(*(F.lit(float(x)) for x in asked_vector(spark, d)))
     rows = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), V.similarity(V.l2(F.col("embedding"), q)).alias("score"))
     return search.scoped(rows, least=0.45).select("id", F.round("score", 6).alias("similarity"))
 
 
 @query("A126_knn_prefilter", f"WITH {_KNN} SELECT id, round(distance, 6) AS distance FROM near WHERE label = 3 ORDER BY near.distance, id LIMIT 20")
 def _(spark, d):
-    return search.knn(read(spark, d, "embeddings"), _asked_vector(spark, d), 20, F.col("label") == 3).select(F.col("vec_id").alias("id"), F.round("distance", 6).alias("distance"))
+    return search.knn(read(spark, d, "embeddings"), asked_vector(spark, d), 20, F.col("label") == 3).select(F.col("vec_id").alias("id"), F.round("distance", 6).alias("distance"))
 
 
 @query("A126_knn_postfilter", f"WITH {_KNN}, k AS (SELECT * FROM near ORDER BY distance, id LIMIT 50) SELECT id, round(distance, 6) AS distance FROM k WHERE label = 3")
 def _(spark, d):
-    return search.knn(read(spark, d, "embeddings"), _asked_vector(spark, d), 50, F.col("label") == 3, prefilter=False).select(F.col("vec_id").alias("id"), F.round("distance", 6).alias("distance"))
+    return search.knn(read(spark, d, "embeddings"), asked_vector(spark, d), 50, F.col("label") == 3, prefilter=False).select(F.col("vec_id").alias("id"), F.round("distance", 6).alias("distance"))
 
 
 @query("A121_bm25", f"WITH {_BM25} SELECT id, round(score, 6) AS score FROM fts")
@@ -77,11 +81,13 @@ def _(spark, d):
     return _fts(spark, d).select("id", F.round("score", 6).alias("score"))
 
 
-@query("A121_index_build", f"WITH t AS (SELECT {_W} AS w FROM documents) SELECT count(*) AS n, round(avg(len(w)), 6) AS mean_words FROM t")
+_POSTINGS = f"WITH t AS (SELECT doc_id AS id, {_W} AS w FROM documents), u AS (SELECT id, len(w) AS dl, unnest(w) AS term FROM t) SELECT term, id, count(*) AS tf, any_value(dl) AS dl FROM u GROUP BY term, id"
+
+
+@query("A121_index_build", _POSTINGS)
 def _(spark, d):
-    # the index is written by whichever search comes first
-    _index, n, mean = index_of(spark, d)
-    return spark.createDataFrame([(n, round(mean, 6))], "n long, mean_words double")
+    # the rows as stored; the index is written by whichever search comes first
+    return index_of(spark, d).rows()
 
 
 @query("A121_bm25_scanned", f"WITH {_BM25} SELECT id, round(score, 6) AS score FROM fts")
@@ -93,7 +99,7 @@ def _(spark, d):
 h AS (SELECT id, list_sum(list_transform(range(1, least(tf, 255) + 1), lambda k: 1.0::DOUBLE / (k * k))) AS places FROM c, (VALUES ('the'), ('er'), ('on')) p(prefix) WHERE starts_with(term, prefix))
 SELECT id, round(sum(places) * 0.1::DOUBLE / 1.64493406685::DOUBLE / 3, 6) AS score FROM h GROUP BY id""")
 def _(spark, d):
-    return search.ts_rank(index_of(spark, d)[0], ASKED).select("id", F.round("score", 6).alias("score"))
+    return index_of(spark, d).ts_rank(ASKED).select("id", F.round("score", 6).alias("score"))
 
 
 @query("A57_edge_self_join", twin("SELECT a.src AS id, count(*) AS walks, count(DISTINCT b.dst) AS reached FROM edges a JOIN edges b ON a.dst = b.src WHERE a.type = 'calls' AND b.type = 'calls' GROUP BY a.src", "edges"))
@@ -103,7 +109,7 @@ def _(spark, d):
     return e.join(second, F.col("dst") == F.col("_mid")).groupBy(F.col("src").alias("id")).agg(F.count("*").alias("walks"), F.countDistinct("_end").alias("reached"))
 
 
-@query("A50_postings", f"WITH t AS (SELECT doc_id AS id, {_W} AS w FROM documents), u AS (SELECT id, len(w) AS dl, unnest(w) AS term FROM t) SELECT term, id, count(*) AS tf, any_value(dl) AS dl FROM u GROUP BY term, id")
+@query("A50_postings", _POSTINGS)
 def _(spark, d):
     return search.postings(read(spark, d, "documents"), "doc_id", ("text",))
 
@@ -429,7 +435,7 @@ def _(spark, d):
 
 @query("A149_cosine", f"WITH a AS (SELECT *, {_N} AS n FROM embeddings) SELECT e.vec_id AS id, round(list_sum(list_transform(range(1, len(e.embedding) + 1), lambda i: CAST(e.embedding[i] AS DOUBLE) * CAST(q.embedding[i] AS DOUBLE))) / (sqrt(e.n) * sqrt(q.n)), 6) AS cosine FROM a e, (SELECT * FROM a WHERE vec_id = 0) q")
 def _(spark, d):
-    q = F.array(*(F.lit(float(x)) for x in _asked_vector(spark, d)))
+    q = F.array(*(F.lit(float(x)) for x in asked_vector(spark, d)))
     return read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.round(V.cosine(F.col("embedding"), q), 6).alias("cosine"))
 
 

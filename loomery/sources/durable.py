@@ -23,12 +23,17 @@ def shared_folder(spark: SparkSession) -> str:
     return path
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nothing reads any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 @atexit.register
 def _drop_folders() -> None:
     for spark, path in _FOLDERS:
         try:
-            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            drop_folder(spark, path)
         except Exception:  # the session has ended: the folder's owner clears it
             return
 

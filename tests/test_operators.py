@@ -145,14 +145,6 @@ def test_packing_skips_what_does_not_fit(spark):
     assert context.pack(df, 100).head().asDict() == {"bundle": 1, "ids": [0, 1, 3], "used": 100}
 
 
-def test_indexed_scores_equal_scanned(spark):
-    df = spark.createDataFrame([(1, "alpha beta alpha"), (2, "alphabet gamma"), (3, "delta")], "id long, text string")
-    scan = {r["id"]: r["score"] for r in search.bm25(df, "alpha gam", fields=("text",)).collect()}
-    index = {r["id"]: r["score"] for r in search.bm25_indexed(search.postings(df, "id", ("text",)), 3, 2.0, "alpha gam").collect()}
-    assert scan == pytest.approx(index) and set(scan) == {1, 2}
-    assert search.bm25(df, "...", fields=("text",)).count() == 0
-
-
 def test_knn_filters_before_or_after(spark):
     df = spark.createDataFrame([(i, [float(i), 0.0], i % 2) for i in range(6)] + [(9, [0.0], 0)], "vec_id long, embedding array<float>, label long")
     assert [r["vec_id"] for r in search.knn(df, [0.0, 0.0], 2, F.col("label") == 1).collect()] == [1, 3]
@@ -195,16 +187,6 @@ def test_percentiles_of_a_hot_group(spark):
         assert got[g] == tuple(own[int((len(own) - 1) * p)] for p in (0.5, 0.95))
 
 
-def test_indexed_search_equals_scanned(spark, tmp_path):
-    texts = ["the parser reads the file", "errors on the line", "their theory", "nothing", None]
-    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
-    index, n, mean = search.store_index(docs, f"{tmp_path}/index", "id", ("text",))
-    for query, every in (("the er on", False), ("the on", True), ("zzz", False), ("!", False)):
-        a = {r["id"]: r["score"] for r in search.bm25(docs, query, fields=("text",), match_all=every).collect()}
-        b = {r["id"]: r["score"] for r in search.bm25_indexed(index, n, mean, query, every).collect()}
-        assert a.keys() == b.keys() and all(a[i] == pytest.approx(b[i], abs=1e-12) for i in a)
-
-
 def test_wire_values_survive(spark):
     from loomery.operators import wire
 
