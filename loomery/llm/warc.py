@@ -320,4 +320,5 @@ def histories(pages: DataFrame, captured: Column | None = None, archive_bytes: i
     archives = runs.select("archive").distinct()
     read_back = read(archives.repartition(max(1, archives.count())), folder)
     index = merge(runs, range_rows).drop("page_id")
-    return read_back.join(index, ["archive", "offset"]).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "capture_no", "cdx_rank")
+    # the size of what a reader returns is unknown to the planner, so that it must not choose a broadcast
+    return read_back.hint("merge").join(index, ["archive", "offset"]).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "capture_no", "cdx_rank")
