@@ -124,6 +124,11 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def quoted(name: str) -> str:
+    """A column's name as Spark reads it, whatever its characters."""
+    return f"`{name.replace('`', '``')}`"
+
+
 def give_back() -> None:
     """Return free memory to the system: a worker that is kept for other stages would hold on to it."""
     pa.default_memory_pool().release_unused()

@@ -409,7 +409,9 @@ class Model:
 
 
 def fit(docs: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE, side: int = SIDE, hashed: int = HASHED, group_tokens: int = GROUP_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """A model of all documents, to score others."""
+    """A model of all documents, to score others.  ``side`` is 256 at most: ids are stored in 16 bits."""
+    if side * side > 1 << 16:
+        raise ValueError("side is 256 at most")
     corpus = read(docs, id_col, text_col)
     counts = word_counts(corpus)
     words = vocabulary(counts, side, hashed)

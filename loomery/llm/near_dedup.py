@@ -11,7 +11,8 @@
    together are compared in blocks, each with each, and links between different components join the others.
 Exact copies are one node from the start, so a group of copies costs one vector however large it is.
 
-Weights: (1 + ln tf) * (1 + ln((1 + N) / (1 + df)) / ln(1 + N)), in tenths.  With the defaults a pair of similarity 0.8
+Weights: (1 + ln tf) * (1 + ln((1 + N) / (1 + df)) / ln(1 + N)), in tenths, 255 of them at most
+(which a shingle exceeds that comes more than 127,000 times in one text).  With the defaults a pair of similarity 0.8
 shares no band with probability 2e-5, a closer one less often.
 
 Defined cases: a null text is the empty one; texts without words are alike only if equal; a text of fewer words than a
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, cut, give_back, release, slices, unused
+from .common import arrow, cut, give_back, quoted, release, slices, unused
 from .components import components
 
 SHINGLE, LEAST, BANDS, ROWS = 5, 0.8, 28, 5
@@ -456,4 +457,5 @@ def keep(docs: DataFrame, least: float = LEAST, id_col: str = "doc_id", text_col
     free = met.filter(F.col(stays).isNull())
     # rows that repeat an id and its text are told apart by neither: one of them stays
     one = met.filter(F.col(stays)).dropDuplicates([id_col, digest_])
-    return clear.select(docs.columns).unionByName(free.select(docs.columns)).unionByName(one.select(docs.columns))
+    own = [F.col(quoted(c)) for c in docs.columns]
+    return clear.select(own).unionByName(free.select(own)).unionByName(one.select(own))

@@ -17,7 +17,7 @@ def _secrets() -> str:
         ("private_key", r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]*-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----)?", 0, 1),
         ("jwt", r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{16,}", 0, 1),
         ("provider_token", r"\b(?:gh[pousr]_[A-Za-z0-9]{36,}|glpat-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|sk_live_[A-Za-z0-9]{24,})", 0, 1),
-        ("url_password", r"\b[a-zA-Z][a-zA-Z0-9+.-]{1,15}://[^\s:/@]{1,64}:[^\s:/@]{1,64}@", 0, 1),
+        ("url_password", r"\b[a-zA-Z][a-zA-Z0-9+.-]+://[^\s:/@]+:[^\s:/@]+@", 0, 1),
     )
     each = " UNION ALL ".join(
         f"SELECT r, {k} AS k, {_q(kind)} AS kind, {least} AS least, regexp_extract_all(t, {_q(p)}) AS m, regexp_extract_all(t, {_q(p)}, {group}) AS g, string_split_regex(t, {_q(p)}) AS a FROM d WHERE regexp_matches(t, {_q(p)})"

@@ -177,10 +177,10 @@ def cutoffs(measured: DataFrame, labels: DataFrame, risk: float = 0.01, alpha: f
     return counts.groupBy(stratum).applyInPandas(choose, f"`{stratum}` {kind}, {', '.join(f'{n} double' for n in names)}")
 
 
-def with_cutoffs(rows: DataFrame, chosen: DataFrame, stratum: str = "lang") -> tuple[DataFrame, list[str]]:
-    """``rows`` with the cutoffs of their stratum, and the names of those columns in the order of RULES."""
+def with_cutoffs(rows: DataFrame, chosen: DataFrame, stratum: str = "lang", named: str | None = None) -> tuple[DataFrame, list[str]]:
+    """``rows`` with the cutoffs of their stratum (``named`` in ``chosen``), and the names of those columns in the order of RULES."""
     of, *cuts = unused(rows, "_stratum", *(f"_cut_{r.name}" for r in RULES))
-    held = chosen.select(F.col(stratum).alias(of), *(F.col(r.name).alias(c) for r, c in zip(RULES, cuts)))
+    held = chosen.select(F.col(named or stratum).alias(of), *(F.col(r.name).alias(c) for r, c in zip(RULES, cuts)))
     if held.count() <= BROADCAST_STRATA:
         held = F.broadcast(held)
     return rows.join(held, F.col(stratum).eqNullSafe(F.col(of)), "left").drop(of), cuts
@@ -209,9 +209,12 @@ def keep(docs: DataFrame, labels: DataFrame, risk: float = 0.01, alpha: float =
     measured = cut(features(docs, (id_col, stratum)), "features")
     chosen = cut(cutoffs(measured, labels, risk, alpha, stratum, id_col), "cutoffs")
     release(measured)
-    rows, cuts = with_cutoffs(docs, chosen, stratum)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    names = docs.columns
+    # columns go to Python by number: their names may have dots or backticks
+    names = [f"_{k}" for k in range(len(docs.columns))]
+    plain = docs.toDF(*names)
+    text = names[docs.columns.index(text_col)]
+    rows, cuts = with_cutoffs(plain, chosen.withColumnRenamed(stratum, "_of"), names[docs.columns.index(stratum)], "_of")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema.fields)
 
     def rejected(m: dict[str, int], limits: tuple) -> bool:
         if m["n_words"] < LEAST_WORDS or 100 * m["n_repeat_words"] > MOST_REPEATED * m["n_words"]:
@@ -222,9 +225,9 @@ def keep(docs: DataFrame, labels: DataFrame, risk: float = 0.01, alpha: float =
         return False
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, text_col):
+        for b in slices(batches, text):
             limits = zip(*(b.column(c).to_pylist() for c in cuts))
-            mask = [not rejected(dict(zip(FEATURES, measure(t))), x) for t, x in zip(b.column(text_col).to_pylist(), limits)]
+            mask = [not rejected(dict(zip(FEATURES, measure(t))), x) for t, x in zip(b.column(text).to_pylist(), limits)]
             yield b.select(names).filter(pa.array(mask, pa.bool_()))
 
-    return arrow(rows, kernel, schema)
+    return arrow(rows, kernel, schema).toDF(*docs.columns)

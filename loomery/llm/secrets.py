@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, release, unused
+from .common import cut, quoted, release, unused
 
 
 @dataclass(frozen=True)
@@ -53,7 +53,7 @@ MORE = (
     Rule("private_key", 1, r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]*-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----)?", literals=("PRIVATE KEY-----",)),
     Rule("jwt", 1, r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{16,}", literals=(".eyJ",)),
     Rule("provider_token", 1, r"\b(?:gh[pousr]_[A-Za-z0-9]{36,}|glpat-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|sk_live_[A-Za-z0-9]{24,})", literals=("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "glpat-", "xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-", "AIza", "sk_live_")),
-    Rule("url_password", 1, r"\b[a-zA-Z][a-zA-Z0-9+.-]{1,15}://[^\s:/@]{1,64}:[^\s:/@]{1,64}@", literals=("://",)),
+    Rule("url_password", 1, r"\b[a-zA-Z][a-zA-Z0-9+.-]+://[^\s:/@]+:[^\s:/@]+@", literals=("://",)),
 )
 RULES = BASE + MORE
 SPAN = "array<struct<start:int,kind:string,end:int>>"
@@ -194,4 +194,4 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_
     named = {text_col: F.col(new)}
     if size_col in docs.columns:
         named[size_col] = F.when(F.col(all_).isNull(), F.col(size_col)).otherwise(F.length(new).cast(docs.schema[size_col].dataType))
-    return docs.filter(~may).unionByName(out.select(*(named.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns)))
+    return docs.filter(~may).unionByName(out.select(*(named.get(c, F.col(quoted(c))).alias(c) for c in docs.columns)))

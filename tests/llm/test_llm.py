@@ -677,3 +677,28 @@ def test_entry_registers_every_operator():
 
     names = __spark_entry__.queries()
     assert {f"op{n}" for n in range(1, 11)} <= {x.split("_")[0] for x in names} and "pipeline" in names
+
+
+ODD_NAMES = ("a.b", "with `tick`", " ", "c d", "`", "x,y")
+
+
+def test_stages_take_any_column_names(spark):
+    """Dots, blanks and backticks in names of further columns."""
+    texts = [*(" ".join(f"w{(k * 7 + i * i) % 500}" for i in range(80)) for k in range(4)), "x " * 60, None]
+    docs = frame(spark, [*texts, texts[0]]).select("*", *(F.lit(k).alias(c) for k, c in enumerate(ODD_NAMES)))
+    labels = spark.createDataFrame([(0, 1, 0)], "doc_id long, quality long, toxic long")
+    for out in (quality.keep(docs, labels), near_dedup.keep(docs), secrets.clean(docs)):
+        assert out.columns == docs.columns and all([r[c] for c in ODD_NAMES] == [*range(len(ODD_NAMES))] for r in out.collect())
+    assert near_dedup.keep(docs).count() == 6
+
+
+def test_secrets_of_any_length(spark):
+    """User, password and scheme of a URL have no greatest length."""
+    texts = [f"see {s}://{'u' * n}:{'p' * n}@host/x" for s in ("ab", "s" * 40) for n in (1, 64, 65, 3000)]
+    got = {r["doc_id"]: r["spans"] for r in secrets.digests(frame(spark, texts)).collect()}
+    assert all(got[i] == f"url_password:4:{t.index('@') + 1}" for i, t in enumerate(texts))
+
+
+def test_ids_that_do_not_fit_are_refused(spark):
+    with pytest.raises(ValueError):
+        lm_scoring.fit(frame(spark, ["a b"]), side=257)
