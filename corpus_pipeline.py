@@ -11,6 +11,7 @@ go to the row read first; an empty table gives no rows; further columns are kept
 from __future__ import annotations
 
 import functools
+import threading
 from collections.abc import Callable
 
 import public_tokenizers
@@ -20,18 +21,19 @@ from loomery.llm import near_dedup, packing, quality, secrets
 from loomery.llm.common import cut, cuts_of, release_paths, table
 
 
-#: Cuts of stages that have run; a stage's result is written before the next begins, which then deletes them.
-_DONE: list[str] = []
+#: Cuts of the last stage run by a thread over some tables; its result is written before the next begins, which deletes them.
+_DONE: dict[tuple[int, str], list[str]] = {}
 
 
 def _stage(make: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
     @functools.wraps(make)
     def run_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        own = threading.get_ident(), sf_dir
         # what ``docs`` itself still reads stays
-        release_paths(_DONE, docs)
+        release_paths(_DONE.pop(own, []), docs)
         with cuts_of() as made:
             out = make(spark, docs, sf_dir)
-        _DONE[:] = made
+        _DONE[own] = made
         return out
 
     return run_one
