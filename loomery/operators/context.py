@@ -38,6 +38,31 @@ def pack(items: DataFrame, budget: int, by: str = "bundle", order: str = "place"
     return out.select(by, F.col("p.ids").alias("ids"), F.col("p.used").alias("used"))
 
 
+def reservations(events: DataFrame, budget: int, by: str = "bundle", order: str = "seq") -> DataFrame:
+    """(bundle, seq, action, category, tokens, accepted, used): a budget under ``reserve`` and ``release`` events, one fold over a bundle's own events.
+
+    A reservation replaces the category's former one and is refused, leaving that, if the sum of all would exceed the budget; a
+    release of what isn't reserved does nothing.
+    """
+    rows = F.array_sort(F.collect_list(F.struct(order, "action", "category", "tokens")))
+    line = f"struct<{order}: {events.schema[order].dataType.simpleString()}, action: string, category: string, tokens: bigint, accepted: boolean, used: bigint>"
+    first = F.struct(F.lit(0).cast("long").alias("used"), F.expr("cast(map() as map<string, bigint>)").alias("held"), F.expr(f"cast(array() as array<{line}>)").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        had = F.coalesce(F.try_element_at(acc["held"], x["category"]), F.lit(0).cast("long"))
+        wanted = F.when(x["action"] == "reserve", x["tokens"].cast("long")).otherwise(F.lit(0).cast("long"))
+        used = acc["used"] - had + wanted
+        ok = used <= budget
+        others = F.map_filter(acc["held"], lambda k, v: k != x["category"])
+        held = F.when(~ok, acc["held"]).when(x["action"] == "reserve", F.map_concat(others, F.map_from_arrays(F.array(x["category"]), F.array(wanted)))).otherwise(others)
+        now = F.when(ok, used).otherwise(acc["used"])
+        said = F.struct(x[order].alias(order), x["action"].alias("action"), x["category"].alias("category"), x["tokens"].cast("long").alias("tokens"), ok.alias("accepted"), now.alias("used")).cast(line)
+        return F.struct(now.alias("used"), held.alias("held"), F.concat(acc["out"], F.array(said)).alias("out"))
+
+    out = events.groupBy(by).agg(F.aggregate(rows, first, step, lambda acc: acc["out"]).alias("_o"))
+    return out.select(by, F.explode("_o").alias("_o")).select(by, "_o.*")
+
+
 def one_per_role(items: DataFrame, by: str = "bundle", role: str = "category") -> DataFrame:
     w = Window.partitionBy(by, role).orderBy(F.desc("base"), F.asc("id"))
     return items.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")

@@ -42,6 +42,13 @@ def cascade(files: DataFrame, chunks: DataFrame, junction: DataFrame, edges: Dat
     return {"files": without(files, gone_files, ["id"]), "chunks": without(chunks, gone, ["id"]), "junction": junction.join(gone.select(F.col("id").alias("chunk_id")), "chunk_id", "left_anti"), "edges": left_edges.select(*edges.columns)}
 
 
+def clean_ignored(chunks: DataFrame, junction: DataFrame, edges: DataFrame, ignored: DataFrame) -> dict[str, DataFrame]:
+    """What stays of chunks (by ``relpath``), junction rows and edges once the files of ``ignored`` (path) are out of the index."""
+    gone = chunks.join(ignored.select(F.col("path").alias("relpath")), "relpath", "left_semi").select("id")
+    left_edges = edges.join(gone.select(F.col("id").alias("src")), "src", "left_anti").join(gone.select(F.col("id").alias("dst")), "dst", "left_anti")
+    return {"chunks": without(chunks, gone, ["id"]), "junction": junction.join(gone.select(F.col("id").alias("chunk_id")), "chunk_id", "left_anti"), "edges": left_edges.select(*edges.columns)}
+
+
 def drop_worktree(chunks: DataFrame, junction: DataFrame, worktree: int) -> tuple[DataFrame, DataFrame]:
     """(chunks, junction) without a worktree and without chunks that no other one holds."""
     left = junction.filter(F.col("worktree_id") != worktree)

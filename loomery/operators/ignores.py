@@ -24,7 +24,7 @@ _TOKENS = r"(?s)^\*\*/|(?:/\*\*)+/|/\*\*$|\*+|\?|\[[!^]?\]?[^\]]*\]|\\.|[^\\\[*?
 def _regex_of(token: Column) -> Column:
     """A piece of a pattern as a regular expression."""
     negated = token.rlike(r"^\[[!^]")
-    inside = F.when(negated, F.expr("substring(x, 3, length(x) - 3)")).otherwise(F.expr("substring(x, 2, length(x) - 2)"))
+    inside = F.when(negated, F.substring(token, F.lit(3), F.length(token) - 3)).otherwise(F.substring(token, F.lit(2), F.length(token) - 2))
     one_of = F.concat(F.lit("(?!/)["), F.when(negated, "^").otherwise(""), F.regexp_replace(inside, r"([\[\]&])", r"\\$1"), F.lit("]"))
     return (
         F.when(token == "**/", F.lit("(?:.*/)?"))
@@ -49,7 +49,7 @@ def parsed(rules: DataFrame) -> DataFrame:
     return rows.select("folder", "n", "negated", "folders_only", F.concat(F.lit("(?s)^"), F.when(F.col("anchored"), "").otherwise("(?:.*/)?"), body, F.lit("$")).alias("regex"))
 
 
-def _levels(path: Column) -> Column:
+def levels(path: Column) -> Column:
     """The path's folders from the top, then the path itself."""
     parts = F.split(path, "/")
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
@@ -58,15 +58,15 @@ def _levels(path: Column) -> Column:
 def ignored(paths: DataFrame, rules: DataFrame) -> DataFrame:
     """The distinct ``path``s that ``rules`` (folder, n, pattern; ``n`` in their order) ignore."""
     paths = paths.select("path").filter("path IS NOT NULL").distinct()
-    levels = paths.select("path", F.explode(_levels(F.col("path"))).alias("entry")).withColumn("is_folder", F.col("path") != F.col("entry"))
-    entries = levels.groupBy("entry").agg(F.max("is_folder").alias("is_folder"))
+    standing = paths.select("path", F.explode(levels(F.col("path"))).alias("entry")).withColumn("is_folder", F.col("path") != F.col("entry"))
+    entries = standing.select("entry", "is_folder").distinct()
     # an entry meets the rules of each folder above it
-    above = F.concat(F.array(F.lit("")), F.slice(_levels(F.col("entry")), 1, F.size(F.split("entry", "/")) - 1))
+    above = F.concat(F.array(F.lit("")), F.slice(levels(F.col("entry")), 1, F.size(F.split("entry", "/")) - 1))
     placed = entries.select("entry", "is_folder", F.posexplode(above).alias("depth", "_folder"))
     below = F.when(F.col("_folder") == "", F.col("entry")).otherwise(F.expr("substring(entry, length(_folder) + 2)"))
     met = placed.join(parsed(rules), F.col("_folder") == F.col("folder")).filter((~F.col("folders_only") | F.col("is_folder")) & F.call_function("rlike", below, F.col("regex")))
-    last = met.groupBy("entry").agg(F.max_by("negated", F.struct("depth", "n")).alias("_kept")).filter("NOT _kept").select("entry")
-    return levels.join(last, "entry", "left_semi").select("path").distinct()
+    last = met.groupBy("entry", "is_folder").agg(F.max_by("negated", F.struct("depth", "n")).alias("_kept")).filter("NOT _kept").select("entry", "is_folder")
+    return standing.join(last, ["entry", "is_folder"], "left_semi").select("path").distinct()
 
 
 def rules_in(files: DataFrame, names: tuple[str, ...]) -> DataFrame:

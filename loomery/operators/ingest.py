@@ -11,67 +11,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomery.functions import text as T
+from loomery.operators import ignores
+from loomery.operators.markdown import lines
 
 CHUNK = "kind string, symbol_name string, start_line int, end_line int, signature string, docstring string, metadata string"
 
 
-def lines(files: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
-    """(id, line number from 1, line)."""
-    return files.select(id_col, F.posexplode(F.split(text_col, "\n")).alias("_p", "line")).select(id_col, (F.col("_p") + 1).alias("n"), "line")
-
-
-def _fenced(files: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Lines with: is a fence mark, stands inside a fence."""
-    w = Window.partitionBy(id_col).orderBy("n")
-    mark = F.col("line").rlike(r"^\s{0,3}(```|~~~)")
-    rows = lines(files, id_col, text_col).withColumn("mark", mark)
-    return rows.withColumn("inside", (F.sum(F.col("mark").cast("int")).over(w) % 2 == 1) | F.col("mark"))
-
-
-def markdown_sections(files: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
-    """(id, level, title, start, end, path): ATX headings outside fences; a section ends before the next heading of its or a higher level."""
-    rows = _fenced(files, id_col, text_col)
-    heads = rows.filter(~F.col("inside") & F.col("line").rlike(r"^#{1,6}\s+\S")).select(
-        id_col, F.col("n").alias("start"), F.length(F.regexp_extract("line", r"^(#+)", 1)).alias("level"), F.trim(F.regexp_replace(F.regexp_replace("line", r"^#+\s+", ""), r"\s+#+\s*$", "")).alias("title")
-    )
-    last = rows.groupBy(id_col).agg(F.max("n").alias("last"))
-    w = Window.partitionBy(id_col).orderBy("start")
-    after = w.rowsBetween(1, Window.unboundedFollowing)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    # the nearest following start of each level, and the nearest preceding title of each level
-    nexts = [F.min(F.when(F.col("level") == k, F.col("start"))).over(after).alias(f"next{k}") for k in range(1, 7)]
-    prior = [F.max(F.when(F.col("level") == k, F.struct("start", "title"))).over(before).alias(f"prior{k}") for k in range(1, 7)]
-    wide = heads.select("*", *nexts, *prior).join(last, id_col)
-    end = F.least(*(F.when(F.col("level") >= k, F.col(f"next{k}")) for k in range(1, 7)))
-    parents: Column = F.array().cast("array<string>")
-    floor: Column = F.lit(0)
-    for k in range(1, 6):
-        # a parent counts if no later heading above it has closed it
-        own = F.col(f"prior{k}")
-        open_ = (F.col("level") > k) & own.isNotNull() & (F.coalesce(own["start"], F.lit(0)) > floor)
-        parents = F.when(open_, F.concat(parents, F.array(own["title"]))).otherwise(parents)
-        floor = F.greatest(floor, F.coalesce(own["start"], F.lit(0)))
-    return wide.select(id_col, "level", "title", "start", (F.coalesce(end - 1, F.col("last"))).cast("int").alias("end"), F.array_join(F.concat(parents, F.array("title")), " > ").alias("path"))
-
-
-def markdown_code(files: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
-    """(id, language, start, end) of fenced blocks; one that isn't closed ends with the text."""
-    rows = lines(files, id_col, text_col).withColumn("last", F.max("n").over(Window.partitionBy(id_col)))
-    marks = rows.filter(F.col("line").rlike(r"^\s{0,3}(```|~~~)"))
-    w = Window.partitionBy(id_col).orderBy("n")
-    pairs = marks.withColumn("k", F.row_number().over(w)).withColumn("end", F.coalesce(F.lead("n").over(w), F.col("last")))
-    return pairs.filter("k % 2 = 1").select(id_col, F.regexp_extract("line", r"^\s*(?:```|~~~)\s*([\w+-]*)", 1).alias("language"), F.col("n").alias("start"), "end")
-
-
-def links(files: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
-    """(id, line, title, target, class) of [title](target), class: external, anchor, mail or file."""
-    pattern = r"\[([^\]\n]*)\]\(([^)\s]+)\)"
-    rows = lines(files, id_col, text_col).select(id_col, F.col("n").alias("at"), F.explode(F.regexp_extract_all("line", F.lit(pattern), F.lit(0))).alias("m"))
-    target = F.regexp_extract("m", pattern, 2)
-    kind = F.when(target.rlike("^https?://"), "external").when(target.startswith("#"), "anchor").when(target.startswith("mailto:"), "mail").otherwise("file")
-    return rows.select(id_col, F.col("at").alias("line"), F.regexp_extract("m", pattern, 1).alias("title"), target.alias("target"), kind.alias("class"))
-
-
 def keys(files: DataFrame, id_col: str, pattern: str, kind: str, text_col: str = "text") -> DataFrame:
     """(id, kind, key, start, end): lines on which a top-level key starts, by ``pattern`` whose first group is the key."""
     rows = lines(files, id_col, text_col).withColumn("last", F.max("n").over(Window.partitionBy(id_col))).filter(F.col("line").rlike(pattern))
@@ -246,30 +191,57 @@ def hash_provider(dim: int):
 IGNORE_FILES = (".gitignore", ".loomeryignore")
 
 
-def ignore_rules(spark, root: str) -> list[str]:
-    """The default ignores and those of the tree's own ignore files, which are read by Spark."""
-    jvm = spark.sparkContext._jvm
-    out = list(T.DEFAULT_IGNORES)
-    for name in IGNORE_FILES:
-        path = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{name}")
-        if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-            # Spark's sources pass over names that begin with a dot unless they are asked for by name
-            stream = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(path)
-            reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
-            while (line := reader.readLine()) is not None:
-                if line.strip() and not line.strip().startswith("#"):
-                    out.append(line.strip())
-            reader.close()
-    return out
+def source_rows(files: DataFrame, ignore: DataFrame | None = None, languages: list[str] = ()) -> DataFrame:
+    """(path, language, text, hash) of ``files`` (path, text) in known languages that aren't ignored.
+
+    Rules are the default ones, then ``ignore`` (folder, n, pattern), by default those of the ignore files among the rows.
+    """
+    rules = ignores.rules_in(files, IGNORE_FILES) if ignore is None else ignore
+    every = ignores.defaults(files, T.DEFAULT_IGNORES).unionByName(rules.select("folder", F.col("n").cast("long").alias("n"), "pattern"))
+    named = files.select("path", "text", T.language(F.col("path")).alias("language")).filter("language IS NOT NULL")
+    kept = named.join(ignores.ignored(named.select("path"), every), "path", "left_anti")
+    rows = kept.select("path", "language", "text", F.sha2("text", 256).alias("hash"))
+    return rows.filter(F.col("language").isin(*languages)) if languages else rows
+
+
+def ignore_lines(folders: DataFrame, root: str) -> DataFrame:
+    """(folder, n, pattern) of the ignore files in the given ``folder``s below ``root``; tasks open them, as Spark's readers pass over names that begin with a dot."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        files, top = fs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", root.rstrip("/")))
+        for b in batches:
+            rows = []
+            for folder in b.column("folder").to_pylist():
+                for rank, name in enumerate(IGNORE_FILES):
+                    path = "/".join(x for x in (top, folder, name) if x)
+                    if files.get_file_info(path).is_file:
+                        with files.open_input_stream(path) as f:
+                            rows += [(folder, (rank << 32) + k, line) for k, line in enumerate(f.read().decode("utf-8", "replace").split("\n"))]
+            yield pa.RecordBatch.from_pydict({"folder": [r[0] for r in rows], "n": [r[1] for r in rows], "pattern": [r[2] for r in rows]}, schema=pa.schema([("folder", pa.string()), ("n", pa.int64()), ("pattern", pa.string())]))
+
+    return folders.select("folder").mapInArrow(kernel, "folder string, n long, pattern string")
 
 
 def scan(spark, root: str, ignore: list[str] | None = None, languages: list[str] = ()) -> DataFrame:
-    """(path, relpath, language, text, hash) of a source tree's files in known languages, but for ignored ones (by default ``ignore_rules``)."""
+    """(path, relpath, language, text, hash) of a source tree's files in known languages, but for ignored ones.
+
+    Rules are the default ones and those of the ignore files of all folders, or the lines of ``ignore`` alone.  Empty files
+    have nothing to index and give no row.
+    """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = root.rstrip("/").split("://")[-1]
     rel = F.regexp_replace("path", "^.*?" + re.escape(base) + "/+", "")
-    rules = ignore_rules(spark, root) if ignore is None else list(ignore)
-    # paths are judged before contents are decoded
-    named = raw.select("path", rel.alias("relpath"), "content").withColumn("language", T.language(F.col("relpath"))).filter(F.col("language").isNotNull() & ~T.ignored(F.col("relpath"), rules))
-    rows = named.select("path", "relpath", F.decode("content", "UTF-8").alias("text"), F.sha2("content", 256).alias("hash"), "language")
-    return rows.filter(F.col("language").isin(*languages)) if languages else rows
+    # paths are judged before contents are read
+    paths = raw.select(F.col("path").alias("_file"), rel.alias("path")).withColumn("language", T.language(F.col("path"))).filter("language IS NOT NULL")
+    if ignore is None:
+        parents = F.concat(F.array(F.lit("")), F.slice(ignores.levels(F.col("path")), 1, F.size(F.split("path", "/")) - 1))
+        every = ignores.defaults(raw, T.DEFAULT_IGNORES).unionByName(ignore_lines(paths.select(F.explode(parents).alias("folder")).distinct(), root))
+    else:
+        every = ignores.defaults(raw, tuple(ignore))
+    kept = paths.join(ignores.ignored(paths.select("path"), every), "path", "left_anti")
+    if languages:
+        kept = kept.filter(F.col("language").isin(*languages))
+    named = raw.select("path", "content").join(kept.select(F.col("_file").alias("path"), F.col("path").alias("relpath"), "language"), "path")
+    return named.select("path", "relpath", F.decode("content", "UTF-8").alias("text"), F.sha2("content", 256).alias("hash"), "language")

@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from . import changes, evaluation, indexes, ingestion, more, propertygraph, retrieval, timed  # noqa: F401
+    from . import changes, code, evaluation, files, indexes, ingestion, more, propertygraph, retrieval, timed  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

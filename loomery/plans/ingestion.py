@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomery.functions import text as T
-from loomery.operators import context, crdt, ingest
+from loomery.operators import context, crdt, ingest, markdown
 from loomery.sources import git, sinks
 from loomery.sources.durable import shared_folder
 from loomery.sources.tables import read, twin
@@ -47,19 +48,57 @@ _LINES = "l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, gene
 @query("A05_markdown_sections", f"""WITH {_LINES} SELECT h.doc_id, h.level, h.title, CAST(h.n AS INTEGER) AS start, CAST(coalesce((SELECT min(g.n) FROM h g WHERE g.doc_id = h.doc_id AND g.n > h.n AND g.level <= h.level) - 1, m.most) AS INTEGER) AS "end",
 coalesce((SELECT string_agg(g.title, ' > ' ORDER BY g.n) FROM h g WHERE g.doc_id = h.doc_id AND g.n < h.n AND g.level < h.level AND NOT EXISTS (SELECT 1 FROM h x WHERE x.doc_id = h.doc_id AND x.n > g.n AND x.n < h.n AND x.level <= g.level)) || ' > ', '') || h.title AS path FROM h JOIN m USING (doc_id)""")
 def _(spark, d):
-    return ingest.markdown_sections(marked(spark, d), "doc_id")
+    return markdown.sections(marked(spark, d), "doc_id")
 
 
 @query("A05_markdown_code_blocks", "SELECT doc_id, 'py' AS language, 2::INTEGER AS start, CAST(len(string_split(text, chr(10))) + 3 AS INTEGER) AS \"end\" FROM documents")
 def _(spark, d):
     fenced = read(spark, d, "documents").select("doc_id", F.concat(F.lit("a\n```py\n"), "text", F.lit("\n```\nb")).alias("text"))
-    return ingest.markdown_code(fenced, "doc_id")
+    return markdown.fences(fenced, "doc_id").drop("lines_of_code")
 
 
 @query("A06_markdown_links", r"SELECT doc_id, 2::INTEGER AS line, source AS title, concat('https://x/', CAST(doc_id AS VARCHAR)) AS target, 'external' AS class FROM documents")
 def _(spark, d):
     linked = read(spark, d, "documents").select("doc_id", F.concat(F.lit("a\nsee ["), "source", F.lit("](https://x/"), F.col("doc_id").cast("string"), F.lit(")")).alias("text"))
-    return ingest.links(linked, "doc_id")
+    return markdown.links(linked, "doc_id").select("doc_id", "line", "title", "target", "class")
+
+
+def _woven(spark, d):
+    """Markdown with fences within fences, a table, lists and links; how many rows and items it has follows from the id."""
+    doc = F.col("doc_id").cast("string")
+    head = F.concat(F.lit("# T"), doc, F.lit("\n\n~~~~py {1}\n```\n# no\n~~~\n~~~~\n## A\nsee [x"), doc, F.lit("](https://h/"), doc, F.lit(") and ![](/a.png) [e]() [r](b.md)\n\n| a | b \\| c |\n|---|:-:|\n"))
+    rows, items = F.repeat(F.lit("| 1 | 2 |\n"), (F.col("doc_id") % 5 + 1).cast("int")), F.repeat(F.lit("- more\n"), (F.col("doc_id") % 3).cast("int"))
+    tail = F.lit("1. first\n2. second\n\np | q\n### B\n```\n| x | y |\n|---|---|\n[dead](l)")
+    return read(spark, d, "documents").select("doc_id", F.concat(head, rows, F.lit("\n- one\n  - in\n\n  still\n"), items, tail).alias("text"))
+
+
+_SIZES = "m AS (SELECT doc_id, CAST(doc_id % 5 + 1 AS INTEGER) AS r, CAST(doc_id % 3 AS INTEGER) AS i, 'T' || doc_id AS t FROM documents)"
+
+
+@query("A05_markdown_nested_sections", f"""WITH {_SIZES} SELECT doc_id, 1 AS level, t AS title, 1 AS start, 26 + r + i AS "end", t AS path FROM m UNION ALL SELECT doc_id, 2, 'A', 8, 26 + r + i, t || ' > A' FROM m UNION ALL SELECT doc_id, 3, 'B', 22 + r + i, 26 + r + i, t || ' > A > B' FROM m""")
+def _(spark, d):
+    return markdown.sections(_woven(spark, d), "doc_id")
+
+
+@query("A05_markdown_nested_code", f"""WITH {_SIZES} SELECT doc_id, 'py' AS language, 3 AS start, 7 AS "end", 3 AS lines_of_code, t AS path FROM m UNION ALL SELECT doc_id, '', 23 + r + i, 26 + r + i, 3, t || ' > A > B' FROM m""")
+def _(spark, d):
+    return markdown.code_blocks(_woven(spark, d), "doc_id")
+
+
+@query("A05_markdown_tables", f"""WITH {_SIZES} SELECT doc_id, 11 AS start, 12 + r AS "end", r + 1 AS rows, 2 AS columns FROM m""")
+def _(spark, d):
+    return markdown.tables(_woven(spark, d), "doc_id")
+
+
+@query("A05_markdown_lists", f"""WITH {_SIZES} SELECT doc_id, 14 + r AS start, 17 + r + i AS "end", 'unordered' AS type, CAST(1 + i AS BIGINT) AS items FROM m UNION ALL SELECT doc_id, 18 + r + i, 19 + r + i, 'ordered', 2 FROM m""")
+def _(spark, d):
+    return markdown.lists(_woven(spark, d), "doc_id")
+
+
+@query("A06_links_in_sections", f"""WITH {_SIZES} SELECT doc_id, 9 AS line, 'x' || doc_id AS title, 'https://h/' || doc_id AS target, 'external' AS class, false AS image, t || ' > A' AS path FROM m
+UNION ALL SELECT doc_id, 9, '', '/a.png', 'absolute', true, t || ' > A' FROM m UNION ALL SELECT doc_id, 9, 'r', 'b.md', 'relative', false, t || ' > A' FROM m UNION ALL SELECT doc_id, 26 + r + i, 'dead', 'l', 'relative', false, t || ' > A > B' FROM m""")
+def _(spark, d):
+    return markdown.links(_woven(spark, d), "doc_id")
 
 
 @query("A07_yaml_keys", "SELECT doc_id, 'yaml_key' AS kind, 'lang' AS key, 1 AS start, 1 AS \"end\" FROM documents UNION ALL SELECT doc_id, 'yaml_key', 'body', 2, 3 FROM documents")
@@ -217,6 +256,21 @@ def _(spark, d):
     return context.pack(rows, 80)
 
 
+_KEPT = ("primary", "tests", "callers", "callees")
+_ACTIONS = f"""v AS (SELECT l_orderkey AS bundle, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) AS seq, CASE WHEN l_linenumber % 4 = 0 THEN 'release' ELSE 'reserve' END AS action, ['primary', 'tests', 'callers', 'callees'][l_partkey % 4 + 1] AS category, CAST(l_quantity AS BIGINT) AS tokens FROM lineitem)"""
+
+
+@query("A105_reservations", f"""WITH RECURSIVE {_ACTIONS}, r AS (SELECT DISTINCT bundle, CAST(0 AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS action, CAST(NULL AS VARCHAR) AS category, CAST(0 AS BIGINT) AS tokens, true AS accepted, CAST(0 AS BIGINT) AS used, {', '.join(f'CAST(0 AS BIGINT) AS h_{k}' for k in _KEPT)} FROM v
+UNION ALL SELECT bundle, seq, action, category, tokens, ok, CASE WHEN ok THEN total ELSE used END, {', '.join(f"CASE WHEN ok AND category = '{k}' THEN wanted ELSE h_{k} END" for k in _KEPT)}
+    FROM (SELECT *, used - had + wanted AS total, used - had + wanted <= 80 AS ok FROM (SELECT v.*, r.used, {', '.join(f'r.h_{k}' for k in _KEPT)}, CASE v.category {' '.join(f"WHEN '{k}' THEN r.h_{k}" for k in _KEPT)} END AS had, CASE WHEN v.action = 'reserve' THEN v.tokens ELSE 0 END AS wanted FROM r JOIN v ON v.bundle = r.bundle AND v.seq = r.seq + 1) x) y)
+SELECT bundle, seq, action, category, tokens, accepted, used FROM r WHERE seq > 0""")
+def _(spark, d):
+    li = read(spark, d, "lineitem")
+    category = F.element_at(F.array(*map(F.lit, _KEPT)), (F.col("l_partkey") % 4 + 1).cast("int"))
+    rows = li.select(F.col("l_orderkey").alias("bundle"), F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity")).cast("long").alias("seq"), F.when(F.col("l_linenumber") % 4 == 0, "release").otherwise("reserve").alias("action"), category.alias("category"), F.col("l_quantity").cast("long").alias("tokens"))
+    return context.reservations(rows, 80)
+
+
 @query("A106_one_per_role", f"WITH {_ITEMS} SELECT bundle, category, id FROM (SELECT *, row_number() OVER (PARTITION BY bundle, category ORDER BY base DESC, id) AS rn FROM i) x WHERE rn = 1")
 def _(spark, d):
     return context.one_per_role(_items(spark, d)).select("bundle", "category", "id")

@@ -6,9 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomery.functions import text as T
-from loomery.operators import cache, context, crdt, delta, fusion, ingest, migrate, search
+from loomery.operators import cache, context, crdt, delta, fusion, ingest, markdown, migrate, search, views
 from loomery.sources.durable import shared_folder
-from loomery.sources.tables import read, twin
+from loomery.sources.tables import DERIVED, read, twin
 from loomery.streaming import state
 
 from .catalog import query
@@ -82,11 +82,39 @@ def _(spark, d):
     return read(spark, d, "embeddings").filter(dim.isin(64, 768, 1024, 1536)).groupBy(dim.alias("dim")).agg(F.count("*").alias("n"))
 
 
-@query("A194_view_refresh", twin("SELECT dst AS id, count(DISTINCT src) AS in_degree FROM edges GROUP BY dst", "edges"))
+#: Batches of edges added and removed, some twice, some that aren't there.
+DERIVED["edge_changes"] = """SELECT 0 AS batch, src, dst, 1 AS sign FROM {edges} UNION ALL SELECT 1 AS batch, src, dst, -1 AS sign FROM {edges} WHERE src % 3 = 0 AND type = 'calls'
+    UNION ALL SELECT 1 AS batch, src, dst + 1 AS dst, 1 AS sign FROM {edges} WHERE src % 10 = 1 UNION ALL SELECT 2 AS batch, dst AS src, src AS dst, -1 AS sign FROM {edges} WHERE src % 2 = 0
+    UNION ALL SELECT 3 AS batch, src, dst, 1 AS sign FROM {edges} WHERE src % 6 = 0"""
+BATCHES = 4
+
+
+def upkept(spark, d) -> views.DegreeView:
+    """The view after all batches, compacted once on the way."""
+    view, changes = views.DegreeView(spark, f"{shared_folder(spark)}/view", buckets=4), read(spark, d, "edge_changes")
+    for n in range(BATCHES):
+        view = view.apply(changes.filter(F.col("batch") == n).drop("batch"), 1000 * n)
+        if n == 1:
+            view = view.compact(1500)
+    return views.DegreeView.open(spark, view.path, view.buckets)
+
+
+# a batch takes away no more of a pair than there is
+_UPKEPT = """k AS (SELECT batch, src, dst, sum(sign) AS d FROM edge_changes GROUP BY ALL), b AS (SELECT src, dst, sum(d) FILTER (batch = 0) AS b0, coalesce(sum(d) FILTER (batch = 1), 0) AS b1, coalesce(sum(d) FILTER (batch = 2), 0) AS b2, coalesce(sum(d) FILTER (batch = 3), 0) AS b3 FROM k GROUP BY src, dst),
+p AS (SELECT src, dst FROM b WHERE greatest(greatest(greatest(coalesce(b0, 0) + b1, 0) + b2, 0) + b3, 0) > 0)"""
+
+
+@query("A194_view_refresh", twin(f"WITH {_UPKEPT} SELECT coalesce(i.id, o.id) AS id, coalesce(n_in, 0) AS in_degree, coalesce(n_out, 0) AS out_degree FROM (SELECT dst AS id, count(*) AS n_in FROM p GROUP BY dst) i FULL JOIN (SELECT src AS id, count(*) AS n_out FROM p GROUP BY src) o ON i.id = o.id", "edges", "edge_changes"))
+def _(spark, d):
+    return upkept(spark, d).degrees()
+
+
+@query("A194_view_staleness", "SELECT event_type AS view, max(epoch_ms(ts) // 1000) AS last_refresh, m.now - max(epoch_ms(ts) // 1000) AS age, m.now - max(epoch_ms(ts) // 1000) > 3600 AS is_stale FROM events, (SELECT max(epoch_ms(ts) // 1000) AS now FROM events) m GROUP BY event_type, m.now")
 def _(spark, d):
-    where = f"{shared_folder(spark)}/view"
-    fusion.degrees(read(spark, d, "edges")).filter("in_degree > 0").select("id", "in_degree").write.mode("overwrite").parquet(where)
-    return spark.read.parquet(where)
+    # a refresh is an event of its type; now is the time of the newest
+    e = read(spark, d, "events").select(F.col("event_type").alias("view"), F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)").alias("at"))
+    now = e.agg(F.max("at").alias("_now"))
+    return views.staleness(e, "view", "at", F.lit(now.head()[0]), 3600)
 
 
 @query("A210_rechunk", r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents WHERE doc_id % 4 = 0),
@@ -99,7 +127,7 @@ def _(spark, d):
     old = read(spark, d, "documents").select(F.col("doc_id").alias("file_id"), F.lit(1).alias("start_line"), F.lit(1).alias("end_line"))
 
     def parse(some):
-        return ingest.markdown_sections(some, "file_id").select("file_id", F.col("start").cast("int").alias("start_line"), F.col("end").alias("end_line"))
+        return markdown.sections(some, "file_id").select("file_id", F.col("start").cast("int").alias("start_line"), F.col("end").alias("end_line"))
 
     after, stats = migrate.rechunk(old, files.filter("file_id % 4 = 0"), parse, shared_folder(spark))
     return after if not stats["rolled_back"] else after.filter("false")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomery.functions import text as T
-from loomery.operators import context, crdt, delta, evaluation, fusion, graph, ingest, search
+from loomery.operators import context, crdt, delta, evaluation, fusion, graph, ingest, markdown, search
 from loomery.sources import git
 
 
@@ -123,9 +123,9 @@ def test_upsert_keeps_old_where_asked(spark):
 def test_markdown(spark):
     text = "# A\nx\n## B\n```\n# no\n```\n## C\n# D"
     df = spark.createDataFrame([(1, text)], "id long, text string")
-    got = rows(ingest.markdown_sections(df, "id"), "start", "level", "title", "end", "path")
+    got = rows(markdown.sections(df, "id"), "start", "level", "title", "end", "path")
     assert got == [(1, 1, "A", 7, "A"), (3, 2, "B", 6, "A > B"), (7, 2, "C", 7, "A > C"), (8, 1, "D", 8, "D")]
-    assert rows(ingest.markdown_code(df, "id"), "start", "end") == [(4, 6)]
+    assert rows(markdown.fences(df, "id"), "start", "end") == [(4, 6)]
 
 
 def test_code_chunks(spark):
