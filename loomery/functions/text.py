@@ -102,6 +102,11 @@ def match_expression(query: str) -> str:
     return " OR ".join(f"{t}*" for t in query_terms(query))
 
 
+def match_of(query: Column) -> Column:
+    """``match_expression`` of a column of queries."""
+    return F.array_join(F.transform(F.regexp_extract_all(query, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), lambda t: F.concat(t, F.lit("*"))), " OR ")
+
+
 NO_WORD = r"[^\p{L}\p{N}]+"
 
 
@@ -217,6 +222,29 @@ def query_tokens(query: str) -> list[str]:
     return out
 
 
+def tokens_of(query: Column) -> Column:
+    """``query_tokens`` of a column of queries."""
+    # a single sign after a word or before none is passed over
+    pattern = r"::|->|=>|<-|!=|==|<=|>=|(?<![\p{L}\p{N}_.])[:\->=<!&|](?=[\p{L}\p{N}])|[\p{L}\p{N}_.]+"
+    found = F.transform(F.regexp_extract_all(query, F.lit(pattern), F.lit(0)), lambda t: F.lower(t))
+    return F.filter(found, lambda t: ~t.isin(*STOP_WORDS))
+
+
+def mode_of(query: Column) -> Column:
+    """``query_mode`` of a column of queries."""
+    n = F.size(F.regexp_extract_all(query, F.lit(r"\S+"), F.lit(0)))
+    code = (n == 1) | (query.contains("(") & query.contains(")"))
+    for o in OPERATORS:
+        code = code | query.contains(o)
+    name = query.contains("_") | (query.rlike(r"\p{Lu}") & query.rlike(r"\p{Ll}"))
+    return F.when(code | ((n == 2) & name), "code").when(n > 3, "text").otherwise("auto")
+
+
+def valid_of(query: Column) -> Column:
+    """``valid_query`` of a column of queries; null isn't valid."""
+    return F.coalesce((F.octet_length(query) <= 1000) & query.rlike(r"[\p{L}\p{N}]"), F.lit(False))
+
+
 def expansions(tokens: list[str]) -> list[str]:
     """Words that stand for the tokens, sorted: those of the token itself, and for one of more than four bytes also those of words that begin it or that it begins."""
     return sorted({s for t in tokens for k, v in SYNONYMS.items() if k == t or (len(t.encode()) > 4 and (t.startswith(k) or k.startswith(t))) for s in v})

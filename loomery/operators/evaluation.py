@@ -120,6 +120,13 @@ def sample_size(p1: float, p2: float, z_alpha: float = 1.96, z_beta: float = 0.8
     return math.ceil(top * top / (p1 - p2) ** 2)
 
 
+def sample_size_of(p1: Column, p2: Column, z_alpha: float = 1.96, z_beta: float = 0.8416) -> Column:
+    """``sample_size`` of columns; null where both are equal."""
+    mean = (p1 + p2) / 2
+    top = z_alpha * F.sqrt(2 * mean * (1 - mean)) + z_beta * F.sqrt(p1 * (1 - p1) + p2 * (1 - p2))
+    return F.when(p1 != p2, F.ceil(top * top / F.pow(p1 - p2, F.lit(2)))).cast("long")
+
+
 def cohens_d(m1: Column, v1: Column, n1: Column, m2: Column, v2: Column, n2: Column) -> Column:
     pooled = F.sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2))
     return F.when(pooled > 0, (m1 - m2) / pooled).otherwise(0.0)
@@ -155,8 +162,9 @@ def time_buckets(df: DataFrame, ts: str, hours: int, *aggs: Column) -> DataFrame
 
 
 def split_bucket(experiment: str, user: Column, query: Column, seed: int = 0) -> Column:
-    """0 to 99, the same for the same experiment, user and query."""
-    return F.pmod(F.xxhash64(F.concat_ws(":", F.lit(experiment), user, query), F.lit(seed)), F.lit(100))
+    """0 to 99, the same for the same experiment, user and query: 32 bits of their SHA-256."""
+    text = F.concat_ws(":", F.lit(experiment), user, query, F.lit(str(seed)))
+    return (F.conv(F.left(F.sha2(text, 256), F.lit(8)), 16, 10).cast("long") % 100).cast("long")
 
 
 def compare_results(old: DataFrame, new: DataFrame, query: str = "query_id") -> DataFrame:

@@ -41,6 +41,19 @@ def override_graph(weights: Mapping[str, float], graph: float) -> dict[str, floa
     return {k: graph if k == "graph" else w * (1 - graph) / rest for k, w in weights.items()}
 
 
+def scaled_weights(requests: DataFrame, sources: Sequence[str], graph: float | None = None) -> DataFrame:
+    """``requests`` with ``valid`` and the weights of ``sources`` scaled to a sum of one, the graph's set to ``graph`` if given; those of a refused request are null."""
+    total = sum((F.col(c) for c in sources[1:]), F.col(sources[0]))
+    least = F.least(*(F.col(c) for c in sources))
+    rest = sum((F.col(c) for c in sources if c != "graph"), F.lit(0.0))
+    valid = (least >= 0) & (total > 0) & (F.lit(graph is None) | (rest > 0))
+    out = {}
+    for c in sources:
+        share = F.col(c) / total if graph is None else F.lit(graph) if c == "graph" else F.col(c) * (1 - graph) / rest
+        out[c] = F.when(valid, share)
+    return requests.withColumns({**out, "valid": F.coalesce(valid, F.lit(False))})
+
+
 def rrf_weighted(fts: DataFrame, vector: DataFrame, w_fts: float = 0.3, w_vec: float = 0.7, k: int = 60) -> DataFrame:
     """(id, score, source) from two rankings (id, rank from 0): sum of w / (k + rank)."""
     a = fts.select(F.col("id").alias("ia"), F.col("rank").alias("ra"))

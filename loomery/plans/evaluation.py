@@ -118,10 +118,15 @@ def _(spark, d):
     return s.select("event_type", *(F.round(x, 6).alias(k) for k, x in (("p_low", low), ("p_high", high), ("m_low", m_low), ("m_high", m_high))))
 
 
-@query("C12_sample_size", "SELECT p1, p2, CAST(ceil(pow(1.96 * sqrt((p1 + p2) * (1 - (p1 + p2) / 2)) + 0.8416 * sqrt(p1 * (1 - p1) + p2 * (1 - p2)), 2) / pow(p1 - p2, 2)) AS BIGINT) AS n FROM (VALUES (0.1::DOUBLE, 0.12::DOUBLE), (0.2::DOUBLE, 0.25::DOUBLE)) t(p1, p2)")
+# shares of clicks and of purchases among a user's events; those that are equal tell nothing apart
+_SHARES = "s AS (SELECT user_id, count(*) AS n, count(*) FILTER (event_type = 'click') AS c, count(*) FILTER (event_type = 'purchase') AS p FROM events GROUP BY user_id), q AS (SELECT user_id, c / n::DOUBLE AS p1, p / n::DOUBLE AS p2 FROM s)"
+
+
+@query("C12_sample_size", f"WITH {_SHARES} SELECT user_id, CASE WHEN p1 <> p2 THEN CAST(ceil(pow(1.96::DOUBLE * sqrt(2 * ((p1 + p2) / 2) * (1 - (p1 + p2) / 2)) + 0.8416::DOUBLE * sqrt(p1 * (1 - p1) + p2 * (1 - p2)), 2) / pow(p1 - p2, 2)) AS BIGINT) END AS n FROM q")
 def _(spark, d):
-    pairs = [(0.1, 0.12), (0.2, 0.25)]
-    return spark.createDataFrame([(a, b, E.sample_size(a, b)) for a, b in pairs], "p1 double, p2 double, n long")
+    rate = [F.count_if(F.col("event_type") == k) / F.count("*") for k in ("click", "purchase")]
+    shares = read(spark, d, "events").groupBy("user_id").agg(rate[0].alias("p1"), rate[1].alias("p2"))
+    return shares.select("user_id", E.sample_size_of(F.col("p1"), F.col("p2")).alias("n"))
 
 
 _COHEN = "(m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2))"
@@ -195,7 +200,7 @@ def _(spark, d):
     return E.leaderboard(top, "g", "best", "user_id", 8).select("user_id", "best", (F.col("place") <= 2).alias("elite"))
 
 
-@query("C50_traffic_split")
+@query("C50_traffic_split", "SELECT event_id, b AS bucket, b < 20 AS treated FROM (SELECT event_id, CAST('0x' || left(sha256('exp:' || user_id || ':' || event_type || ':0'), 8) AS BIGINT) % 100 AS b FROM events) x")
 def _(spark, d):
     e = read(spark, d, "events").select("event_id", E.split_bucket("exp", F.col("user_id").cast("string"), F.col("event_type")).alias("bucket"))
     return e.withColumn("treated", F.col("bucket") < 20)

@@ -6,13 +6,14 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomery.functions import text as T
-from loomery.operators import context, crdt, ingest, markdown
+from loomery.operators import context, crdt, ingest, markdown, runs
 from loomery.sources import git, sinks
 from loomery.sources.durable import shared_folder
 from loomery.sources.tables import read, twin
 from loomery.streaming import state
 
 from .catalog import query
+from .propertygraph import _HAM
 
 
 _NAMED = ("a.ts", "b.tsx", "c.js", "d.jsx", "e.rs", "f.py", "g.go", "h.rb", "i.rake", "j.c", "k.cs", "l.java", "m.cpp", "n.cxx", "o.cc", "p.c++", "q.hpp", "r.hxx", "s.h", "t.md", "u.mdx", "v.json", "w.yaml", "x.yml", "y.toml", "go.mod", "Gemfile", "Rakefile", "z.mjs", "z.html", "noext")
@@ -245,6 +246,34 @@ def _items(spark, d):
     return li.select(F.col("l_orderkey").alias("bundle"), (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_quantity").cast("long").alias("tokens"), category.alias("category"), F.col("l_extendedprice").alias("base"), F.col("l_linenumber").cast("long").alias("seq"))
 
 
+# texts by address in batches of 40; the first run may cost what 30,000 tokens do, the second what 90,000 do, the third anything
+_RUNS = """t AS (SELECT DISTINCT sha256(text) AS blob, CAST(ceil(strlen(text) / 4.0) AS BIGINT) AS tokens FROM documents),
+r1 AS (SELECT blob, tokens, (row_number() OVER (ORDER BY blob) - 1) // 40 AS batch, sum(tokens) OVER (ORDER BY blob) AS upto FROM t), e1 AS (SELECT batch, max(upto) AS upto FROM r1 GROUP BY batch), d1 AS (SELECT coalesce(max(batch) FILTER (upto <= 30000), -1) AS last FROM e1),
+r2 AS (SELECT blob, tokens, (row_number() OVER (ORDER BY blob) - 1) // 40 AS batch, sum(tokens) OVER (ORDER BY blob) AS upto FROM r1, d1 WHERE batch > last), e2 AS (SELECT batch, max(upto) AS upto FROM r2 GROUP BY batch), d2 AS (SELECT coalesce(max(batch) FILTER (upto <= 90000), -1) AS last FROM e2),
+r3 AS (SELECT blob, tokens, (row_number() OVER (ORDER BY blob) - 1) // 40 AS batch FROM r2, d2 WHERE batch > last)"""
+
+
+def _runs(spark, d):
+    store = runs.EmbeddingRuns(spark, f"{shared_folder(spark)}/runs", 16, batch=40)
+    texts = read(spark, d, "documents").select("text")
+    for tokens in (30_000, 90_000, None):
+        store.run(texts, ingest.hash_provider(16), None if tokens is None else (tokens + 0.5) * store.price / 1000)
+    return store
+
+
+@query("A22_embedding_runs", f"""WITH {_RUNS}, a AS (SELECT CAST(0 AS BIGINT) AS run, (SELECT count(*) FROM r1) AS total, count(*) FILTER (batch <= last) AS completed, last + 1 AS batches, coalesce(sum(tokens) FILTER (batch <= last), 0) AS tokens FROM r1, d1 GROUP BY last
+UNION ALL SELECT 1, (SELECT count(*) FROM r2), count(*) FILTER (batch <= last), last + 1, coalesce(sum(tokens) FILTER (batch <= last), 0) FROM r2, d2 GROUP BY last UNION ALL SELECT 2, count(*), count(*), max(batch) + 1, sum(tokens) FROM r3 HAVING count(*) > 0)
+SELECT run, CASE WHEN completed < total THEN 'stopped' ELSE 'completed' END AS status, total, completed, CAST(batches AS BIGINT) AS batches, CAST(tokens AS BIGINT) AS tokens, round(tokens * 0.00013::DOUBLE / 1000, 9) AS cost FROM a""")
+def _(spark, d):
+    return _runs(spark, d).ledger().select("run", "status", "total", "completed", "batches", "tokens", F.round("cost", 9).alias("cost"))
+
+
+@query("A22_embedded_once", "SELECT sha256(text) AS blob, CAST(1 AS BIGINT) AS n, CAST(16 AS INTEGER) AS dim FROM documents GROUP BY text")
+def _(spark, d):
+    # after a stop and two more runs each text has one vector
+    return _runs(spark, d).vectors().groupBy("blob").agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dim"))
+
+
 @query("A103_priority_order", f"WITH {_ITEMS} SELECT bundle, id, place FROM p")
 def _(spark, d):
     return context.prioritised(_items(spark, d).withColumn("seq", F.struct("seq", "id"))).select("bundle", "id", "place")
@@ -351,7 +380,7 @@ def _(spark, d):
     return spark.read.parquet(f"{where}/out").agg(F.count("*").alias("n"))
 
 
-@query("B02_sorted_store")
+@query("B02_sorted_store", twin(f"WITH {_HAM} SELECT soul || chr(27) || key AS k, canon AS v, state FROM m WHERE soul LIKE '1%'", "cells"))
 def _(spark, d):
     where = shared_folder(spark)
     k = crdt.storage_key(F.col("soul"), F.col("key"))

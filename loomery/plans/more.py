@@ -14,28 +14,52 @@ from loomery.streaming import state
 from .catalog import query
 from .ingestion import marked
 
-ASKED = ["validateUser", "user_id lookup", "how does the parser work", "a::b", "the of", "find open files now"]
+#: A query for each document: from the first two words of three small letters or more, in six forms.
+_FORMS = ("{0}", "{0}::{1}", "how {0} the {1}", "{0}_{1} {1}", "{0} {1}", " ! ")
+_WORDS = "w AS (SELECT doc_id, doc_id % 6 AS form, coalesce(nullif(regexp_extract_all(text, '[a-z]{3,}')[1], ''), 'none') AS a, coalesce(nullif(regexp_extract_all(text, '[a-z]{3,}')[2], ''), 'none') AS b FROM documents), s AS (SELECT doc_id, form, a, b, CASE form " + " ".join(
+    f"WHEN {k} THEN " + " || ".join(f"'{x}'" if x not in ("0", "1") else "ab"[int(x)] for x in f.replace("{", "|").replace("}", "|").split("|") if x) for k, f in enumerate(_FORMS)) + " END AS query FROM w)"
+_STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 
 
-@query("A120_match_expression", "SELECT * FROM (VALUES ('a::b', 'a* OR b*'), ('find open files now', 'find* OR open* OR files* OR now*'), ('how does the parser work', 'how* OR does* OR the* OR parser* OR work*'), ('the of', 'the* OR of*'), ('user_id lookup', 'user_id* OR lookup*'), ('validateUser', 'validateUser*')) t(query, match)")
+def _asked(spark, d):
+    words = F.regexp_extract_all("text", F.lit("[a-z]{3,}"), F.lit(0))
+    a, b = (F.coalesce(F.get(words, F.lit(k)), F.lit("none")) for k in (0, 1))
+    form = F.lit(None)
+    for k, f in enumerate(_FORMS):
+        parts = [a if x == "0" else b if x == "1" else F.lit(x) for x in f.replace("{", "|").replace("}", "|").split("|") if x]
+        form = F.when(F.col("doc_id") % 6 == k, F.concat(*parts)).otherwise(form)
+    return read(spark, d, "documents").select("doc_id", form.alias("query"))
+
+
+@query("A120_match_expression", f"WITH {_WORDS} SELECT doc_id, CASE form WHEN 0 THEN a || '*' WHEN 1 THEN a || '* OR ' || b || '*' WHEN 2 THEN 'how* OR ' || a || '* OR the* OR ' || b || '*' WHEN 3 THEN a || '_' || b || '* OR ' || b || '*' WHEN 4 THEN a || '* OR ' || b || '*' ELSE '' END AS match FROM s")
 def _(spark, d):
-    return spark.createDataFrame([(q, T.match_expression(q)) for q in ASKED], "query string, match string")
+    return _asked(spark, d).select("doc_id", T.match_of(F.col("query")).alias("match"))
 
 
-@query("A144_A148_tokens", "SELECT * FROM (VALUES ('a::b', ':: & b'), ('find open files now', 'find & open & files & now'), ('how does the parser work', 'how & does & parser & work'), ('the of', ''), ('user_id lookup', 'user_id & lookup'), ('validateUser', 'validateuser')) t(query, tsquery)")
+@query("A144_A148_tokens", f"WITH {_WORDS}, t AS (SELECT doc_id, CASE form WHEN 0 THEN [a] WHEN 1 THEN [a, '::', b] WHEN 2 THEN ['how', a, 'the', b] WHEN 3 THEN [a || '_' || b, b] WHEN 4 THEN [a, b] ELSE [] END AS t FROM s) SELECT doc_id, array_to_string(list_filter(t, lambda x: x NOT IN ({_STOP})), ' & ') AS tsquery FROM t")
 def _(spark, d):
-    return spark.createDataFrame([(q, T.tsquery(T.query_tokens(q))) for q in ASKED], "query string, tsquery string")
+    return _asked(spark, d).select("doc_id", F.array_join(T.tokens_of(F.col("query")), " & ").alias("tsquery"))
 
 
-@query("A146_A147_mode", "SELECT * FROM (VALUES ('a::b', 'code', true), ('find open files now', 'text', true), ('how does the parser work', 'text', true), ('the of', 'auto', true), ('user_id lookup', 'code', true), ('validateUser', 'code', true)) t(query, mode, valid)")
+@query("A146_A147_mode", f"WITH {_WORDS} SELECT doc_id, ['code', 'code', 'text', 'code', 'auto', 'code'][form + 1] AS mode, form < 5 AS valid FROM s")
 def _(spark, d):
-    return spark.createDataFrame([(q, T.query_mode(q), T.valid_query(q)) for q in ASKED], "query string, mode string, valid boolean")
+    return _asked(spark, d).select("doc_id", T.mode_of(F.col("query")).alias("mode"), T.valid_of(F.col("query")).alias("valid"))
+
+
+_REQUESTS = "r AS (SELECT p_partkey AS id, CAST(p_partkey % 5 AS DOUBLE) AS fts, CAST(p_partkey % 3 AS DOUBLE) AS vector, CAST(p_partkey % 2 AS DOUBLE) AS graph, CAST(p_partkey % 7 - 1 AS DOUBLE) AS signals FROM part)"
 
 
-@query("A138_weights", "SELECT * FROM (VALUES ('fts', 0.355556::DOUBLE), ('graph', 0.2::DOUBLE), ('signals', 0.133333::DOUBLE), ('vector', 0.311111::DOUBLE)) t(source, weight)")
+@query("A138_weights", f"""WITH {_REQUESTS}, v AS (SELECT *, least(fts, vector, graph, signals) >= 0 AND fts + vector + graph + signals > 0 AND fts + vector + signals > 0 AS valid FROM r)
+SELECT id, valid, {', '.join(f"CASE WHEN valid THEN round({c} / (fts + vector + graph + signals), 6) END AS {c}, CASE WHEN valid THEN round({'0.2::DOUBLE' if c == 'graph' else f'{c} * 0.8::DOUBLE / (fts + vector + signals)'}, 6) END AS {c}_set" for c in ('fts', 'vector', 'graph', 'signals'))} FROM v""")
 def _(spark, d):
-    w = fusion.override_graph(fusion.check_weights(fusion.WEIGHTS), 0.2)
-    return spark.createDataFrame([(k, round(v, 6)) for k, v in w.items()], "source string, weight double")
+    sources = ("fts", "vector", "graph", "signals")
+    k = F.col("p_partkey")
+    rows = read(spark, d, "part").select(k.alias("id"), *((v).cast("double").alias(c) for c, v in zip(sources, (k % 5, k % 3, k % 2, k % 7 - 1))))
+    # a request that leaves nothing beside the graph can't be overridden
+    rows = rows.withColumns({c: F.when(F.col("fts") + F.col("vector") + F.col("signals") > 0, F.col(c)) for c in sources})
+    plain = fusion.scaled_weights(rows, sources).select("id", "valid", *(F.round(c, 6).alias(c) for c in sources))
+    over = fusion.scaled_weights(rows, sources, 0.2).select("id", *(F.round(c, 6).alias(f"{c}_set") for c in sources))
+    return plain.join(over, "id")
 
 
 @query("A43_hash_fetch", twin("SELECT c.id, c.blob_sha FROM chunks c WHERE c.id IN (SELECT vec_id FROM embeddings)", "chunks"))
@@ -213,7 +237,7 @@ def _(spark, d):
     return read(spark, d, "cells").filter(~signed).select("soul", "key").distinct()
 
 
-@query("B85_time_ids")
+@query("B85_time_ids", "SELECT event_id, array_to_string(list_transform(range(7, -1, -1), lambda i: substr('0123456789abcdefghijklmnopqrstuvwxyz', CAST((CAST(floor(epoch(ts)) AS BIGINT) * 1000 // CAST(pow(36, i) AS BIGINT)) % 36 + 1 AS BIGINT), 1)), '') || left(sha256(CAST(event_id AS VARCHAR)), 12) AS uuid FROM events")
 def _(spark, d):
     ms = (F.unix_timestamp(F.col("ts").cast("timestamp")) * 1000).cast("string")
     return read(spark, d, "events").select("event_id", F.concat(F.lower(F.conv(ms, 10, 36)), F.left(F.sha2(F.col("event_id").cast("string"), 256), F.lit(12))).alias("uuid"))

@@ -122,7 +122,9 @@ def _(spark, d):
     return _merged(spark, d).filter("vtype = 'link'").groupBy("soul").agg(F.count("*").alias("members"))
 
 
-@query("B60_documents")
+@query("B60_documents", twin(f"""WITH {_HAM}, d AS (SELECT soul, '{{' || string_agg('"' || key || '":' || canon, ',' ORDER BY '"' || key || '":' || canon) || '}}' AS document FROM m WHERE vtype <> 'null' GROUP BY soul),
+v AS (SELECT m.soul, '"' || m.key || '":' || CASE WHEN m.v_link IS NOT NULL AND m.v_link <> m.soul AND d.document IS NOT NULL THEN d.document ELSE canon END AS part FROM m LEFT JOIN d ON d.soul = m.v_link WHERE m.vtype <> 'null')
+SELECT soul, '{{' || string_agg(part, ',' ORDER BY part) || '}}' AS document FROM v GROUP BY soul""", "cells"))
 def _(spark, d):
     cells = _merged(spark, d)
     return crdt.documents(cells, cells.select("soul").distinct(), 2)

@@ -1,13 +1,14 @@
 """Ignore rules, source scans, data sources, views that are kept up, reservations."""
 
 import fnmatch
+import hashlib
 import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from loomery.operators import context, ignores, ingest, views
+from loomery.operators import context, ignores, ingest, runs, views
 from loomery.sources import store
 from loomery.streaming import state
 
@@ -155,3 +156,33 @@ def test_reservations(spark):
     got = [(r["accepted"], r["used"]) for r in context.reservations(df, 1000).orderBy("bundle", "seq").collect()]
     assert got == [(True, 400), (True, 700), (False, 700), (True, 900), (False, 900), (True, 600), (True, 600), (True, 1000), (True, 1000), (False, 0)]
     assert re.match("bundle", context.reservations(df.limit(0), 5).columns[0]) and context.reservations(df.limit(0), 5).count() == 0
+
+
+def test_a_stopped_run_goes_on(spark, tmp_path):
+    """Stopped and continued equals run through; costs are those of the batches that ran; nothing runs twice."""
+    texts = spark.createDataFrame([("x" * (4 * k),) for k in range(1, 31)] + [("x" * 8,), (None,)], "text string")
+    one = runs.EmbeddingRuns(spark, str(tmp_path / "one"), 4, batch=7, price=1.0)
+    one.run(texts, ingest.hash_provider(4))
+    two = runs.EmbeddingRuns(spark, str(tmp_path / "two"), 4, batch=7, price=1.0)
+    asked = []
+    for ceiling in (0.0001, 0.15, 0.15, None, None):
+        asked += [tuple(r)[3:8] for r in two.run(texts, ingest.hash_provider(4), ceiling).collect()]
+    order = sorted((hashlib.sha256(t.encode()).hexdigest(), len(t) // 4) for t in {"x" * (4 * k) for k in range(31)})
+    left, want = [n for _, n in order], []
+    for ceiling in (0.0001, 0.15, 0.15, 1e9):
+        cuts = [left[k : k + 7] for k in range(0, len(left), 7)]
+        ran = [c for k, c in enumerate(cuts) if sum(map(sum, cuts[: k + 1])) / 1000 <= ceiling]
+        n = sum(map(len, ran))
+        want.append(("completed" if n == len(left) else "stopped", len(left), n, len(ran), sum(map(sum, ran))))
+        left = left[n:]
+    assert asked == want and not left
+    first, second = (sorted(map(str, s.vectors().collect())) for s in (one, two))
+    assert first == second and len(first) == 31
+
+    def fails(batch):
+        raise RuntimeError("no provider")
+
+    more = texts.union(spark.createDataFrame([("new",)], "text string"))
+    with pytest.raises(Exception):
+        two.run(more, fails)
+    assert two.ledger().count() == 4 and two.run(more, ingest.hash_provider(4)).head()["completed"] == 1
