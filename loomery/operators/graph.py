@@ -16,20 +16,41 @@ HARD_DEPTH, DECAY = 10, 0.7
 def paths(edges: DataFrame, seeds: DataFrame, types: Sequence[str], depth: int = 3, reverse: bool = False, id_col: str = "id") -> DataFrame:
     """(seed, id, depth, path) of all walks from each seed that repeat no node after their first step, one row per walk.
 
-    One equi-join a step; the seed itself may come back at depth two or later, as a walk is checked from its first
-    neighbour on.  ``reverse``: against the edges.
+    One equi-join a step, on the walks of the step before as they were written; the seed itself may come back at depth two
+    or later, as a walk is checked from its first neighbour on.  ``reverse``: against the edges.  Where walks aren't asked
+    for, ``depths`` has each node once.
     """
     depth = min(depth, HARD_DEPTH)
-    near, far = ("dst", "src") if reverse else ("src", "dst")
-    e = edges.filter(F.col("type").isin(*types)).select(F.col(near).alias("_from"), F.col(far).alias("_to")).distinct()
+    e = _steps(edges, types, reverse)
     now = seeds.select(F.col(id_col).alias("seed")).distinct().join(e, F.col("seed") == F.col("_from")).select("seed", F.col("_to").alias("id"), F.lit(1).alias("depth"), F.array("_to").alias("path"))
-    out = now
+    out = now = cut(now) if depth > 1 else now
     for k in range(2, depth + 1):
         now = now.join(e, F.col("id") == F.col("_from")).filter(~F.array_contains("path", F.col("_to"))).select("seed", F.col("_to").alias("id"), F.lit(k).alias("depth"), F.concat("path", F.array("_to")).alias("path"))
+        now = cut(now) if k < depth else now
         out = out.unionByName(now)
     return out
 
 
+def _steps(edges: DataFrame, types: Sequence[str], reverse: bool) -> DataFrame:
+    near, far = ("dst", "src") if reverse else ("src", "dst")
+    return edges.filter(F.col("type").isin(*types)).select(F.col(near).alias("_from"), F.col(far).alias("_to")).distinct()
+
+
+def depths(edges: DataFrame, seeds: DataFrame, types: Sequence[str], depth: int = 3, reverse: bool = False, id_col: str = "id") -> DataFrame:
+    """(seed, id, depth): every node on a walk of at most ``depth`` steps, with its least depth; the seed itself if a walk comes back to it.
+
+    A frontier of pairs not known before: a node is followed once for each seed, however many walks lead to it.
+    """
+    e = _steps(edges, types, reverse)
+    first = seeds.select(F.col(id_col).alias("seed")).distinct().join(e, F.col("seed") == F.col("_from")).select("seed", F.col("_to").alias("id"), F.lit(1).alias("depth"))
+    known = frontier = cut(first)
+    for k in range(2, min(depth, HARD_DEPTH) + 1):
+        step = frontier.join(e, F.col("id") == F.col("_from")).select("seed", F.col("_to").alias("id")).distinct()
+        frontier = cut(step.join(known, ["seed", "id"], "left_anti").withColumn("depth", F.lit(k)))
+        known = known.unionByName(frontier)
+    return known
+
+
 def paths_recursive(spark, edges: DataFrame, seed: int, type_: str, depth: int = 3) -> DataFrame:
     """The same for one seed and type as a recursive common table expression."""
     return spark.sql(
@@ -47,11 +68,6 @@ def paths_recursive(spark, edges: DataFrame, seed: int, type_: str, depth: int =
     )
 
 
-def shortest(walks: DataFrame) -> DataFrame:
-    """(seed, id, depth): the least depth of each node."""
-    return walks.groupBy("seed", "id").agg(F.min("depth").alias("depth"))
-
-
 def direct(edges: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:
     """(id, neighbour, type, direction) of depth one, all types."""
     own = ids.select(F.col(id_col).alias("id")).distinct()
@@ -62,9 +78,9 @@ def direct(edges: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:
 
 def related(edges: DataFrame, seeds: DataFrame, types: Sequence[str], depth: int = 2) -> DataFrame:
     """(seed, id, relevance, direction): .7 to the power of the least depth, both ways.  Two equi-joins a step, no OR-join."""
-    out = paths(edges, seeds, types, depth).withColumn("direction", F.lit("out"))
-    back = paths(edges, seeds, types, depth, reverse=True).withColumn("direction", F.lit("in"))
-    return out.unionByName(back).groupBy("seed", "id", "direction").agg(F.pow(F.lit(DECAY), F.min("depth")).alias("relevance"))
+    out = depths(edges, seeds, types, depth).withColumn("direction", F.lit("out"))
+    back = depths(edges, seeds, types, depth, reverse=True).withColumn("direction", F.lit("in"))
+    return out.unionByName(back).select("seed", "id", "direction", F.pow(F.lit(DECAY), F.col("depth")).alias("relevance"))
 
 
 def expand_related(walks: DataFrame, kind_weight: Column, same_dir: Column, k: int = 5) -> DataFrame:

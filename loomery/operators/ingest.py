@@ -26,6 +26,43 @@ def keys(files: DataFrame, id_col: str, pattern: str, kind: str, text_col: str =
 
 # fixed values: how a top-level key starts
 YAML_KEY, TOML_SECTION, TOML_KEY, JSON_KEY = r"^([A-Za-z_][\w.-]*)\s*:", r"^\[+([^\]]+)\]+\s*$", r"^([A-Za-z_][\w-]*)\s*=", r'^\s{2}"([^"]+)"\s*:'
+# fixed values: keys for which a small JSON file is cut up all the same, and how many keys make one that isn't small
+JSON_ALWAYS, JSON_FEW = ("scripts", "dependencies", "devDependencies", "config", "exports"), 3
+
+
+def data_keys(files: DataFrame, id_col: str, text_col: str = "text", language_col: str = "language") -> DataFrame:
+    """(id, kind, key, start, end) of top-level keys and sections of JSON, YAML and TOML files, from lines and their depth.
+
+    A JSON key counts where it begins a line; a TOML file without sections is cut by its keys; a JSON object of few keys, or
+    what isn't one, is a module chunk of up to 40 lines, and so is any file without keys.
+    """
+    string = r'"[^"\\]*(?:\\.[^"\\]*)*"'
+    named = files.select(F.col(id_col).alias("_i"), F.col(language_col).alias("_l"), F.coalesce(text_col, F.lit("")).alias("_t"))
+    rows = named.select("_i", "_l", F.posexplode(F.split("_t", "\n")).alias("_p", "line")).withColumn("n", F.col("_p") + 1)
+    bare = F.regexp_replace("line", string, "")
+    net = F.length(F.regexp_replace(bare, r"[^\[{]", "")) - F.length(F.regexp_replace(bare, r"[^\]}]", ""))
+    w, whole = Window.partitionBy("_i").orderBy("n"), Window.partitionBy("_i")
+    rows = rows.withColumn("_after", F.sum(net).over(w)).withColumn("_before", F.col("_after") - net)
+    opened = F.first(F.when(F.trim("line") != "", F.trim("line").startswith("{")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    rows = rows.withColumns({"_last": F.max("n").over(whole), "_inner": F.max(F.when(F.col("_after") >= 1, F.col("n"))).over(whole), "_object": F.coalesce(opened, F.lit(False)) & (F.max_by("_after", "n").over(whole) == 0)})
+    json_, yaml, section, key = rf"^\s*({string})\s*:", r"^([^\s#:][^:]*):", r"^\s*\[+\s*([^\]]*?)\s*\]+", r"^\s*([^\s#=][^=]*?)\s*="
+    has = F.max((F.col("_l") == "toml") & F.col("line").rlike(section)).over(whole)
+    found = (
+        F.when((F.col("_l") == "json") & F.col("_object") & (F.col("_before") == 1) & F.col("line").rlike(json_), F.struct(F.lit("json_key").alias("kind"), F.expr("substring(k, 2, length(k) - 2)").alias("key")))
+        .when((F.col("_l") == "yaml") & F.col("line").rlike(yaml), F.struct(F.lit("yaml_key").alias("kind"), F.trim("y").alias("key")))
+        .when((F.col("_l") == "toml") & (F.regexp_extract("line", section, 1) != ""), F.struct(F.lit("toml_section").alias("kind"), F.regexp_extract("line", section, 1).alias("key")))
+        .when((F.col("_l") == "toml") & ~F.col("_has") & F.col("line").rlike(key), F.struct(F.lit("toml_key").alias("kind"), F.regexp_extract("line", key, 1).alias("key")))
+    )
+    starts = rows.withColumns({"k": F.regexp_extract("line", json_, 1), "y": F.regexp_extract("line", yaml, 1), "_has": F.coalesce(has, F.lit(False))}).withColumn("_f", found).filter("_f IS NOT NULL")
+    few = (F.col("_l") == "json") & (F.count("*").over(whole) <= JSON_FEW) & ~F.max(F.col("_f.key").isin(*JSON_ALWAYS)).over(whole)
+    end = F.coalesce(F.lead("n").over(w) - 1, F.when(F.col("_l") == "json", F.col("_inner")).otherwise(F.col("_last")))
+    kept = starts.withColumns({"_few": few, "_end": F.when(F.col("_f.kind") == "toml_key", F.col("n")).otherwise(F.greatest("n", end))}).filter("NOT _few")
+    out = kept.select(F.col("_i").alias(id_col), "_f.kind", "_f.key", F.col("n").alias("start"), F.col("_end").alias("end"))
+    rest = named.join(out.select(F.col(id_col).alias("_i")).distinct(), "_i", "left_anti")
+    module = rest.select(F.col("_i").alias(id_col), F.lit("module").alias("kind"), F.lit(None).cast("string").alias("key"), F.lit(1).alias("start"), F.least(F.lit(40), F.size(F.split("_t", "\n"))).alias("end"))
+    return out.unionByName(module)
+
+
 # fixed values: definitions by language: (kind, pattern of a line; group 1 is the name)
 DEFINITIONS = {
     "rs": (("func", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+)?(?:unsafe\s+)?fn\s+(\w+)"), ("class", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:struct|enum|trait)\s+(\w+)"), ("module", r"^\s*(?:pub\s+)?mod\s+(\w+)"), ("constant", r"^\s*(?:pub\s+)?(?:const|static)\s+(\w+)")),

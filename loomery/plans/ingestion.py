@@ -108,6 +108,27 @@ def _(spark, d):
     return ingest.keys(y, "doc_id", ingest.YAML_KEY, "yaml_key")
 
 
+_DATA = {
+    0: ("json", '{\n  "name": "n@ { } \\" ,",\n  "scripts": {\n    "a": [1, {"b": 2}]\n  },\n  "x": [\n    1\n  ]\n}'),
+    1: ("json", '{\n  "a": 1,\n  "b": {\n  }\n}'),
+    2: ("toml", 'top = 1\n[package]\nname = "@"\n# [no]\n[[bin]]\npath = "x"'),
+    3: ("toml", 'a = 1\n# b = 2\nc.d = "@"'),
+    4: ("yaml", '# top: no\nlang: @\nbody:\n  - x: 1\n\n"q r": 2'),
+    5: ("json", '{ "a": @'),
+}
+
+
+@query("A07_data_formats", """SELECT doc_id, kind, key, start, "end" FROM documents JOIN (VALUES (0, 'json_key', 'name', 2, 2), (0, 'json_key', 'scripts', 3, 5), (0, 'json_key', 'x', 6, 8), (1, 'module', NULL, 1, 5), (2, 'toml_section', 'package', 2, 4), (2, 'toml_section', 'bin', 5, 6),
+    (3, 'toml_key', 'a', 1, 1), (3, 'toml_key', 'c.d', 3, 3), (4, 'yaml_key', 'lang', 2, 2), (4, 'yaml_key', 'body', 3, 5), (4, 'yaml_key', '"q r"', 6, 6), (5, 'module', NULL, 1, 1)) t(form, kind, key, start, "end") ON doc_id % 6 = form""")
+def _(spark, d):
+    form = (F.col("doc_id") % 6).cast("int")
+    text, language = F.lit(None), F.lit(None)
+    for k, (lang, t) in _DATA.items():
+        text, language = F.when(form == k, t).otherwise(text), F.when(form == k, lang).otherwise(language)
+    files = read(spark, d, "documents").select("doc_id", language.alias("language"), F.replace(text, F.lit("@"), F.col("doc_id").cast("string")).alias("text"))
+    return ingest.data_keys(files, "doc_id")
+
+
 @query("A04_A08_code_chunks", """SELECT doc_id, kind, replace(symbol_name, '?', CAST(doc_id AS VARCHAR)) AS symbol_name, start_line, end_line, replace(signature, '?', CAST(doc_id AS VARCHAR)) AS signature, docstring, metadata FROM documents CROSS JOIN
     (VALUES ('imports', NULL, 1, 1, 'import os', NULL, 'os'), ('class', 'C?', 3, 7, 'class C?', 'Doc.', NULL), ('method', 'run', 6, 7, 'def run(self, x)', NULL, NULL), ('async_func', 'go', 10, 11, 'async def go()', NULL, NULL))
     t(kind, symbol_name, start_line, end_line, signature, docstring, metadata)""")

@@ -501,7 +501,7 @@ _RELATED = "CASE c.kind WHEN 'func' THEN 2.5 WHEN 'class' THEN 2.0 WHEN 'method'
 @query("A142_expand_related", twin(f"SELECT seed, id, round(relevance, 6) AS relevance FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY relevance DESC, id) AS rn FROM (SELECT w.seed, w.id, pow(0.7, w.depth) * ({_RELATED})::DOUBLE * CASE WHEN s.source = c.source THEN 1.2::DOUBLE ELSE 1.0::DOUBLE END AS relevance FROM (SELECT seed, id, min(depth) AS depth FROM ({_walk(chr(39) + 'calls' + chr(39), False, 2)}) x GROUP BY seed, id) w JOIN chunks s ON s.id = w.seed JOIN chunks c ON c.id = w.id) y) z WHERE rn <= 5", "chunks", "edges"))
 def _(spark, d):
     c = read(spark, d, "chunks")
-    near = graph.shortest(graph.paths(read(spark, d, "edges"), c, ["calls"], 2))
+    near = graph.depths(read(spark, d, "edges"), c, ["calls"], 2)
     rows = near.join(c.select("id", "kind", "source"), "id").join(c.select(F.col("id").alias("seed"), F.col("source").alias("own")), "seed")
     out = graph.expand_related(rows, fusion.by_value(fusion.RELATED_WEIGHTS, F.col("kind")), F.col("source") == F.col("own"))
     return out.select("seed", "id", F.round("relevance", 6).alias("relevance"))
