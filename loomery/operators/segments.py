@@ -212,16 +212,21 @@ class PostingsIndex:
         return f"{self.path}/{label}-{uuid.uuid4().hex}"
 
     def vacuum(self) -> int:
-        """Delete the folders that this version doesn't name; the number deleted.  Readers of earlier versions lose theirs."""
-        named = {p.folder.removesuffix("/tombstones") for p in self.parts}
+        """Delete the folders that this version doesn't read; the number deleted.  Readers of earlier versions lose theirs."""
+        read = {f"{p.folder}/{name}" for p in self.segments for name in ("postings", "docs", "ranges")} | {p.folder for p in self.parts if p.kind == "tombstones"}
         jvm = self.spark.sparkContext._jvm
         top = jvm.org.apache.hadoop.fs.Path(self.path)
         fs = top.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        names = [s.getPath().getName() for s in fs.listStatus(top)]
-        old = [n for n in names if n != "manifest" and f"{self.path}/{n}" not in named]
-        for n in old:
-            fs.delete(jvm.org.apache.hadoop.fs.Path(top, n), True)
-        return len(old)
+        gone = 0
+        for name in (s.getPath().getName() for s in fs.listStatus(top)):
+            if name == "manifest":
+                continue
+            own = [s.getPath().getName() for s in fs.listStatus(jvm.org.apache.hadoop.fs.Path(top, name))]
+            old = [x for x in own if f"{self.path}/{name}/{x}" not in read]
+            for x in [""] if old == own else old:
+                fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/{x}".rstrip("/")), True)
+            gone += len(old)
+        return gone
 
 
 def _prefixes(query: str) -> list[str]:
