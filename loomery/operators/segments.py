@@ -25,12 +25,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomery.functions import text as T
-from loomery.sources.durable import drop_folder
 
 from .search import bm25_of, postings, ts_rank, word_count
 
 #: Postings of a file, about.
 FILE_ROWS = 2_000_000
+#: Words of a segment for which another core sorts and writes.
+AT_WORK = 200_000
 
 _POSTINGS, _DOCS, _TOMBSTONES, _RANGES = "term string, id long, tf long, dl long", "id long, dl long", "id long, upto long, dl long", "file string, low string, high string, number long"
 _MANIFEST = "version long, kind string, number long, folder string, postings long, docs long, words long"
@@ -177,15 +178,14 @@ class PostingsIndex:
         return after
 
     def _write(self, folder: str, number: int, rows: DataFrame, docs: DataFrame) -> Part:
-        rows.write.parquet(f"{folder}/unsorted")
-        held = self.spark.read.schema(rows.schema).parquet(f"{folder}/unsorted")
-        n = held.count()
-        held.repartitionByRange(max(1, -(-n // self.file_rows)), "term", "id").sortWithinPartitions("term", "id").write.parquet(f"{folder}/postings")
         docs.write.parquet(f"{folder}/docs")
-        n_docs, words = self.spark.read.schema(docs.schema).parquet(f"{folder}/docs").agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).head()
+        n_docs, words = self.spark.read.schema(_DOCS).parquet(f"{folder}/docs").agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).head()
+        # there are no more postings than words; a small segment still keeps all cores at work
+        files = max(1, -(-words // self.file_rows), min(self.spark.sparkContext.defaultParallelism, words // AT_WORK))
+        rows.repartitionByRange(files, "term", "id").sortWithinPartitions("term", "id").write.parquet(f"{folder}/postings")
+        n = self.spark.read.schema(_POSTINGS).parquet(f"{folder}/postings").count()
         by_file = self.spark.read.schema(rows.schema).parquet(f"{folder}/postings").groupBy(F.col("_metadata.file_path").alias("file"))
         by_file.agg(F.min("term").alias("low"), F.max("term").alias("high"), F.lit(number).cast("long").alias("number")).write.parquet(f"{folder}/ranges")
-        drop_folder(self.spark, f"{folder}/unsorted")
         return Part("segment", number, folder, n, n_docs, words)
 
     def _merged(self) -> PostingsIndex:
