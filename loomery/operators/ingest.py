@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 from loomery.functions import text as T
 from loomery.operators import ignores
 from loomery.operators.markdown import lines
+from loomery.sources.durable import cut
 
+#: Ids of a name that lie in one list; edges that a task makes, and tasks at most.
+LISTED, EDGES_A_TASK, MOST_TASKS = 1024, 1 << 24, 1 << 15
 CHUNK = "kind string, symbol_name string, start_line int, end_line int, signature string, docstring string, metadata string"
 
 
@@ -178,10 +181,41 @@ def call_edges(calls: DataFrame, defs: DataFrame) -> DataFrame:
     return calls.join(enclosing(calls, defs), "call_id").join(table, ["file_id", "callee"]).select(F.col("chunk_id").alias("src"), "dst", F.lit("calls").alias("type")).distinct()
 
 
+def _named(rows: DataFrame) -> DataFrame:
+    """(id, symbol_name), each once, with ``_all``: the names of the id."""
+    found = rows.filter(F.col("symbol_name").isNotNull()).groupBy("id").agg(F.collect_set("symbol_name").alias("_all"))
+    return found.select("id", "_all", F.explode("_all").alias("symbol_name"))
+
+
+def _listed(named: DataFrame, out: str) -> DataFrame:
+    """(symbol_name, out): the ids of a name in lists of about LISTED, so that no row or task holds all of a frequent name."""
+    parts = named.groupBy("symbol_name").agg(F.ceil(F.count("*") / LISTED).alias("_parts"))
+    dealt = named.join(parts, "symbol_name").withColumn("_part", F.pmod(F.xxhash64("id"), "_parts"))
+    # an id that is null stays in its list
+    return dealt.groupBy("symbol_name", "_part").agg(F.collect_list(F.struct("id")).alias(out)).drop("_part")
+
+
 def import_edges(imports: DataFrame, defs: DataFrame) -> DataFrame:
-    """(src, dst, type): import chunks (id, metadata: names joined by commas) to chunks of those names."""
-    names = imports.select(F.col("id").alias("src"), F.explode(F.split("metadata", ",")).alias("symbol_name"))
-    return names.join(defs.select(F.col("id").alias("dst"), "symbol_name"), "symbol_name").select("src", "dst", F.lit("imports").alias("type")).distinct()
+    """(src, dst, type): import chunks (id, metadata: names joined by commas) to chunks of those names.
+
+    The edges of a name are all pairs of its imports and its chunks, far more than there are rows.  So lists of ids meet by
+    name, are dealt evenly, and each edge leaves its task as it is made: nothing after it tells edges apart.  A chunk of one
+    name gives an edge once; of several, an edge counts for the least name that both share.
+    """
+    spark = imports.sparkSession
+    # ids and names alone, read twice below
+    froms = cut(_named(imports.select("id", F.explode(F.split("metadata", ",")).alias("symbol_name"))))
+    tos = cut(_named(defs.select("id", "symbol_name")))
+    one, several = tos.filter(F.size("_all") == 1), tos.filter(F.size("_all") > 1)
+    sizes = froms.groupBy("symbol_name").agg(F.count("*").alias("a")).join(one.groupBy("symbol_name").agg(F.count("*").alias("b")), "symbol_name")
+    # one number
+    pairs = sizes.agg(F.coalesce(F.sum(F.col("a") * F.col("b")), F.lit(0))).head()[0]
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_TASKS, -(-pairs // EDGES_A_TASK)))
+    met = _listed(froms, "_src").join(_listed(one, "_dst"), "symbol_name").select("_src", "_dst").repartition(tasks)
+    edges = met.select(F.explode("_src").alias("_s"), "_dst").select(F.col("_s.id").alias("src"), F.explode("_dst").alias("_d")).select("src", F.col("_d.id").alias("dst"))
+    of_several = froms.select(F.col("id").alias("src"), "symbol_name", F.col("_all").alias("_a")).join(several.select(F.col("id").alias("dst"), "symbol_name", F.col("_all").alias("_b")), "symbol_name")
+    of_several = of_several.filter(F.col("symbol_name") == F.array_min(F.array_intersect("_a", "_b"))).select("src", "dst")
+    return edges.union(of_several).select("src", "dst", F.lit("imports").alias("type"))
 
 
 def embedding_todo(rows: DataFrame, have: DataFrame, key: str = "blob_sha") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomery.functions import text as T
 from loomery.operators import context, crdt, ingest, markdown, runs
 from loomery.sources import git, sinks
-from loomery.sources.durable import shared_folder
+from loomery.sources.durable import cut, shared_folder
 from loomery.sources.tables import read, twin
 from loomery.streaming import state
 
@@ -208,7 +208,8 @@ def _(spark, d):
 
 @query("A16_import_edges", twin("SELECT DISTINCT i.id AS src, c.id AS dst, 'imports' AS type FROM (SELECT id, unnest([replace(symbol_name, ',', ''), language]) AS s FROM chunks WHERE symbol_name IS NOT NULL) i JOIN chunks c ON c.symbol_name = i.s", "chunks"))
 def _(spark, d):
-    c = read(spark, d, "chunks")
+    # texts are cut into names once
+    c = cut(read(spark, d, "chunks").select("id", "symbol_name", "language"))
     return ingest.import_edges(c.filter("symbol_name IS NOT NULL").select("id", F.concat_ws(",", F.replace("symbol_name", F.lit(","), F.lit("")), "language").alias("metadata")), c)
 
 

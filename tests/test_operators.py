@@ -212,3 +212,18 @@ def test_file_batches(spark):
     after, outcomes = delta.process_files(current, events)
     assert rows(after) == [("a", "2"), ("c", "1"), ("d", "4")]
     assert dict(rows(outcomes)) == {"a": "updated", "b": "removed", "c": "skipped", "d": "indexed", "e": "skipped", "z": "unknown"}
+
+
+def test_import_edges_are_made_once_and_not_compared(spark, monkeypatch):
+    monkeypatch.setattr(ingest, "LISTED", 4)
+    monkeypatch.setattr(ingest, "EDGES_A_TASK", 32)
+    # repeated rows, a frequent name, ids of several names, nulls, names that nothing has
+    imports = [(i, f"a,{'b' if i % 3 == 0 else 'c'},a") for i in range(40)] + [(0, "a,x"), (50, None), (51, ""), (None, "b")]
+    defs = [(100 + i, "a") for i in range(30)] + [(100, "a"), (100, "b"), (101, "c"), (200, "b"), (201, None), (202, ""), (None, "c")]
+    edges = ingest.import_edges(spark.createDataFrame(imports, "id long, metadata string"), spark.createDataFrame(defs, "id long, symbol_name string"))
+    want = {(s, d, "imports") for s, names in imports if names is not None for d, n in defs if n is not None and n in names.split(",")}
+    got = [tuple(r) for r in edges.collect()]
+    assert len(got) == len(want) and set(got) == want
+    # the edges are neither shuffled nor held to find equal ones, and several tasks make them
+    assert "keys=[src" not in edges._jdf.queryExecution().executedPlan().toString()
+    assert sum(n > 0 for n in edges.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()) >= 4
