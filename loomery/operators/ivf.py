@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -32,6 +33,8 @@ TARGET, NEAREST, ASKED = 0.98, 10, 256
 ROWS_A_CELL = 8
 #: Distances that a task computes at once.
 AT_ONCE = 1 << 22
+#: Bytes of rows, and of queries, that meet in a task (as doubles).
+TILE_BYTES = 16 << 20
 #: Part of the distances by which an exact search goes beyond its bound, for rounding.
 SLACK = 1e-6
 
@@ -58,13 +61,20 @@ def fit(sample: np.ndarray, cells: int) -> np.ndarray:
     draw = np.random.default_rng(0)
     cells = max(1, min(cells, len(sample)))
     chosen = [int(draw.integers(len(sample)))]
-    near = ((sample - sample[chosen[0]]) ** 2).sum(axis=1)
+    squares = (sample * sample).sum(axis=1)
+
+    def to(k: int) -> np.ndarray:
+        d = squares - 2 * (sample @ sample[k]) + squares[k]
+        # equal rows: no distance but rounding
+        return np.where(d > 1e-12 * (squares + squares[k]), d, 0.0)
+
+    near = to(chosen[0])
     while len(chosen) < cells:
         total = near.sum()
         if total <= 0:  # fewer different rows than cells
             break
         chosen.append(int(np.searchsorted(np.cumsum(near), draw.random() * total).clip(0, len(sample) - 1)))
-        near = np.minimum(near, ((sample - sample[chosen[-1]]) ** 2).sum(axis=1))
+        near = np.minimum(near, to(chosen[-1]))
     centres = sample[chosen].copy()
     step = max(1, AT_ONCE // len(centres))
     for _ in range(ROUNDS):
@@ -168,26 +178,128 @@ def search(index: VectorIndex, query: Sequence[float], k: int, probes: int | Non
     return near.withColumn("similarity", V.similarity(F.col("distance")))
 
 
+def _tiles(index: VectorIndex) -> tuple[np.ndarray, np.ndarray]:
+    """The first tile of each cell, and over how many tiles its rows are dealt (one, unless it is large)."""
+    n = max(1, TILE_BYTES // (8 * index.centres.shape[1]))
+    return (np.cumsum(index.counts) - index.counts) // n, np.maximum(1, -(-index.counts // n))
+
+
+def _pair_distances(x: np.ndarray, q: np.ndarray, r: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Distance of each pair, added up element by element as ``V.l2`` does."""
+    step = max(1, AT_ONCE // (4 * x.shape[1]))
+    return np.concatenate([np.sqrt(np.cumsum((x[r[i : i + step]] - q[of[i : i + step]]) ** 2, axis=1)[:, -1]) for i in range(0, len(r), step)] or [np.zeros(0)])
+
+
+def nearest_in_cells(x: np.ndarray, cell: np.ndarray, place: np.ndarray, q: np.ndarray, opens: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, distance) of the k nearest rows ``x`` (sorted by ``cell``) to each of ``q`` in the cells that it ``opens``, by distance, then ``place``.
+
+    ``opens`` has a column for each different cell in turn.  Distances by matrix products choose candidates, with room for their
+    rounding; those are computed exactly.
+    """
+    first = np.flatnonzero(np.diff(cell, prepend=-1))
+    x2, q2 = (x * x).sum(axis=1), (q * q).sum(axis=1)
+    room = 4e-15 * (x.shape[1] + 8) * (q2 + x2.max(initial=0.0))
+    bound = np.full(len(q), np.inf)
+    of, r = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    new: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def best() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        a, b = (np.concatenate([old, *(n[i] for n in new)]) for i, old in enumerate((of, r)))
+        d = _pair_distances(x, q, b, a)
+        order = np.lexsort((place[b], d, a))
+        a, b, d = a[order], b[order], d[order]
+        own = np.arange(len(a)) - np.searchsorted(a, a, "left")
+        last = own == k - 1
+        bound[a[last]] = np.fmin(bound[a[last]], d[last] ** 2)
+        return a[own < k], b[own < k], d[own < k]
+
+    held = 0
+    for j, (lo, hi) in enumerate(zip(first, [*first[1:], len(cell)])):
+        asking = np.flatnonzero(opens[:, j])
+        step = max(1, AT_ONCE // (2 * max(1, len(asking))))
+        for i in range(lo, hi if len(asking) else lo, step):
+            rows = x[i : min(hi, i + step)]
+            d = q2[asking][:, None] - 2 * (q[asking] @ rows.T) + x2[i : i + len(rows)]
+            # what isn't a number stays a candidate
+            near = ~(d > (bound + room)[asking][:, None])
+            if len(rows) > k and near.sum() > 4 * k * len(asking):
+                bound[asking] = np.fmin(bound[asking], np.partition(d, k - 1, axis=1)[:, k - 1] + room[asking])
+                near = ~(d > (bound + room)[asking][:, None])
+            a, b = np.nonzero(near)
+            new.append((asking[a], b + i))
+            held += len(a)
+            if held > 8 * k * len(q):
+                (of, r, _), new, held = best(), [], 0
+    return best()
+
+
 def search_many(index: VectorIndex, queries: DataFrame, k: int, probes: int | None = None, id_col: str = "query_id") -> DataFrame:
     """(query, id, distance, rank) of the k nearest for each row of ``queries`` (``id_col``, index's vector column) in its ``probes`` nearest cells.
 
-    Queries go to their cells and meet the rows there: one join by cell, a top-k per query of which each task keeps its own k.
+    Neighbouring cells are tiles of about TILE_BYTES.  A query goes once to each tile in which it opens a cell, not once to each
+    cell, and brings the cells' numbers; a tile's rows meet at most about TILE_BYTES of queries at a time (beyond that, parts
+    of the queries meet them separately).  Each meeting leaves k rows a query at most, of which a window takes the k nearest.
     """
-    centres, col, alive = index.centres, index.col, index.counts > 0
-    probes = probes or index.probes
+    centres, col, alive, dim = index.centres, index.col, index.counts > 0, index.centres.shape[1]
+    probes = min(probes or index.probes, int(alive.sum()))
+    tile, pieces = _tiles(index)
+    cells_in = {t: np.flatnonzero((tile <= t) & (t < tile + pieces) & alive) for t in range(int((tile + pieces).max(initial=0)))}
+    kinds, held = dict(queries.dtypes), dict(index.rows.dtypes)
+    asked = usable(queries, col, dim).select(F.col(id_col).alias("_q"), F.col(col).alias("_v"))
+    parts = max(1, -(-asked.count() * 8 * dim // TILE_BYTES))
 
     def cells_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            d = np.where(alive, _squares(_matrix(b.column(1)), centres), np.inf) if b.num_rows else np.zeros((0, len(centres)))
-            best = np.argsort(d, axis=1, kind="stable")[:, : min(probes, int(alive.sum()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(best.tolist(), pa.list_(pa.int32()))], names=["_q", "_v", "_cells"])
-
-    kinds = dict(queries.dtypes)
-    asked = usable(queries, col, centres.shape[1]).select(F.col(id_col).alias("_q"), F.col(col).alias("_v")).mapInArrow(cells_of, f"_q {kinds[id_col]}, _v {kinds[col]}, _cells array<int>")
-    asked = asked.select("_q", "_v", F.explode("_cells").alias("_cell"))
-    pairs = asked.join(index.rows, F.col("_cell") == F.col("cell")).select(F.col("_q").alias("query"), F.col(index.id_col).alias("id"), V.l2(F.col(col), F.col("_v")).alias("distance"))
+        step = max(1, AT_ONCE // len(centres))
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                b = batch.slice(at, step)
+                d = np.where(alive, _squares(_matrix(b.column(1)), centres), np.inf)
+                opens = np.zeros(d.shape, bool)
+                np.put_along_axis(opens, np.argsort(d, axis=1, kind="stable")[:, :probes], True, axis=1)
+                for t, cells in cells_in.items():
+                    own = opens[:, cells]
+                    row = np.flatnonzero(own.any(axis=1))
+                    if len(row):
+                        ends = np.concatenate([[0], np.cumsum(own[row].sum(axis=1))])
+                        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(cells[np.nonzero(own[row])[1]], pa.int32()))
+                        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), pa.array(np.full(len(row), t), pa.int32()), lists], names=["_q", "_v", "_tile", "_cells"])
+
+    def meet(rows: pa.Table, asking: pa.Table) -> pa.Table:
+        found = {"query": [], "id": [], "distance": []}
+        ids = rows.column("_i").combine_chunks()
+        place = np.empty(len(ids), np.int64)
+        place[np.array(pc.sort_indices(ids, null_placement="at_start"))] = np.arange(len(ids))
+        cell = rows.column("_cell").to_numpy()
+        order = np.argsort(cell, kind="stable")
+        x, cell, place = _matrix(rows.column("_x").combine_chunks())[order] if len(ids) else np.zeros((0, dim)), cell[order], place[order]
+        here = np.unique(cell)
+        # a part of the queries has few candidates at a time
+        step = max(1, min(512, AT_ONCE // (64 * k)))
+        for i in range(0, asking.num_rows if len(ids) else 0, step):
+            some = asking.slice(i, step).combine_chunks()
+            lists = some.column("_cells").combine_chunks()
+            opens = np.zeros((len(lists), len(here)), bool)
+            value, of = lists.flatten().to_numpy(), np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+            # another piece of a large cell may have none of its rows here
+            at = np.minimum(np.searchsorted(here, value), len(here) - 1)
+            known = here[at] == value
+            opens[of[known], at[known]] = True
+            a, r, d = nearest_in_cells(x, cell, place, _matrix(some.column("_v").combine_chunks()), opens, k)
+            found["query"].append(some.column("_q").combine_chunks().take(pa.array(a)))
+            found["id"].append(ids.take(pa.array(order[r])))
+            found["distance"].append(pa.array(d, pa.float64()))
+        kind = {"query": asking.schema.field("_q").type, "id": ids.type, "distance": pa.float64()}
+        return pa.table({c: pa.chunked_array(v, kind[c]) for c, v in found.items()})
+
+    asked = asked.mapInArrow(cells_of, f"_q {kinds[id_col]}, _v {kinds[col]}, _tile int, _cells array<int>").withColumn("_part", F.pmod(F.xxhash64("_q"), F.lit(parts)).cast("int"))
+    # at most MAX_CELLS numbers
+    firsts, dealt = (F.array(*(F.lit(int(v)) for v in x)) for x in (tile, pieces))
+    rows = index.rows.select(F.col(index.id_col).alias("_i"), F.col(col).alias("_x"), F.col("cell").alias("_cell"))
+    rows = rows.withColumn("_tile", (F.get(firsts, F.col("_cell")) + F.pmod(F.xxhash64("_i"), F.get(dealt, F.col("_cell")))).cast("int"))
+    rows = rows.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    near = rows.groupBy("_tile", "_part").cogroup(asked.groupBy("_tile", "_part")).applyInArrow(meet, f"query {kinds[id_col]}, id {held[index.id_col]}, distance double")
     w = Window.partitionBy("query").orderBy("distance", "id")
-    return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def recall(index: VectorIndex, queries: DataFrame, k: int, probes: int | None = None, id_col: str = "query_id") -> DataFrame:

@@ -75,6 +75,42 @@ def test_an_index_is_read_again(spark, vectors, index, tmp_path):
     assert ivf.search(empty, [0.0] * 8, 10, exact=True).collect() == []
 
 
+def test_many_queries_meet_tiles_of_rows(spark, vectors, index, monkeypatch):
+    # seven rows or queries a tile: cells lie in several tiles, queries in several parts
+    monkeypatch.setattr(ivf, "TILE_BYTES", 7 * 8 * 8)
+    asking = vectors.filter("vec_id % 40 = 3 OR vec_id > 899").select(F.col("vec_id").alias("query_id"), "embedding")
+    vecs = {r["vec_id"]: r["embedding"] for r in ivf.usable(vectors, "embedding", 8).collect()}
+    for probes in (len(index.centres), 3, 1):
+        found = ivf.search_many(index, asking, 6, probes)
+        # a query goes to tiles with a list of cells, not to each cell as a row
+        assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().executedPlan().toString()
+        got = {}
+        for r in sorted(found.collect(), key=lambda r: (r["query"], r["rank"])):
+            got.setdefault(r["query"], []).append((r["id"], r["distance"]))
+        assert sorted(got) == sorted(k for k in vecs if k % 40 == 3 or k > 899)
+        for q in sorted(got)[::5] + [903]:
+            want = [(r["vec_id"], r["distance"]) for r in ivf.search(index, vecs[q], 6, probes=probes).collect()]
+            assert got[q] == want
+
+
+def test_nearest_in_cells_keeps_ties_and_odd_numbers():
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 3, size=(400, 3)).astype(float)
+    x[7, 1], x[300, 0], x[301, 0] = np.nan, np.inf, 1e200
+    cell, place = np.sort(rng.integers(0, 9, 400)), rng.permutation(400)
+    q = np.concatenate([x[:20], [[0.5, 0.5, 0.5]]])
+    opens = rng.random((21, len(np.unique(cell)))) < 0.6
+    opens[4] = False
+    for k in (1, 5, 1000):
+        a, r, d = ivf.nearest_in_cells(x, cell, place, q, opens, k)
+        for i in range(21):
+            with np.errstate(invalid="ignore", over="ignore"):
+                far = np.sqrt(((x - q[i]) ** 2).cumsum(axis=1)[:, -1])
+            in_cells = np.flatnonzero(opens[i][np.searchsorted(np.unique(cell), cell)])
+            want = in_cells[np.lexsort((place[in_cells], far[in_cells]))][:k]
+            assert r[a == i].tolist() == want.tolist() and np.array_equal(d[a == i], far[want], equal_nan=True)
+
+
 # ---------------------------------------------------------------- postings
 
 
