@@ -27,8 +27,10 @@ from pyspark.sql import DataFrame
 
 from .common import arrow, slices
 
-#: Distinct units that a worker remembers; beyond it the memory is emptied.
-UNITS_KEPT = 150_000
+#: Distinct units that a worker remembers (some 300 bytes each); beyond it the memory is emptied.  A batch has about 200,000, so fewer would be forgotten at every batch.
+UNITS_KEPT = 1_000_000
+#: Marks, digits and line ends that a worker remembers.
+PIECES_KEPT = 150_000
 #: Bytes of text that are encoded together.
 BATCH_BYTES = 6 << 20
 
@@ -118,7 +120,7 @@ class Encoder:
                     got = others.get(piece)
                     if got is None:
                         got = [t.id for t in tokenize(piece.translate(shown))]
-                        if len(piece) <= 16 and len(others) < UNITS_KEPT:
+                        if len(piece) <= 16 and len(others) < PIECES_KEPT:
                             others[piece] = got
                     ids += got
                 return ids

@@ -9,6 +9,7 @@ from dataclasses import replace
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -209,6 +210,17 @@ def test_packing_equals_tokenizers(spark):
     assert {r["doc_id"]: (r["doc_tokens"], r["ids_crc32"]) for r in packing.pack(frame(spark, texts), JSON).collect()} == want
 
 
+def test_a_worker_remembers_more_units_than_a_batch_has(monkeypatch):
+    # some 200,000 different units lie in a batch of prose; those of earlier batches must not be learned anew
+    enc, learned = bpe.Encoder(JSON, special=True), []
+    learn = enc._learn
+    monkeypatch.setattr(enc, "_learn", lambda units, special: (learned.append(len(units)), learn(units, special)))
+    texts = pa.array([" ".join(f"x{k}" for k in range(200_000))])
+    first = enc.batch(texts)
+    again = enc.batch(texts)
+    assert learned == [200_000, 0] and np.array_equal(first[0], again[0])
+
+
 def test_queries_pack_by_the_named_file(spark, tmp_path):
     from loomery.llm import queries
 
